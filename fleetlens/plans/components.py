@@ -11,6 +11,9 @@ from fleetlens.plans.shared import cut
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Map every node of ``edges(a, b)`` to the smallest node it reaches.
 
+    The minima are materialised before each join, so that both of its sides are plain shuffles
+    and AQE can split a hub.
+
     Alternates the "large star" and "small star" contractions (Kiveris et al., 2014). Each is
     one aggregate (``min`` combines map-side) and one equi join, so a hub with a third of all
     edges is a skewed join for AQE to split, not a list in one task. The number of rounds
@@ -23,9 +26,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
