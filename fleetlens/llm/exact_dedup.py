@@ -58,10 +58,10 @@ def exact_dedup(docs: DataFrame, keep: str = "last", text: Column | None = None)
     """
     d = cut(with_digest(docs, text))
     groups = cut(merge_runs(d))
-    total = groups.agg(F.sum("group_size").alias("total"))
+    total = d.count()
     keeper = F.col("last_id" if keep == "last" else "first_id").alias("keep_id")
     slim = groups.select(*KEY, keeper, "group_size")
-    heavy = slim.join(F.broadcast(total), F.col("group_size") * HEAVY > F.col("total")).drop("total")
+    heavy = slim.where(F.col("group_size") * HEAVY > total)
     light_docs = d.join(F.broadcast(heavy.select(*KEY)), KEY, "left_anti")
     out = d.join(F.broadcast(heavy), KEY).unionByName(light_docs.join(slim, KEY))
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fleetlens.llm import exact_dedup as dedup
+from fleetlens.llm import near_dedup, sharding, token_file
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,8 +29,25 @@ FROM t
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op8_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(read(spark, sf_dir, "documents"), shards=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op8_bit_plane_tokens": op8_bit_plane_tokens,
+        "op10_ring_sharding": op10_ring_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
