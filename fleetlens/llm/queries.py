@@ -7,14 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm import ann, bpe, license_scan, line_dedup, near_dedup, packing, sharding, token_file, toxicity
 from fleetlens.llm import exact_dedup as dedup
-from fleetlens.llm import near_dedup, sharding, token_file
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -33,19 +37,45 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(read(spark, sf_dir, "documents"))
+
+
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"), shards=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_byte_level_bpe": op4_byte_level_bpe,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_posting_lists": op6_posting_lists,
+        "op7_weak_toxicity": op7_weak_toxicity,
         "op8_bit_plane_tokens": op8_bit_plane_tokens,
+        "op9_online_packing": op9_online_packing,
         "op10_ring_sharding": op10_ring_sharding,
     }
 
