@@ -67,14 +67,31 @@ def exact_dedup(docs: DataFrame, keep: str = "last", text: Column | None = None)
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def keep_rows(docs: DataFrame, drop: DataFrame, twice: DataFrame, keys: dict[str, Column], most: int) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``drop``, and with one row for each key in ``twice``.
+
+    Up to ``most`` keys are broadcast, so the texts needn't move; more are joined by a shuffle.
+    """
+    marked = docs.withColumns(keys)
+    names = list(keys)
+
+    def side(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
+
+    drop, twice = cut(drop.select(*names).distinct()), cut(twice.select(*names).distinct())
+    stay = marked.join(side(drop), names, "left_anti")
+    if not twice.isEmpty():
+        stay = stay.join(side(twice), names, "left_anti").unionByName(stay.join(side(twice), names, "left_semi").dropDuplicates(names))
+    return stay.select(*[stay[f"`{c}`"] for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, keep: str = "last") -> DataFrame:
     """The documents that stay, with their own columns; of repeated rows with the kept id, one stays.
 
     A group whose ids are all null keeps all its rows: nothing tells them apart.
     """
-    # the id decides, so only (id, verdict) moves, not the texts' groups
-    verdict = exact_dedup(docs, keep).groupBy(F.col("doc_id").alias("kept_doc_id")).agg(F.bool_or("kept").alias("stays"))
-    ids = verdict.where(F.col("stays") | F.col("kept_doc_id").isNull()).select("kept_doc_id")
-    stay = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_doc_id"]), "left_semi")
-    keyed = stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return keyed.unionByName(stay.where(F.col("doc_id").isNull()))
+    none = F.lit(-(2**63)).cast("long")
+    keys = {"__dedup_id": F.coalesce(F.col("doc_id"), none), "__dedup_digest": F.unhex(F.sha2(lower_ascii(text_of()), 256))}
+    verdict = cut(exact_dedup(docs, keep).select(F.coalesce("doc_id", none).alias("__dedup_id"), F.unhex("text_sha256").alias("__dedup_digest"), "kept", F.col("keep_id").isNotNull().alias("named")))
+    twice = verdict.where("kept").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keep_rows(docs, verdict.where("named and not kept"), twice, keys, most=200_000)

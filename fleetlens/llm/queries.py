@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bit_plane_tokens": op8_bit_plane_tokens,
         "op9_online_packing": op9_online_packing,
         "op10_ring_sharding": op10_ring_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
