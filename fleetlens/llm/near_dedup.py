@@ -13,7 +13,8 @@
    copies needs about one verified pair a member. Pairs pass the size test, then the odd
    sketches, then the exact test ``100 * |A & B| >= 80 * |A | B|`` on the full sets.
 4. Large buckets that still hold several components after the star rounds are compared in
-   blocks, sketches against sketches as numpy matrices: nothing is capped.
+   blocks, sketches against sketches as numpy matrices, and what passes on the full sets:
+   nothing is capped, and only links leave a task.
 
 Two sets of similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 = 3e-6.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.exact_dedup import keep_rows
 from fleetlens.llm.text import lower_ascii, text_of, words_of
 from fleetlens.plans.components import connected_components
 from fleetlens.plans.shared import table
@@ -36,8 +38,10 @@ BANDS, WIDTH = 32, 5
 PERMS = BANDS * WIDTH
 SKETCH_BITS = 1024
 SMALL = 24
-STAR_ROUNDS = 3
-BLOCK = 512
+STAR_ROUNDS = 2
+BLOCK = 1024
+#: So many ids (8 bytes each) are broadcast to pick out the texts to verify.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles_of(words: Column, k: int) -> Column:
@@ -124,37 +128,62 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, sh) of the documents with the given ids; only their texts are read again."""
+    few = ids.count() <= BROADCAST_IDS  # else texts are shuffled to the ids
+    sets = with_sets(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi"), k).select("doc_id", "sh")
+    return table(sets.dropDuplicates(["doc_id"]), "sets")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets pass; only their texts are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = with_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k).select("doc_id", "sh")
-    sets = table(sets, "sets")
+    """The pairs (a, b) of representatives whose full sets pass."""
+    ids = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = _sets_of(ids, docs, k)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
 def _blocks(members: DataFrame, loosest: float, percent: int) -> DataFrame:
-    """Pairs of members of one bucket whose sketches agree, block against block."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    """Links between components within a bucket, block against block, confirmed on full sets.
+
+    ``members(bucket, rep, n, comp, sketch, bands, sh)``. Within a block pair, components that a link
+    has joined aren't compared again, so it returns fewer links than it has members.
+    """
+    sizes = table(members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")), "blocks")
     m = members.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("k")).cast("int"))
     other = F.sequence(F.lit(0), F.col("k") - 1)
-    m = m.withColumn("j", F.explode(other)).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "rep", "n", "comp", "sketch")
+    m = m.withColumn("j", F.explode(other)).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "rep", "n", "comp", "sketch", "bands", "sh")
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t["left"]), t.filter(t["right"])
         words = lambda s: np.frombuffer(b"".join(s["sketch"].to_pylist()), dtype=np.uint64).reshape(s.num_rows, -1)
+        sets = lambda s: [np.sort(np.asarray(x.values)) for x in s["sh"]]
         col = lambda s, c: s[c].to_numpy()
-        found_a, found_b = [], []
+        bands = lambda s: np.array([np.asarray(x.values) for x in s["bands"]])
+        found: list[tuple[int, int]] = []
+        here = t["bucket"][0].as_py()
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         if left.num_rows and right.num_rows:
-            r, rn, rc, rid = words(right), col(right, "n"), col(right, "comp"), col(right, "rep")
-            for w, n, c, a in zip(words(left), col(left, "n"), col(left, "comp"), col(left, "rep"), strict=True):
+            r, rn, rc, rid, rs, rb = words(right), col(right, "n"), col(right, "comp"), col(right, "rep"), sets(right), bands(right)
+            for w, n, c, a, own, wb in zip(words(left), col(left, "n"), col(left, "comp").tolist(), col(left, "rep").tolist(), sets(left), bands(left), strict=True):
                 near = (_estimate(np.bitwise_count(r ^ w).sum(axis=1)) >= loosest) & (rc != c) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * percent)
-                hit = rid[near]
-                found_a.append(np.minimum(hit, a))
-                found_b.append(np.maximum(hit, a))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.array([], dtype=np.int64), pa.int64())
-        return pa.table({"a": cat(found_a), "b": cat(found_b)})
+                near = np.flatnonzero(near)
+                near = near[wb[(rb[near] == wb).argmax(axis=1)] == here]  # a pair belongs to its first common bucket
+                for i in near.tolist():
+                    if find(c) == find(int(rc[i])):
+                        continue
+                    common = int((np.searchsorted(rs[i], own, "right") > np.searchsorted(rs[i], own, "left")).sum())
+                    if common * 100 >= (len(own) + len(rs[i]) - common) * percent:
+                        root[find(c)] = find(int(rc[i]))
+                        found.append((a, int(rid[i])))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return m.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
@@ -170,7 +199,7 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     members = signed.select("doc_id", "key", "n")
     reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = table(reps, "classes")
-    slim, sketches = reps.select("rep", "n"), reps.select("rep", "sketch")
+    sketches = reps.select("rep", "sketch")
     buckets = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     buckets = table(buckets.join(shared, "bucket", "left_semi"), "buckets")
@@ -182,15 +211,17 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
             return buckets.withColumn("comp", F.col("rep"))
         return buckets.join(comps, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
+    def grow(found: DataFrame) -> None:
+        nonlocal links, comps
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = table(connected_components(links), "components")
+
     def confirm(pairs: DataFrame) -> None:
         """Verify pairs on full sets, remember them, and add the links they bring."""
-        nonlocal links, comps, checked
-        found = table(_verify(pairs, docs, k, percent), "links")
+        nonlocal checked
         checked = pairs if checked is None else checked.union(pairs)
-        if found.isEmpty():
-            return
-        links = found if links is None else links.union(found)
-        comps = table(connected_components(links), "components")
+        grow(table(_verify(pairs, docs, k, percent), "links"))
 
     def unsettled(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are still in different components and weren't verified."""
@@ -205,25 +236,25 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         state = table(state.where("lo <> hi").select("bucket", "m", "centre"), "state")
         large = F.col("m") > SMALL
         if turn == STAR_ROUNDS:
-            m = m.join(state.where(large).select("bucket"), "bucket", "left_semi")
-            pairs = unsettled(_blocks(m.join(sketches, "rep"), loosest, percent))
-        else:
-            star = m.join(state if turn < 2 else state.where(large), "bucket")
-            pairs = star.where("comp <> centre.comp").where(_sizes_allow("n", "centre.n", percent)).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
-            if turn == 1:  # small buckets: every pair of members, at most SMALL a row
-                few = star.where(~large).select("bucket", "rep", "n", "comp")
-                two = few.join(few.toDF("bucket", "rep2", "n2", "comp2"), "bucket").where("rep < rep2 and comp <> comp2").where(_sizes_allow("n", "n2", percent))
-                pairs = pairs.union(two.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
-            pairs = pairs.distinct()
-            s = lambda c: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
-            pairs = unsettled(pairs).join(s("a"), "a").join(s("b"), "b").withColumn("est", odd_similarity("sa", "sb")).where(F.col("est") >= loosest).select("a", "b", "est")
+            m = table(m.join(state.where(large).select("bucket"), "bucket", "left_semi"), "large")
+            ids = table(m.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+            full = reps.select("rep", "sketch", "bands").join(_sets_of(ids, docs, k).withColumnRenamed("doc_id", "rep"), "rep")
+            grow(table(_blocks(m.join(full, "rep"), loosest, percent), "links"))
+            break
+        star = m.join(state, "bucket")
+        pairs = star.where("comp <> centre.comp").where(_sizes_allow("n", "centre.n", percent)).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
+        if turn:  # small buckets: every pair of members, at most SMALL a row
+            few = star.where(~large).select("bucket", "rep", "n", "comp")
+            two = few.join(few.toDF("bucket", "rep2", "n2", "comp2"), "bucket").where("rep < rep2 and comp <> comp2").where(_sizes_allow("n", "n2", percent))
+            pairs = pairs.union(two.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+        s = lambda c: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+        pairs = unsettled(pairs.distinct()).join(s("a"), "a").join(s("b"), "b").withColumn("est", odd_similarity("sa", "sb")).where(F.col("est") >= loosest).select("a", "b", "est")
         pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        if turn == 0:  # first the likeliest partner of each, which settles most
+        if not turn and not pairs.isEmpty():  # first the likeliest partner of each, which settles most
             confirm(table(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "first"))
             pairs = table(unsettled(pairs.select("a", "b")), "pairs")
-        confirm(pairs.select("a", "b"))
+        if not pairs.isEmpty():
+            confirm(pairs.select("a", "b"))
     classes = reps.select("key", "rep")
     if comps is None:
         return members, classes.withColumn("comp", F.col("rep"))
@@ -256,7 +287,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, with their own columns."""
-    verdict = near_dedup(docs, k, percent).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    stay = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["kept_doc_id"]), "left_semi")
-    return stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(stay.where(F.col("doc_id").isNull()))
+    """The documents that stay, one of each group, with their own columns; null ids all stay."""
+    verdict = table(near_dedup(docs, k, percent).where("doc_id is not null").select(F.col("doc_id").alias("__near_id"), "kept"), "near_verdict")
+    ids = verdict.groupBy("__near_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return keep_rows(docs, ids.where("not kept"), ids.where("kept and n > 1"), {"__near_id": F.col("doc_id")}, most=BROADCAST_IDS)
