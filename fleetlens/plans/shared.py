@@ -31,3 +31,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of rows that may be long texts: fewer rows, and bytes bounded where Spark can.
+
+    This changes the session's batch size and no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
