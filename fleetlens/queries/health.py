@@ -1,2 +1,209 @@
-"""Placeholder."""
+"""Health over the parts as nodes."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from fleetlens.bindings import bind, oracle
+from fleetlens.operators import health as H
+
 QUERIES = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = (fn, sql)
+        return fn
+
+    return add
+
+
+def nodes(spark, sf):
+    return bind(spark, sf, "node_facts")
+
+
+STATE = "SELECT node, timestamp '2024-01-02 00:00:00' AS built_at FROM node_facts WHERE node % 4 <> 0"
+RES = "SELECT node, CASE WHEN node % 10 = 1 THEN 'failed' WHEN node % 10 = 2 THEN 'skipped' ELSE 'built' END AS action, CASE WHEN node % 3 = 0 THEN timestamp '2024-01-01 00:00:00' ELSE timestamp '2024-01-02 00:00:00' END AS started_at FROM node_facts WHERE node % 6 <> 5"
+
+
+def sql(spark, sf, text):
+    nodes(spark, sf).createOrReplaceTempView("node_facts")
+    return spark.sql(text)
+
+
+HB = f"SELECT node, 'built' AS \"check\", 'warn' AS severity, CASE WHEN built_at IS NOT NULL THEN 'pass' ELSE 'unknown' END AS status FROM node_facts LEFT JOIN ({STATE}) USING (node)"
+HL = lambda a: f"SELECT node, 'last_run_{a}' AS \"check\", 'error' AS severity, CASE WHEN action IS NULL THEN 'unknown' WHEN action = '{a}' AND NOT coalesce(built_at > started_at, false) THEN 'fail' ELSE 'pass' END AS status FROM node_facts LEFT JOIN ({RES}) USING (node) LEFT JOIN ({STATE}) USING (node)"
+HT = "SELECT node, 'tests_required' AS \"check\", 'warn' AS severity, CASE WHEN tests = 0 THEN 'fail' ELSE 'pass' END AS status FROM node_facts"
+HD = "SELECT node, 'described' AS \"check\", 'warn' AS severity, CASE WHEN described THEN 'pass' ELSE 'fail' END AS status FROM node_facts"
+
+
+@query("h1_built", oracle(HB, "node_facts"))
+def h1(spark, sf):
+    return H.built(nodes(spark, sf), sql(spark, sf, STATE))
+
+
+@query("h2_last_run_failed", oracle(HL("failed"), "node_facts"))
+def h2(spark, sf):
+    return H.last_run(nodes(spark, sf), sql(spark, sf, RES), sql(spark, sf, STATE), "failed")
+
+
+@query("h3_last_run_skipped", oracle(HL("skipped"), "node_facts"))
+def h3(spark, sf):
+    return H.last_run(nodes(spark, sf), sql(spark, sf, RES), sql(spark, sf, STATE), "skipped")
+
+
+@query("h4_tests_required", oracle(HT, "node_facts"))
+def h4(spark, sf):
+    return H.tests_required(nodes(spark, sf))
+
+
+@query("h5_tests_passed", oracle("SELECT node, 'tests_passed' AS \"check\", 'error' AS severity, CASE WHEN tests = 0 OR node % 4 = 0 THEN 'skipped' WHEN node % 5 = 0 THEN 'fail' WHEN node % 7 = 0 THEN 'fail' ELSE 'pass' END AS status FROM node_facts", "node_facts"))
+def h5(spark, sf):
+    return H.tests_passed(nodes(spark, sf).withColumns({"was_built": F.expr("node % 4 <> 0"), "checks": F.lit("a"), "tested_checks": F.expr("CASE WHEN node % 5 = 0 THEN NULL WHEN node % 7 = 0 THEN 'b' ELSE 'a' END")}))
+
+
+@query("h6_declared_checks", oracle(HD, "node_facts"))
+def h6(spark, sf):
+    return H.declared(nodes(spark, sf), "described", "warn", F.col("described"))
+
+
+@query("h7_probe_checks", oracle("SELECT node, 'small' AS \"check\", 'error' AS severity, CASE WHEN node % 3 = 0 THEN 'unknown' WHEN node % 5 = 0 THEN 'unknown' WHEN layer < 25 THEN 'pass' ELSE 'fail' END AS status FROM node_facts", "node_facts"))
+def h7(spark, sf):
+    return H.probe_check(nodes(spark, sf), "small", "error", F.expr("CASE WHEN node % 5 <> 0 THEN layer END") < 25, F.expr("CASE WHEN node % 3 <> 0 THEN true END"))
+
+
+ANS = "SELECT 'c1' AS check, node, 'pass' AS status FROM node_facts WHERE node % 2 = 0 UNION ALL SELECT 'c1', node, 'fail' FROM node_facts WHERE node % 6 = 0 UNION ALL SELECT 'c2', node, 'pass' FROM node_facts UNION ALL SELECT 'c2', CAST(-1 AS BIGINT), 'pass'"
+
+
+@query("h8_reconcile_registered", oracle("SELECT node, \"check\", CASE WHEN node % 5 = 0 THEN 'skipped' WHEN \"check\" = 'c2' THEN 'unknown' WHEN node % 2 <> 0 OR node % 6 = 0 THEN 'unknown' ELSE 'pass' END AS status FROM node_facts, (SELECT unnest(['c1', 'c2']) AS \"check\")", "node_facts"))
+def h8(spark, sf):
+    n = nodes(spark, sf)
+    return H.reconcile(n.where("node % 5 <> 0"), sql(spark, sf, ANS), n)
+
+
+@query("h9_merge_recorded", oracle(f"SELECT * FROM ({HT}) WHERE node % 2 = 0 UNION ALL SELECT node, \"check\", severity, 'unknown' FROM ({HT}) WHERE node % 2 = 1", "node_facts"))
+def h9(spark, sf):
+    f = h4(spark, sf)
+    return H.merge_recorded(f.where("node % 2 = 0"), f.withColumn("status", F.lit("unknown")))
+
+
+def findings(spark, sf):
+    return reduce(lambda a, b: a.unionByName(b), [h1(spark, sf), h2(spark, sf), h4(spark, sf), h6(spark, sf)])
+
+
+ALL = f"({HB} UNION ALL {HL('failed')} UNION ALL {HT} UNION ALL {HD})"
+BADGE = f"SELECT node, CASE WHEN bool_or(status = 'fail' AND severity = 'error') THEN 'failing' WHEN bool_or(status = 'unknown' AND severity = 'error') THEN 'unknown' WHEN bool_or(status = 'fail' AND severity = 'warn') THEN 'warning' WHEN bool_or(status = 'pass') THEN 'healthy' ELSE 'unknown' END AS health, coalesce(string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") FILTER (status = 'fail'), '') AS reasons FROM {ALL} GROUP BY node"
+
+
+@query("a6_badge", oracle(BADGE, "node_facts"))
+def a6(spark, sf):
+    return H.badge(findings(spark, sf))
+
+
+@query("a7_health_counts", oracle(f"SELECT h AS health, count(node) AS n FROM (SELECT unnest(['failing', 'warning', 'unknown', 'healthy']) AS h) LEFT JOIN ({BADGE}) ON health = h GROUP BY h", "node_facts"))
+def a7(spark, sf):
+    return H.health_counts(a6(spark, sf))
+
+
+@query("h10_report_fails", oracle(f"SELECT coalesce(bool_or(severity = 'error' AND status IN ('fail', 'unknown')), false) AS fails, count(*) FILTER (severity = 'error' AND status IN ('fail', 'unknown')) AS n FROM {ALL}", "node_facts"))
+def h10(spark, sf):
+    return H.report_fails(findings(spark, sf), strict=True)
+
+
+@query("h11_unmatched_probes", oracle("SELECT DISTINCT 'probe-' || tag AS probe FROM node_facts WHERE tag NOT IN (SELECT tag FROM node_facts WHERE layer > 48 AND tests > 2)", "node_facts"))
+def h11(spark, sf):
+    n = nodes(spark, sf).withColumn("probe", F.concat(F.lit("probe-"), "tag"))
+    return H.unmatched_probes(n.select("probe").distinct(), n.where("layer > 48 and tests > 2"))
+
+
+COV = "SELECT resource_type, count(*) FILTER (tests > 0) AS tested, count(*) FILTER (described) AS described, count(*) AS total FROM node_facts GROUP BY resource_type"
+
+
+@query("a8_coverage", oracle(COV, "node_facts"))
+def a8(spark, sf):
+    return H.coverage(nodes(spark, sf), "resource_type")
+
+
+@query("a9_coverage_verdict", oracle(f"SELECT *, tested * 1000 // total AS share, CASE WHEN tested * 1000 >= total * 755 THEN 'pass' ELSE 'fail' END AS verdict FROM ({COV})", "node_facts"))
+def a9(spark, sf):
+    return H.coverage_verdict(a8(spark, sf), 755)
+
+
+@query("a11_catalog_facets", oracle("SELECT facet, value, count(*) AS n FROM (SELECT resource_type, tag, CAST(tests AS VARCHAR) AS tests, CAST(described AS VARCHAR) AS described FROM node_facts) UNPIVOT INCLUDE NULLS (value FOR facet IN (resource_type, tag, tests, described)) GROUP BY ALL", "node_facts"))
+def a11(spark, sf):
+    return H.facets(nodes(spark, sf), ["resource_type", "tag", "tests", "described"])
+
+
+RF = "SELECT run_id, action, scope, CAST(month(finished_at) AS STRING) AS bucket FROM ledger_nodes"
+
+
+@query("a12_run_facets", oracle(f", r AS ({RF}) SELECT 'action' AS facet, action AS value, count(*) FILTER (scope = 'r1' AND bucket = '3') AS n FROM r GROUP BY action UNION ALL SELECT 'scope', scope, count(*) FILTER (action = 'built' AND bucket = '3') FROM r GROUP BY scope UNION ALL SELECT 'bucket', bucket, count(*) FILTER (action = 'built' AND scope = 'r1') FROM r GROUP BY bucket", "ledger_nodes"))
+def a12(spark, sf):
+    bind(spark, sf, "ledger_nodes").createOrReplaceTempView("ledger_nodes")
+    return H.run_facets(spark.sql(RF), {"action": "built", "scope": "r1", "bucket": "3"})
+
+
+@query("p1_select_nodes", "SELECT p_partkey AS node FROM part WHERE p_size BETWEEN 1 AND 30 AND p_name LIKE '%1%' AND p_partkey % 10 <> 1")
+def p1(spark, sf):
+    p = bind(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.lit("model").alias("resource_type"), F.when(F.col("p_size").between(1, 30), "keep").otherwise("other").alias("tag"))
+    return H.select_nodes(p, ["model"], ["keep"], "*1*", F.col("node") % 10 == 1).select("node")
+
+
+@query("p5_catalog_filter", "SELECT p_partkey AS node FROM part WHERE p_size IN (1, 2, 3, 4, 5) AND p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part) AND contains(lower(p_name), '1')")
+def p5(spark, sf):
+    p = bind(spark, sf, "part")
+    ends = p.agg(F.min("p_brand"), F.max("p_brand")).first()
+    return H.catalog_filter(p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "p_size", "p_brand"), {"p_size": [1, 2, 3, 4, 5], "p_brand": list(ends)}, "1").select("node")
+
+
+@query("t2_catalog_sort", "SELECT node, CAST(row_number() OVER (PARTITION BY part ORDER BY v DESC NULLS LAST, node) AS INTEGER) AS place, part FROM (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS v, p_type AS part FROM part)")
+def t2(spark, sf):
+    p = bind(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey % 7 <> 0 THEN p_size END").alias("v"), F.col("p_type").alias("part"))
+    return H.catalog_sort(p, "v", True)
+
+
+@query("a25_layer_order", oracle("SELECT layer, min(tests) AS position FROM node_facts GROUP BY layer", "node_facts"))
+def a25(spark, sf):
+    return H.layer_order(nodes(spark, sf).withColumn("depth", F.col("tests")))
+
+
+REC = "SELECT scope, run_id AS id, max(finished_at) AS at FROM ledger_nodes GROUP BY scope, run_id"
+
+
+@query("s16_latest_health_records", oracle(f"SELECT scope, id, CAST(age AS INTEGER) AS age FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY \"at\" DESC, id DESC) AS age FROM ({REC})) WHERE age <= 3", "ledger_nodes"))
+def s16(spark, sf):
+    bind(spark, sf, "ledger_nodes").createOrReplaceTempView("ledger_nodes")
+    return H.latest_records(spark.sql(REC), 3).select("scope", "id", "age")
+
+
+GR = "SELECT l_partkey AS relation, l_suppkey AS login, CASE l_returnflag WHEN 'A' THEN 'MODIFY' ELSE 'SELECT' END AS privilege FROM lineitem"
+
+
+@query("j22_privilege_audit", f"WITH g AS ({GR}), m AS (SELECT * FROM g UNION ALL SELECT DISTINCT relation, login, 'OWNERSHIP' FROM g WHERE relation % 20 = login % 20), b AS (SELECT relation, login, coalesce(string_agg(DISTINCT privilege, ',' ORDER BY privilege) FILTER (privilege <> 'SELECT'), '') AS beyond FROM m GROUP BY ALL) SELECT relation, login, CASE WHEN relation % 9 = 0 THEN 'unknown' WHEN beyond = '' THEN 'read_only' ELSE 'elevated' END AS verdict, beyond FROM b")
+def j22(spark, sf):
+    bind(spark, sf, "node_facts")
+    g = spark.sql(GR)
+    rel = bind(spark, sf, "part").select(F.col("p_partkey").alias("relation"), F.expr("p_partkey % 9 = 0").alias("external"))
+    return H.privilege_audit(g, g.where("relation % 20 = login % 20").select("relation", "login").distinct(), rel)
+
+
+@query("j23_expected_relation", "SELECT p_partkey AS node, CASE WHEN p_partkey % 4 = 0 THEN 'unknown' ELSE 'match' END AS verdict FROM part")
+def j23(spark, sf):
+    p = bind(spark, sf, "part")
+    return H.expected_relation(p.select(F.col("p_partkey").alias("node"), F.upper("p_name").alias("expected"), F.expr("CASE WHEN p_partkey % 4 = 0 THEN 'x' || p_name ELSE p_name END").alias("found")))
+
+
+CV = "SELECT DISTINCT l_suppkey AS node, 'C' || CAST(l_partkey % 60 AS STRING) AS column FROM lineitem WHERE l_linenumber <= 2"
+WV = "SELECT DISTINCT l_suppkey AS node, 'c' || CAST(l_partkey % 60 AS STRING) AS column, 'int' AS type FROM lineitem WHERE l_linenumber > 2"
+TV = "SELECT l_suppkey AS node, 'c' || CAST(l_partkey % 60 AS STRING) AS column, CASE WHEN l_linenumber = 1 THEN 'unique' ELSE 'not_null' END AS test FROM lineitem WHERE l_partkey % 3 = 0"
+_d = lambda s: s.replace("AS column", "AS col")
+
+
+@query("j25_column_views", f"SELECT node, col AS \"column\", type, coalesce(tests, '') AS tests, c IS NULL AS possibly_stale FROM (SELECT node, lower(col) AS col, true AS c FROM ({_d(CV)})) FULL JOIN ({_d(WV)}) USING (node, col) LEFT JOIN (SELECT node, col, string_agg(DISTINCT test, ',' ORDER BY test) AS tests FROM ({_d(TV)}) GROUP BY ALL) USING (node, col)")
+def j25(spark, sf):
+    bind(spark, sf, "node_facts")
+    return H.column_views(spark.sql(CV), spark.sql(WV), spark.sql(TV))
+
+
