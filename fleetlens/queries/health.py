@@ -145,17 +145,17 @@ def a12(spark, sf):
     return H.run_facets(spark.sql(RF), {"action": "built", "scope": "r1", "bucket": "3"})
 
 
-@query("p1_select_nodes", "SELECT p_partkey AS node FROM part WHERE p_size BETWEEN 1 AND 30 AND p_name LIKE '%1%' AND p_partkey % 10 <> 1")
+@query("p1_select_nodes", "SELECT p_partkey AS node FROM part WHERE p_size BETWEEN 1 AND 30 AND p_name LIKE '%r%' AND p_partkey % 10 <> 1")
 def p1(spark, sf):
     p = bind(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.lit("model").alias("resource_type"), F.when(F.col("p_size").between(1, 30), "keep").otherwise("other").alias("tag"))
-    return H.select_nodes(p, ["model"], ["keep"], "*1*", F.col("node") % 10 == 1).select("node")
+    return H.select_nodes(p, ["model"], ["keep"], "*r*", F.col("node") % 10 == 1).select("node")
 
 
-@query("p5_catalog_filter", "SELECT p_partkey AS node FROM part WHERE p_size IN (1, 2, 3, 4, 5) AND p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part) AND contains(lower(p_name), '1')")
+@query("p5_catalog_filter", "SELECT p_partkey AS node FROM part WHERE p_size <= 40 AND p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part) AND contains(lower(p_name), 'ri')")
 def p5(spark, sf):
     p = bind(spark, sf, "part")
     ends = p.agg(F.min("p_brand"), F.max("p_brand")).first()
-    return H.catalog_filter(p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "p_size", "p_brand"), {"p_size": [1, 2, 3, 4, 5], "p_brand": list(ends)}, "1").select("node")
+    return H.catalog_filter(p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "p_size", "p_brand"), {"p_size": list(range(41)), "p_brand": list(ends)}, "RI").select("node")
 
 
 @query("t2_catalog_sort", "SELECT node, CAST(row_number() OVER (PARTITION BY part ORDER BY v DESC NULLS LAST, node) AS INTEGER) AS place, part FROM (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS v, p_type AS part FROM part)")
