@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import tokens
 from fleetlens.llm.text import text_of
-from fleetlens.plans.shared import table
+from fleetlens.plans.shared import bounded_batches, table
 
 WINDOW = 2048
 OPEN = 16
@@ -92,12 +92,12 @@ def pack_partition(path: str, end_id: int, window: int, most_open: int) -> Calla
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokens.library_encoder(path)
+        encoder = tokens.Spaced(path)
         packer = Packer((TaskContext.get().partitionId() + 1) * STRIDE, window, most_open)
         end = np.array([end_id], dtype="<u4")
         for b in batches:
             names = b.column("doc_id").to_pylist()
-            for row, ids, ends in tokens.encode_rows(b.column("pieces"), encode):
+            for row, ids, ends in encoder.rows(b.column("text")):
                 ids = ids.astype("<u4")
                 for k in range(len(ends) - 1):
                     own = np.concatenate([ids[ends[k] : ends[k + 1]], end])
@@ -143,8 +143,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WI
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     """
-    pieces = docs.select("doc_id", tokens.spaced_pieces(text_of()).alias("pieces"))
-    packed = table(pieces.mapInArrow(pack_partition(path, end_id, window, most_open), LEFT), "packed")
+    bounded_batches(docs.sparkSession)
+    texts = docs.select("doc_id", text_of().alias("text"))
+    packed = table(texts.mapInArrow(pack_partition(path, end_id, window, most_open), LEFT), "packed")
     done = packed.where("ids is null")
     left = packed.where("ids is not null")
     part = F.floor(F.abs("sequence_id") / STRIDE) - 1  # the partition, or the group of the level before

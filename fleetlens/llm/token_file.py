@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import tokens
 from fleetlens.llm.text import text_of
-from fleetlens.plans.shared import table
+from fleetlens.plans.shared import bounded_batches, table
 
 CHUNK = 1 << 16
 LEVEL = 3
@@ -54,10 +54,10 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
 
 
 def chunk_writer(path: str, end_id: int, bits: bool, chunk: int = CHUNK) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turn sorted batches of (doc_id, shard, pieces) into chunk rows; holds one slice and one open chunk."""
+    """Turn sorted batches of (doc_id, shard, text) into chunk rows; holds one slice and one open chunk."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.library_encoder(path)
+        encoder = tokens.ByteLevel(path)
         held: list[np.ndarray] = []
         n_held = number = 0
         docs: list[tuple[int, int | None, int]] = []  # id number where it begins, doc_id, length
@@ -84,7 +84,7 @@ def chunk_writer(path: str, end_id: int, bits: bool, chunk: int = CHUNK) -> Call
             names = b.column("doc_id").to_pylist()
             if b.num_rows:
                 shard = b.column("shard")[0].as_py()
-            for row, ids, ends in tokens.encode_rows(b.column("pieces"), encode):
+            for row, ids, ends in encoder.rows(b.column("text")):
                 with_end = np.insert(ids, ends[1:], np.uint32(end_id))  # each document's ids, then the end id
                 for k in range(len(ends) - 1):
                     n = int(ends[k + 1] - ends[k]) + 1
@@ -102,9 +102,10 @@ def chunk_writer(path: str, end_id: int, bits: bool, chunk: int = CHUNK) -> Call
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, bits: bool = False) -> DataFrame:
     """Encode whole texts in ascending doc_id order and write the chunk table; returns it as read back."""
+    bounded_batches(docs.sparkSession)
     sorted_docs = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    pieces = sorted_docs.select("doc_id", F.spark_partition_id().alias("shard"), tokens.byte_level_pieces(F.col("text")).alias("pieces"))
-    return table(pieces.mapInArrow(chunk_writer(path, end_id, bits), SCHEMA), "token_chunks")
+    numbered = sorted_docs.select("doc_id", F.spark_partition_id().alias("shard"), "text")
+    return table(numbered.mapInArrow(chunk_writer(path, end_id, bits), SCHEMA), "token_chunks")
 
 
 def read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

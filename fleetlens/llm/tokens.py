@@ -1,18 +1,20 @@
 """Tokenising whole texts by their distinct pieces.
 
-A text is first cut, in the JVM, at places where no token of the vocabulary can lie across.
-Within an Arrow batch each distinct piece is then encoded once, and the ids are put together
-by numpy. Nothing is kept beyond the batch, so memory follows the batch, not the corpus.
+A text is cut at places where no token of the vocabulary can lie across. Within an Arrow batch
+each distinct piece that the task hasn't met is encoded once, and the ids are put together by
+numpy. A task remembers a bounded number of pieces, so memory doesn't follow the corpus.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,21 +22,20 @@ from pyspark.sql import functions as F
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The pattern of the byte-level vocabularies, for Java's regular expressions.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: A coarser cut that doesn't depend on what counts as a letter: every piece of the pattern lies in one of these.
-COARSE = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: A space beside other white space, for Arrow's regular expressions.
+SPACE_RUN = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] | [\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Words that can be encoded between line ends, and between ones.
+ONE_WORD, NO_ONE = re.compile(r" ?\S+"), re.compile(r"[^1\s]+")
+#: Distinct words that a task remembers.
+MOST_WORDS = 600_000
 #: Words put together at a time.
 SLICE = 1 << 19
 
 
-def byte_level_pieces(text: Column, pattern: str = COARSE) -> Column:
+def byte_level_pieces(text: Column, pattern: str = PIECES) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def spaced_pieces(text: Column) -> Column:
-    """For vocabularies that drop white space: the parts between spaces, tabs and line ends."""
-    return F.array_remove(F.split(text, r"[ \t\r\n]+"), "")
-
-
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """A public tokenizer of the ``tokenizers`` library, once a worker; special strings in a text are ordinary text."""
@@ -46,19 +47,37 @@ def tokenizer(path: str):
     return t
 
 
-def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encode pieces with the ``tokenizers`` library: flat ids and the number of ids of each piece."""
-    t = tokenizer(path)
-
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = [], []
-        for at in range(0, len(pieces), 20_000):
-            found = [e.ids for e in t.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
-            lengths.extend(map(len, found))
-            ids.append(np.fromiter((i for x in found for i in x), dtype=np.uint32))
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array(lengths, dtype=np.int64)
-
-    return encode
+def _encode_each(t, pieces: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=np.uint32) for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def encode_words(t, words: list[str], separator: str, fit: re.Pattern, run: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many words: flat, and how many each has.
+
+    Words that ``fit`` are encoded as one text each ``run`` words, parted by ``separator``, whose
+    one id can't come from such words; this saves the library's cost of a call for each word.
+    The others are encoded one by one.
+    """
+    mark = t.encode(separator, add_special_tokens=False).ids
+    assert len(mark) == 1, separator
+    easy = [i for i, w in enumerate(words) if fit.fullmatch(w)]
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+    rest = set(range(len(words))).difference(easy)
+    for at in range(0, len(easy), run):
+        some = easy[at : at + run]
+        ids = np.array(t.encode_batch_fast([separator.join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        parts = np.split(ids, np.flatnonzero(ids == mark[0]))
+        if len(parts) != len(some):
+            rest.update(some)
+            continue
+        out[some[0]] = parts[0]
+        for i, x in zip(some[1:], parts[1:], strict=True):
+            out[i] = x[1:]
+    hard = sorted(rest)
+    for i, x in zip(hard, _encode_each(t, [words[i] for i in hard]), strict=True):
+        out[i] = x
+    lengths = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32), lengths
 
 
 def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -77,16 +96,95 @@ def row_slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, in
         row = to
 
 
-def encode_rows(lists: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of a list<string> array's rows: first row, flat ids, and each row's bounds in them."""
-    counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    coded = lists.flatten().dictionary_encode()
-    ids, lengths = encode(coded.dictionary.to_pylist())
+Rows = Iterator[tuple[int, np.ndarray, np.ndarray]]
+
+
+def _assemble(lists: pa.Array, encode: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Rows:
+    """For slices of rows: first row, flat ids, and each row's bounds in them.
+
+    ``encode`` gets the flat words and the rows' offsets; it returns ids, the words' lengths and
+    the code of every word.
+    """
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64))])
+    ids, lengths, index = encode(lists.flatten(), offsets)
     starts = np.cumsum(lengths) - lengths
-    index = np.asarray(coded.indices)
     for row, to in row_slices(offsets):
         at = index[offsets[row] : offsets[to]]
         n = lengths[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         yield row, gather(ids, starts[at], n), ends[offsets[row : to + 1] - offsets[row]]
+
+
+class Words:
+    """The ids of the distinct words met so far in a task; starts anew beyond ``MOST_WORDS``."""
+
+    def __init__(self, t, separator: str, fit: re.Pattern, prefix: str = ""):
+        self.t, self.separator, self.fit, self.prefix = t, separator, fit, prefix
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among the known ones; unknown words are encoded first."""
+        if len(self.known) > MOST_WORDS:
+            self.clear()
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(at))
+        place = np.array(at.fill_null(-1))
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            ids, lengths = encode_words(self.t, [self.prefix + w for w in new.to_pylist()], self.separator, self.fit)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        return place[np.asarray(coded.indices)]
+
+
+class Spaced:
+    """For vocabularies that drop white space: the distinct parts between ASCII white space."""
+
+    def __init__(self, path: str):
+        self.words = Words(tokenizer(path), " 1 ", NO_ONE)
+
+    def rows(self, texts: pa.Array) -> Rows:
+        def encode(words: pa.Array, _: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            index = self.words.codes(words)
+            return self.words.ids, self.words.lengths, index
+
+        yield from _assemble(pc.ascii_split_whitespace(texts), encode)
+
+
+class ByteLevel:
+    """For byte-level vocabularies: a token never lies across a single space between two words.
+
+    So a text is cut before such spaces and its distinct parts are encoded. A text in which a
+    space stands beside other white space is encoded in one piece.
+    """
+
+    def __init__(self, path: str):
+        self.t = tokenizer(path)
+        self.words, self.heads = Words(self.t, "\n", ONE_WORD, " "), Words(self.t, "\n", ONE_WORD)
+
+    def _encode(self, words: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        index = self.words.codes(words)
+        first = offsets[:-1]  # a text's first part has no space before it; every text has a first part
+        index[first] = self.heads.codes(words.take(pa.array(first))) + len(self.words.known)
+        return np.concatenate([self.words.ids, self.heads.ids]), np.concatenate([self.words.lengths, self.heads.lengths]), index
+
+    def rows(self, texts: pa.Array) -> Rows:
+        whole = np.asarray(pc.match_substring_regex(texts, SPACE_RUN))
+        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        if not whole.any():
+            yield from _assemble(lists, self._encode)
+            return
+        parts: list[np.ndarray] = []
+        for _, ids, ends in _assemble(lists, self._encode):
+            parts += np.split(ids, ends[1:-1])
+        found = dict(zip(np.flatnonzero(~whole).tolist(), parts, strict=True))
+        hard = np.flatnonzero(whole).tolist()
+        found |= dict(zip(hard, _encode_each(self.t, texts.take(pa.array(hard)).to_pylist()), strict=True))
+        bounds = np.concatenate([[0], np.cumsum([len(found[i]) for i in range(len(texts))])]).astype(np.int64)
+        for row, to in row_slices(bounds):
+            yield row, np.concatenate([found[i] for i in range(row, to)]), bounds[row : to + 1] - bounds[row]
