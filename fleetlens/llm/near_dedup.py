@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from fleetlens.llm.exact_dedup import keep_rows
 from fleetlens.llm.text import lower_ascii, text_of, words_of
 from fleetlens.plans.components import connected_components
-from fleetlens.plans.shared import table
+from fleetlens.plans.shared import bounded_batches, table
 
 BANDS, WIDTH = 32, 5
 PERMS = BANDS * WIDTH
@@ -72,7 +72,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (doc_id, key, sh) to (doc_id, key, n, bands, sketch). Empty sets have no bands."""
     a = _multipliers()
     step = 1 << 18  # shingles at a time: bounds memory for any text
-    for b in batches:
+    for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
         sets = b.column("sh")
         lengths = np.asarray(sets.value_lengths().fill_null(0))
         x = _mix(np.asarray(sets.flatten()).view(np.uint64))
@@ -195,6 +195,7 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     where ``rep`` is a class's smallest doc_id and ``comp`` the smallest doc_id reachable over
     links. Texts without words and null ids belong to no class.
     """
+    bounded_batches(docs.sparkSession)
     signed = table(with_sets(docs, k).mapInArrow(sign, "doc_id long, key binary, n long, bands array<long>, sketch binary"), "signatures")
     members = signed.select("doc_id", "key", "n")
     reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
