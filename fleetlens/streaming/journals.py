@@ -74,6 +74,9 @@ def run_activity(e: DataFrame, duration: str = "1 hour", slide: str | None = Non
 
 
 def follow(df: DataFrame, name: str, mode: str):
-    """Run a query over what is there now, into a memory table; the checkpoint is in the shared folder."""
+    """Run one batch over what is there now, into a memory table; the checkpoint is in the shared folder.
+
+    One batch: a state with a processing-time timer asks for further batches forever.
+    """
     where = f"{checkpoint_dir(df.sparkSession)}/streams/{name}"
-    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(once=True).start()
