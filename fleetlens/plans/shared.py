@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +44,14 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def release_memory() -> None:
+    """At the end of a Python task: give freed memory back, since idle workers stay with their executor."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
