@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from fleetlens.llm.exact_dedup import keep_rows
 from fleetlens.llm.text import lower_ascii, text_of, words_of
 from fleetlens.plans.components import connected_components
-from fleetlens.plans.shared import bounded_batches, table
+from fleetlens.plans.shared import bounded_batches, release_memory, table
 
 BANDS, WIDTH = 32, 5
 PERMS = BANDS * WIDTH
@@ -106,6 +106,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             ["doc_id", "key", "n", "bands", "sketch"],
         )
+    release_memory()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import tokens
 from fleetlens.llm.text import text_of
-from fleetlens.plans.shared import bounded_batches, table
+from fleetlens.plans.shared import bounded_batches, release_memory, table
 
 WINDOW = 2048
 OPEN = 16
@@ -107,6 +107,8 @@ def pack_partition(path: str, end_id: int, window: int, most_open: int) -> Calla
         for _, pieces in packer.open:
             packer.emit(pieces, keep_ids=True)
         yield packer.flush()
+        del encoder
+        release_memory()
 
     return pack
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import tokens
 from fleetlens.llm.text import text_of
-from fleetlens.plans.shared import bounded_batches, table
+from fleetlens.plans.shared import bounded_batches, release_memory, table
 
 CHUNK = 1 << 16
 LEVEL = 3
@@ -96,6 +96,8 @@ def chunk_writer(path: str, end_id: int, bits: bool, chunk: int = CHUNK) -> Call
                     yield rows(chunk)
         if n_held:
             yield rows(n_held)
+        del encoder
+        release_memory()
 
     return write
 
