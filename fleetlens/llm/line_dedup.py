@@ -45,9 +45,8 @@ def segments(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
 
 
-def signatures(line: Column, edits: int) -> Column:
-    """The index signatures and the probes of a line: an array of (sig, index)."""
-    n = F.char_length(line)
+def signatures(line: Column, n: Column, edits: int) -> Column:
+    """The index signatures and the probes of a line of ``n`` characters: an array of (sig, index)."""
     out = []
     for less in range(edits + 1):
         length = n - less
@@ -143,10 +142,10 @@ def block_pairs(edits: int):
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, text): trimmed lines that aren't blank, named by a hash."""
+    """(doc_id, pos, line, text, n_chars): trimmed lines that aren't blank, named by a hash."""
     rows = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
-    rows = rows.select("doc_id", "pos", F.regexp_replace("raw", r"^[\s]+|[\s]+$", "").alias("text")).where("text <> ''")
-    return rows.select("doc_id", "pos", F.xxhash64("text", F.reverse("text")).alias("line"), "text")
+    rows = rows.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("text")).where("text <> ''")
+    return rows.select("doc_id", "pos", F.xxhash64("text", F.octet_length("text")).alias("line"), "text", F.char_length("text").alias("n_chars"))
 
 
 def similar_lines(lines: DataFrame, heavy: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -157,8 +156,8 @@ def similar_lines(lines: DataFrame, heavy: DataFrame, edits: int = EDITS) -> Dat
     """
     often = F.broadcast(heavy.select("line"))
     once = lines.join(often, "line").dropDuplicates(["line"])
-    each = lines.join(often, "line", "left_anti").unionByName(once).where(F.char_length("text") >= MIN_LENGTH)
-    rows = each.select("line", F.explode(signatures(F.col("text"), edits)).alias("s")).select("line", "s.sig", "s.index").repartition("sig")
+    each = lines.join(often, "line", "left_anti").unionByName(once).where(F.col("n_chars") >= MIN_LENGTH)
+    rows = each.select("line", F.explode(signatures(F.col("text"), F.col("n_chars"), edits)).alias("s")).select("line", "s.sig", "s.index").repartition("sig")
     rows = rows.groupBy("sig", "line").agg(F.bool_or("index").alias("index"))
     counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bool_or("index").alias("has"), F.min("line").alias("lo"), F.max("line").alias("hi"))
     shared = counts.where("has and lo <> hi").select("sig", "n")
