@@ -34,31 +34,35 @@ MIN_LENGTH = 24
 SMALL = 32
 BLOCK = 256
 HEAVY = 1000
+#: So many line hashes (8 bytes each) are broadcast to pick out the texts to verify.
+BROADCAST_LINES = 1_000_000
 
 
-def segments(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0); the last segments take the remainder."""
-    parts = edits + 1
-    base = F.floor(length / parts).cast("int")
-    short = parts - length % parts  # so many segments have the base length
-    start = F.lit(i) * base + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-    return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
-
-
-def signatures(line: Column, n: Column, edits: int) -> Column:
-    """The index signatures and the probes of a line of ``n`` characters: an array of (sig, index)."""
+def places(edits: int) -> list[tuple[int, int, int]]:
+    """The signatures of a line: (characters less, segment, shift). The index is that without less and shift."""
     out = []
     for less in range(edits + 1):
-        length = n - less
         for i in range(edits + 1):
-            start, size = segments(length, i, edits)
             lo, hi = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(lo, hi + 1):
-                at = start + shift
-                sig = F.xxhash64(length, F.lit(i), F.substring(line, at, size))
-                fits = (at >= 1) & (at + size - 1 <= n) & (length >= MIN_LENGTH)
-                out.append(F.when(fits, F.struct(sig.alias("sig"), F.lit(less == 0 and shift == 0).alias("index"))))
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+            out += [(less, i, shift) for shift in range(lo, hi + 1)]
+    return out
+
+
+def signatures(lines: DataFrame, edits: int) -> DataFrame:
+    """(line, sig, index) of ``lines(line, text, n_chars)``: the index signatures and the probes.
+
+    Segments are even; the last ones take the remainder. In a line of ASCII, characters are
+    bytes, which are cut without a walk over the line; the hash of equal bytes is the same.
+    """
+    parts = edits + 1
+    spec = F.explode(F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(at).alias("shift")) for x, i, at in places(edits)]))
+    rows = lines.select("line", "text", "n_chars", (F.octet_length("text") == F.col("n_chars")).alias("plain"), spec.alias("s"))
+    rows = rows.select("*", (F.col("n_chars") - F.col("s.less")).alias("length"), F.col("s.i").alias("i")).where(F.col("length") >= MIN_LENGTH)
+    base, short = ((F.col("length") - F.col("length") % parts) / parts).cast("int"), parts - F.col("length") % parts  # so many segments have the base length
+    rows = rows.select("*", (F.col("i") * base + F.greatest(F.col("i") - short, F.lit(0)) + 1 + F.col("s.shift")).alias("at"), (base + (F.col("i") >= short).cast("int")).alias("size"))
+    cut = F.when(F.col("plain"), F.substring(F.col("text").cast("binary"), F.col("at"), F.col("size"))).otherwise(F.substring("text", F.col("at"), F.col("size")).cast("binary"))
+    fits = (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n_chars"))
+    return rows.where(fits).select("line", F.xxhash64("length", "i", cut).alias("sig"), ((F.col("s.less") == 0) & (F.col("s.shift") == 0)).alias("index"))
 
 
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -151,21 +155,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def similar_lines(lines: DataFrame, heavy: DataFrame, edits: int = EDITS) -> DataFrame:
     """Links (a, b) between different lines within ``edits`` edits.
 
-    ``heavy``: the lines that make up over one in ``HEAVY`` of all; each gives its signatures
-    once, so no signature is as frequent as a line can be.
+    ``heavy``: the lines that make up over one in ``HEAVY`` of all, with their first places; each
+    gives its signatures there only, so no signature is as frequent as a line can be.
     """
-    often = F.broadcast(heavy.select("line"))
-    once = lines.join(often, "line").dropDuplicates(["line"])
-    each = lines.join(often, "line", "left_anti").unionByName(once).where(F.col("n_chars") >= MIN_LENGTH)
-    rows = each.select("line", F.explode(signatures(F.col("text"), F.col("n_chars"), edits)).alias("s")).select("line", "s.sig", "s.index").repartition("sig")
-    rows = rows.groupBy("sig", "line").agg(F.bool_or("index").alias("index"))
-    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bool_or("index").alias("has"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-    shared = counts.where("has and lo <> hi").select("sig", "n")
-    met = table(rows.join(shared, "sig"), "met")
+    often = F.broadcast(heavy.select(F.col("line").alias("often"), "first"))
+    first = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
+    each = lines.where(F.col("n_chars") >= MIN_LENGTH).join(often, F.col("line") == F.col("often"), "left").where(first)
+    rows = signatures(each, edits).where("sig is not null").repartition("sig").groupBy("sig", "line").agg(F.bool_or("index").alias("index"))
+    # both uses of ``rows`` read one exchange
+    shared = rows.groupBy("sig").agg(F.bool_or("index").alias("has"), F.min("line").alias("lo"), F.max("line").alias("hi")).where("has and lo <> hi").select("sig")
+    met = table(rows.join(shared.hint("shuffle_hash"), "sig", "left_semi"), "met")
+    sizes = table(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    met = met.join(sizes, "sig")
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
     index = few.where("index").select("sig", F.col("line").alias("other"))
     pairs = few.select("sig", "line").join(index, "sig").where("line <> other").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
-    texts = table(lines.join(met.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"]).select("line", "text"), "texts")
+    ids = table(met.select("line").distinct(), "ids")
+    few_ids = ids.count() <= BROADCAST_LINES  # else all texts are shuffled to the ids
+    texts = table(lines.join(F.broadcast(ids) if few_ids else ids.hint("merge"), "line", "left_semi").dropDuplicates(["line"]).select("line", "text"), "texts")
     sized = many.select("sig", "line", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")).withColumn("i", F.pmod(F.xxhash64("line", F.lit("block")), F.col("k")).cast("int"))
     sized = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = sized.select("sig", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "line").join(texts, "line")
