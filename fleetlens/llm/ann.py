@@ -12,8 +12,9 @@ parts of about that size; a query visits all parts of a list.
 
 *Search*: each query class walks a neighbour graph over the centroids (in memory, at most
 ``MAX_LISTS`` of them) and visits the lists that pass the distance-ratio test, at most
-``PROBES``. Queries and parts meet by (list, part); a task holds one part and a slice of
-queries. Scores are sums in double precision, component by component, so equal vectors have
+``PROBES``. Where these hold fewer than ``k + 1`` ids, further lists follow in order of distance
+until they do, over all lists if need be. Queries and parts meet by (list, part); a task holds
+one part and a slice of queries. Scores are sums in double precision, component by component, so equal vectors have
 equal scores.
 """
 
@@ -130,7 +131,7 @@ def _chunked(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def assigner(c: np.ndarray, norm: float):
-    """Batches of classes to (list, rep, ids, e), boundary vectors more than once."""
+    """Batches of classes to (list, home, rep, ids, e), boundary vectors more than once; ``home`` is the nearest list."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,12 +145,32 @@ def assigner(c: np.ndarray, norm: float):
                 dist = np.take_along_axis(d, near, axis=1)
                 row, col = np.nonzero(dist <= dist.min(axis=1, keepdims=True) * BOUNDARY)
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), out.column("rep"), out.column("ids"), out.column("e")], ["list", "rep", "ids", "e"])
+                home = col == dist.argmin(axis=1)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), pa.array(home), out.column("rep"), out.column("ids"), out.column("e")], ["list", "home", "rep", "ids", "e"])
 
     return assign
 
 
-def router(c: np.ndarray, parts: np.ndarray, probes: int, prune: float):
+def visits(q: np.ndarray, c: np.ndarray, graph: np.ndarray, held: np.ndarray, need: int, probes: int, prune: float) -> list[int]:
+    """The lists that a query visits, which together hold ``need`` ids, or all lists.
+
+    ``held`` counts each class in its nearest list only, so a sum over lists counts none twice.
+    """
+    found = graph_search(q, c, graph, probes)
+    out = [s for d, s in found if d <= found[0][0] * prune**2]
+    have = int(held[out].sum())
+    if have < need:
+        seen = set(out)
+        for s in np.argsort(((c - q) ** 2).sum(axis=1), kind="stable").tolist():
+            if have >= need:
+                break
+            if s not in seen:
+                out.append(s)
+                have += int(held[s])
+    return out
+
+
+def router(c: np.ndarray, parts: np.ndarray, held: np.ndarray, need: int, probes: int, prune: float):
     """Batches of query classes to (list, part, q, qe): a row for each part that the query visits."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +184,11 @@ def router(c: np.ndarray, parts: np.ndarray, probes: int, prune: float):
                 x = np.hstack([x * size[:, None], np.zeros((len(x), 1))])
                 rows, lists, part = [], [], []
                 for i, q in enumerate(x):
-                    found = graph_search(q, c, graph, probes)
-                    nearest = found[0][0]
-                    for d, s in found:
-                        if d <= nearest * prune**2 or len(found) <= 8:
-                            for p in range(parts[s]):
-                                rows.append(i)
-                                lists.append(s)
-                                part.append(p)
+                    for s in visits(q, c, graph, held, need, probes, prune):
+                        for p in range(parts[s]):
+                            rows.append(i)
+                            lists.append(s)
+                            part.append(p)
                 out = piece.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), out.column("q"), out.column("qe")], ["list", "part", "q", "qe"])
 
@@ -235,17 +253,19 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probes:
     c = fit_centroids(x, max(1, min(MAX_LISTS // 2, n // ROWS_A_LIST)))
 
     kind = classes.schema["e"].dataType.simpleString()
-    postings = table(classes.mapInArrow(assigner(c, norm), f"list int, rep long, ids array<long>, e {kind}"), "postings")
+    postings = table(classes.mapInArrow(assigner(c, norm), f"list int, home boolean, rep long, ids array<long>, e {kind}"), "postings")
     parts = np.ones(len(c), dtype=np.int64)
-    for r in postings.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        parts[r["list"]] = -(-r["count"] // LIST)
+    held = np.zeros(len(c), dtype=np.int64)
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held")).collect():  # at most MAX_LISTS rows
+        parts[r["list"]] = -(-r["n"] // LIST)
+        held[r["list"]] = r["held"]
     of_list = F.element_at(F.lit(parts.tolist()), F.col("list") + 1)
-    postings = postings.withColumn("part", F.pmod(F.xxhash64("rep"), of_list).cast("int"))
+    postings = postings.drop("home").withColumn("part", F.pmod(F.xxhash64("rep"), of_list).cast("int"))
 
     q = v.where(F.col("vec_id") % every == 0).select("vec_id", "e")
     mine = table(q.join(classes.select("e", "rep"), "e").select("vec_id", F.col("rep").alias("q")).distinct(), "queries")
     asked = classes.join(mine.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("q"), F.col("e").alias("qe"))
-    probed = asked.repartition("q").mapInArrow(router(c, parts, probes, prune), f"list int, part int, q long, qe {kind}")
+    probed = asked.repartition("q").mapInArrow(router(c, parts, held, k + 1, probes, prune), f"list int, part int, q long, qe {kind}")
     near = postings.groupBy("list", "part").cogroup(probed.groupBy("list", "part")).applyInArrow(scorer(k), "q long, rep long, score double, ids array<long>")
 
     best = near.groupBy("q", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))

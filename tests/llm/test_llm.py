@@ -233,6 +233,24 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(none).count() == 0
 
 
+def test_nearest_neighbours_of_a_tiny_cluster(spark, monkeypatch):
+    """Tight clusters: the ratio lets a query visit its own list only, and the first one holds 5 vectors."""
+    rng = np.random.default_rng(8)
+    sizes = [5, 3, 2, *[30] * 9]
+    axis = np.repeat(np.arange(len(sizes)), sizes)
+    x = np.eye(16)[axis] + rng.normal(scale=1e-3, size=(len(axis), 16))
+    x = (x / np.sqrt((x**2).sum(axis=1))[:, None]).astype(np.float32)
+    monkeypatch.setattr(ann, "fit_centroids", lambda *a: np.hstack([np.eye(16)[: len(sizes)], np.zeros((len(sizes), 1))]))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for probes in (64, 2):
+        by = defaultdict(list)
+        for r in ann.nearest_neighbours(d, every=1, k=20, probes=probes).collect():
+            by[r["query_id"]].append(r["vec_id"])
+        assert {q: len(set(v) - {q}) for q, v in by.items()} == dict.fromkeys(range(len(x)), 20)
+    few = {r["query_id"]: r["n"] for r in ann.nearest_neighbours(d.where("vec_id < 9"), every=1, k=20).groupBy("query_id").agg({"*": "count"}).toDF("query_id", "n").collect()}
+    assert few == dict.fromkeys(range(9), 8)
+
+
 def test_line_dedup(spark):
     a = "the quick brown fox jumps over the lazy dog"
     b = "the quick brown fox jumped over the lazy dog"  # two edits
