@@ -159,12 +159,12 @@ def breaks(removed: DataFrame, uses: DataFrame, readers: DataFrame, copies: Data
     return sure.unionByName(lab(unsure.join(sure.select("node"), "node", "left_anti"), "unknown"))
 
 
-def downstream_uses(seeds: DataFrame, edges: DataFrame, longest: int = 12) -> DataFrame:
-    """The paths of uses from a column, none twice on its own path; a use that shapes rows ends one."""
+def downstream_uses(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The paths of uses from a column, of any length, none twice on its own path; a use that shapes rows ends one."""
     e = cut(edges.select(F.concat_ws(".", "from_relation", "from_column").alias("at"), F.when(F.col("to_column").isNotNull(), F.concat_ws(".", "node", "to_column")).otherwise(F.concat(F.col("node"), F.lit(".*"))).alias("next"), F.col("to_column").isNull().alias("ends")).distinct())
     paths = cut(seeds.select(F.concat_ws(".", "relation", "column").alias("at")).withColumn("path", F.array("at")))
     out = None
-    for _ in range(longest):
+    while True:  # ends, since no path repeats a column
         paths = cut(paths.join(e, "at").where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), "ends"))
         if paths.isEmpty():
             break

@@ -134,6 +134,14 @@ def test_impact_reaches_everything_downstream_of_an_opaque_node(spark):
     assert {(r["relation"], r["kind"]) for r in got.collect()} == {("a", "modified"), ("b", "modified"), ("c", "rows"), ("d", "rows"), ("e", "rows")}
 
 
+def test_downstream_uses_follow_a_chain_to_its_end(spark):
+    chain = [(f"n{i}", "c", f"n{i + 1}", "c") for i in range(15)] + [("n15", "c", "n3", "c"), ("n15", "c", "n16", None)]
+    e = spark.createDataFrame(chain, "from_relation string, from_column string, node string, to_column string")
+    got = dict(rows(lineage.downstream_uses(spark.createDataFrame([("n0", "c")], "relation string, column string"), e), "steps", "path"))
+    want = [f"n{i}.c" for i in range(16)] + ["n16.*"]
+    assert got == {k: ">".join(want[:k]) for k in range(2, 18)}
+
+
 def test_journals_count_what_they_cant_read(spark, tmp_path):
     good = {"run_id": "r", "seq": 1, "at": "2024-01-01T00:00:00Z", "kind": "node_started", "node": "n"}
     (tmp_path / "p1").mkdir()
