@@ -291,6 +291,26 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch):
         assert kept == set(group)
 
 
+WRAPPED = {
+    "mit": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above copyright",
+    "apache-2.0": "   Licensed under the Apache\n   License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance\n   with the License. You may obtain a copy\n   of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_license_scan_joins_wrapped_lines(spark):
+    prose = "\n".join("A quiet river runs past the old mill and the boats lie there in rows all day" for _ in range(60))
+    cases = []
+    for family, notice in WRAPPED.items():
+        commented = "\n".join(f" * {x}" if x else "" for x in notice.split("\n"))
+        cases += [(family, notice), (family, notice.replace("\n", "\r\n")), (family, commented), (family, f"{prose}\n{notice}\n{prose}"), (family, f"{prose} {notice}".replace("\n", " "))]
+    cases += [("cc-by-nc", f"{prose}\nLicensed under CC\nBY-NC 4.0."), (None, prose), (None, f"{prose}\nHe had the permission\nof his father and a driving\nlicense.\n{prose}")]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan_licenses(d).collect()}
+    assert got == {i: f for i, (f, _) in enumerate(cases)}
+
+
 def test_license_scan(spark):
     rows = [
         (1, "Some prose here.\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."),
