@@ -47,6 +47,16 @@ def j16(spark, sf):
     return X.did_you_mean(spark.sql(NAMES).distinct(), spark.sql("SELECT DISTINCT 'all' AS scope, p_name AS candidate FROM part"))
 
 
+# Every part's name; brute force checks it in the tests, since SQL would compare all pairs.
+ALL_NAMES = NAMES.split(" WHERE")[0]
+
+
+@query("j16_did_you_mean_all")
+def j16_all(spark, sf):
+    bind(spark, sf, "node_facts")
+    return X.did_you_mean(spark.sql(ALL_NAMES).distinct(), spark.sql("SELECT DISTINCT 'all' AS scope, p_name AS candidate FROM part"))
+
+
 @query("p14_failed_nodes", oracle("SELECT scope, run_id, node FROM (SELECT DISTINCT scope, run_id, node FROM run_events WHERE status = 'error') ANTI JOIN (SELECT scope, run_id, node FROM run_events WHERE status = 'failed') USING (scope, run_id, node)", "run_events"))
 def p14(spark, sf):
     e = bind(spark, sf, "run_events")

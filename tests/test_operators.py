@@ -9,10 +9,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.bindings import bind
 from fleetlens.functions import scalars as S
 from fleetlens.operators import failures, graphs, lineage, runs, state
 from fleetlens.plans.components import connected_components
 from fleetlens.plans.fixpoint import layers
+from fleetlens.queries import everything
 from fleetlens.sources import artifacts
 from fleetlens.streaming import journals
 
@@ -134,6 +136,53 @@ def test_impact_reaches_everything_downstream_of_an_opaque_node(spark):
     assert {(r["relation"], r["kind"]) for r in got.collect()} == {("a", "modified"), ("b", "modified"), ("c", "rows"), ("d", "rows"), ("e", "rows")}
 
 
+def parts(spark, folder, names):
+    """The tables that the bindings read, from sf0.001, with other names of parts."""
+    import shutil
+
+    for t in ("region nation customer supplier orders lineitem events documents labels").split():
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", folder)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(1).drop("p_partkey", "p_name").crossJoin(spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string"))
+    part.write.parquet(str(folder / "part.parquet"))
+    return str(folder)
+
+
+def test_every_part_name_is_asked(spark, tmp_path):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcD") for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+
+    def lev(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            q = [i + 1]
+            for j, y in enumerate(b):
+                q.append(min(p[j + 1] + 1, q[j] + 1, p[j] + (x != y)))
+            p = q
+        return p[-1]
+
+    want = []
+    for n in {x + ("s" if i % 2 == 0 else "") for i, x in enumerate(names)}:
+        near = sorted((lev(n.lower(), c.lower()), c) for c in set(names) if c != n and lev(n.lower(), c.lower()) <= 2)
+        want += [(n, c, d, k + 1) for k, (d, c) in enumerate(near[:3])]
+    got = everything()["j16_did_you_mean_all"][0](spark, parts(spark, tmp_path, names))
+    assert rows(got, "name", "candidate", "distance", "rank") == sorted(want)
+
+
+def test_every_finished_check_counts(spark):
+    sf = "/root/testdata/sf0.001"
+    events = [r.asDict() for r in bind(spark, sf, "run_events").collect()]
+    checks = {}
+    for e in events:
+        key = (f"{e['scope']}/{e['run_id']}", e["node"])
+        checks.setdefault(key, [])
+        checks[key] += [(e["status"], e["run_id"])] if e["kind"] == "check_finished" else []
+    want = sorted((*k, ("old" if not c else c[0][1] if all(s == "passed" for s, _ in c) else None) or "") for k, c in checks.items())
+    assert len({w[2][:3] for w in want}) == 3
+    for name, key in (("g18_record_tests_all", "node"), ("g19_record_source_checks_all", "source")):
+        got = everything()[name][0](spark, sf)
+        assert rows(got.withColumn("tested", F.coalesce("tested", F.lit(""))), "scope", key, "tested") == want
+
+
 def test_downstream_uses_follow_a_chain_to_its_end(spark):
     chain = [(f"n{i}", "c", f"n{i + 1}", "c") for i in range(15)] + [("n15", "c", "n3", "c"), ("n15", "c", "n16", None)]
     e = spark.createDataFrame(chain, "from_relation string, from_column string, node string, to_column string")
