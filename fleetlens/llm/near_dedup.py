@@ -16,7 +16,8 @@
    blocks, sketches against sketches as numpy matrices, and what passes on the full sets:
    nothing is capped, and only links leave a task.
 
-Two sets of similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 = 3e-6.
+Two sets of similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 = 3e-6; what bands
+lose beyond that is what no candidate search by bands can see.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from pyspark.sql import types as T
 from fleetlens.llm.exact_dedup import keep_rows
 from fleetlens.llm.text import lower_ascii, text_of, words_of
 from fleetlens.plans.components import connected_components
-from fleetlens.plans.shared import bounded_batches, release_memory, table
+from fleetlens.plans.shared import Scratch, bounded_batches, release_memory, table
 
 BANDS, WIDTH = 32, 5
 PERMS = BANDS * WIDTH
 SKETCH_BITS = 1024
 SMALL = 24
 STAR_ROUNDS = 2
-BLOCK = 1024
+#: A block holds so many members, or so many shingles, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: So many ids (8 bytes each) are broadcast to pick out the texts to verify.
 BROADCAST_IDS = 1_000_000
 
@@ -129,32 +131,52 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(doc_id, sh) of the documents with the given ids; only their texts are read again."""
     few = ids.count() <= BROADCAST_IDS  # else texts are shuffled to the ids
     sets = with_sets(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi"), k).select("doc_id", "sh")
-    return table(sets.dropDuplicates(["doc_id"]), "sets")
+    return scratch.table(sets.dropDuplicates(["doc_id"]), "sets")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of representatives whose full sets pass."""
-    ids = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = _sets_of(ids, docs, k)
+    ids = scratch.table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = _sets_of(ids, docs, k, scratch)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
-def _blocks(members: DataFrame, loosest: float, percent: int) -> DataFrame:
+def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``members`` once for each block pair that they take part in.
+
+    In each bucket the members of its largest component are the *home* side. They needn't be
+    compared with each other, so a home block meets only the blocks of the others, and these meet
+    each other: with few others, a home row stands in one block pair.
+    """
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    whole = comps.groupBy("bucket").agg(F.max(F.struct("m", "w", "comp")).alias("home"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = whole.select("bucket", F.col("home.comp").alias("home"), blocks(F.col("home.m"), F.col("home.w")).alias("kh"), blocks(F.col("m") - F.col("home.m"), F.col("w") - F.col("home.w")).alias("kr"))
+    m = members.join(scratch.table(sizes, "blocks"), "bucket").withColumn("at_home", F.col("comp") == F.col("home"))
+    m = m.withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("at_home"), F.col("kh")).otherwise(F.col("kr"))).cast("int"))
+    m = m.withColumn("z", F.explode(F.sequence(F.lit(0), F.when(F.col("at_home"), F.col("kr")).otherwise(F.col("kh") + F.col("kr")) - 1)))
+    j, meets_home = F.col("z") - F.col("kh"), F.col("z") < F.col("kh")
+    pick = lambda home, rest_home, rest: F.when(F.col("at_home"), home).when(meets_home, rest_home).otherwise(rest)
+    return m.select(
+        "bucket", pick(F.col("i"), F.col("z"), F.col("kh") + F.least("i", j)).alias("x"), pick(F.col("z"), F.col("i"), F.greatest("i", j)).alias("y"),
+        pick(F.lit(False), F.lit(True), F.col("i") <= j).alias("left"), pick(F.lit(True), F.lit(False), F.col("i") >= j).alias("right"), "rep", "n", "comp",
+    )
+
+
+def _blocks(members: DataFrame, full: DataFrame, loosest: float, percent: int, scratch: Scratch) -> DataFrame:
     """Links between components within a bucket, block against block, confirmed on full sets.
 
-    ``members(bucket, rep, n, comp, sketch, bands, sh)``. Within a block pair, components that a link
-    has joined aren't compared again, so it returns fewer links than it has members.
+    ``members(bucket, rep, n, comp)``, ``full(rep, sketch, bands, sh)``. Within a block pair,
+    components that a link has joined aren't compared again, so it returns fewer links than it has
+    members.
     """
-    sizes = table(members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")), "blocks")
-    m = members.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("k")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("k") - 1)
-    m = m.withColumn("j", F.explode(other)).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "rep", "n", "comp", "sketch", "bands", "sh")
+    m = _dealt(members, scratch).join(full, "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t["left"]), t.filter(t["right"])
@@ -197,6 +219,7 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     links. Texts without words and null ids belong to no class.
     """
     bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     signed = table(with_sets(docs, k).mapInArrow(sign, "doc_id long, key binary, n long, bands array<long>, sketch binary"), "signatures")
     members = signed.select("doc_id", "key", "n")
     reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -204,9 +227,9 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     sketches = reps.select("rep", "sketch")
     buckets = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    buckets = table(buckets.join(shared, "bucket", "left_semi"), "buckets")
+    buckets = scratch.table(buckets.join(shared, "bucket", "left_semi"), "buckets")
     loosest = percent / 100 - 0.18
-    links = comps = checked = None
+    comps = checked = None
 
     def labelled() -> DataFrame:
         if comps is None:
@@ -214,16 +237,17 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         return buckets.join(comps, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
     def grow(found: DataFrame) -> None:
-        nonlocal links, comps
+        """Join the components that the found links connect."""
+        nonlocal comps
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            comps = table(connected_components(links), "components")
+            links = found if comps is None else found.union(comps.select("node", "component"))
+            comps = scratch.table(connected_components(links), "components")
 
     def confirm(pairs: DataFrame) -> None:
         """Verify pairs on full sets, remember them, and add the links they bring."""
         nonlocal checked
-        checked = pairs if checked is None else checked.union(pairs)
-        grow(table(_verify(pairs, docs, k, percent), "links"))
+        checked = scratch.table(pairs if checked is None else checked.union(pairs), "checked")
+        grow(scratch.table(_verify(pairs, docs, k, percent, scratch), "links"))
 
     def unsettled(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are still in different components and weren't verified."""
@@ -234,14 +258,16 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
 
     for turn in range(STAR_ROUNDS + 1):
         m = labelled()
-        state = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", "bucket", F.lit(turn))).alias("centre"))
-        state = table(state.where("lo <> hi").select("bucket", "m", "centre"), "state")
+        # one order of the representatives for all buckets: those of one group mostly share their centre
+        centre = F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn)))
+        state = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), centre.alias("centre"))
+        state = scratch.table(state.where("lo <> hi").select("bucket", "m", "centre"), "state")
         large = F.col("m") > SMALL
         if turn == STAR_ROUNDS:
-            m = table(m.join(state.where(large).select("bucket"), "bucket", "left_semi"), "large")
-            ids = table(m.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-            full = reps.select("rep", "sketch", "bands").join(_sets_of(ids, docs, k).withColumnRenamed("doc_id", "rep"), "rep")
-            grow(table(_blocks(m.join(full, "rep"), loosest, percent), "links"))
+            m = scratch.table(m.join(state.where(large).select("bucket"), "bucket", "left_semi"), "large")
+            ids = scratch.table(m.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+            full = reps.select("rep", "sketch", "bands").join(_sets_of(ids, docs, k, scratch).withColumnRenamed("doc_id", "rep"), "rep")
+            grow(scratch.table(_blocks(m, full, loosest, percent, scratch), "links"))
             break
         star = m.join(state, "bucket")
         pairs = star.where("comp <> centre.comp").where(_sizes_allow("n", "centre.n", percent)).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
@@ -250,13 +276,15 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
             two = few.join(few.toDF("bucket", "rep2", "n2", "comp2"), "bucket").where("rep < rep2 and comp <> comp2").where(_sizes_allow("n", "n2", percent))
             pairs = pairs.union(two.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
         s = lambda c: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
-        pairs = unsettled(pairs.distinct()).join(s("a"), "a").join(s("b"), "b").withColumn("est", odd_similarity("sa", "sb")).where(F.col("est") >= loosest).select("a", "b", "est")
-        pairs = table(pairs, "pairs")
+        pairs = scratch.table(unsettled(pairs.distinct()), "candidates")
+        pairs = pairs.join(s("a"), "a").join(s("b"), "b").withColumn("est", odd_similarity("sa", "sb")).where(F.col("est") >= loosest).select("a", "b", "est")
+        pairs = scratch.table(pairs, "pairs")
         if not turn and not pairs.isEmpty():  # first the likeliest partner of each, which settles most
-            confirm(table(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "first"))
-            pairs = table(unsettled(pairs.select("a", "b")), "pairs")
+            confirm(scratch.table(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "first"))
+            pairs = scratch.table(unsettled(pairs.select("a", "b")), "rest")
         if not pairs.isEmpty():
             confirm(pairs.select("a", "b"))
+    scratch.drop("buckets", "checked", "state", "large", "ids", "sets", "blocks", "links", "candidates", "pairs", "first", "rest")
     classes = reps.select("key", "rep")
     if comps is None:
         return members, classes.withColumn("comp", F.col("rep"))
