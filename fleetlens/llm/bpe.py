@@ -1,37 +1,50 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words.
 
-A text's pieces (the public pattern, in the JVM) are reduced to the distinct words of its
-*split*, a bounded share of the documents, and these to the distinct words of the corpus. Each
-distinct word is encoded once, by a fold over its bytes: the state holds where the current
-tokens begin and the rank of every adjacent pair; a step merges the pairs of the lowest rank
-(of touching ones the first). Ranks come from a literal: ``BUCKETS`` small maps in one array,
-picked by the word's crc, because a lookup in one large map would compare all its keys. Bytes
-are written as the characters U+0000 to U+00FF, so that map keys are strings.
-
-The words' ids go back to the splits that hold them, where a task looks up the words of its
-documents, writes the ids, and decodes them by concatenating the ids' byte pieces.
+Everything happens where the texts are read; nothing is shuffled.
+
+1. A text is cut into pieces by the public pattern in the JVM. A text with code points that this
+   JVM doesn't know (its Unicode is older than the library's) is cut in step 2.
+2. A task names its distinct words by numbers. A row for each batch carries the words that the
+   task hasn't met, and the documents as lists of numbers.
+3. Each new word is encoded once in a task, by a fold of ranked merges over its bytes
+   (``encode_word``). The ranks are a literal: a perfect hash of all pairs of tokens whose
+   concatenation is a token, so a step looks up two numbers, not strings. Words that are tokens
+   are looked up; words of over ``LONGEST_FOLD`` bytes (unspaced blobs) are merged by a heap, in
+   time that grows with their length and not its square.
+4. The task's documents are put together from their words' ids, and decoded by concatenating the
+   ids' byte pieces.
+
+A task remembers ``MOST_WORDS`` words and then starts anew, so memory doesn't follow the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
-import zlib
+import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.text import text_of
 from fleetlens.llm.tokens import PIECES, byte_level_pieces, gather, row_slices
+from fleetlens.plans.shared import bounded_batches, release_memory
 
-BUCKETS = 1 << 16
-#: Bytes of text in a split, about; a longer text is a split of its own or shares one.
-SPLIT_BYTES = 6_000_000
+#: Distinct words that a task remembers.
+MOST_WORDS = 500_000
+#: The fold's work grows with the square of a word's length; longer words (bytes) take ``merge_long``.
+LONGEST_FOLD = 512
+#: Sizes of the perfect hash: displacements and slots.
+DISPLACED, SLOTS = 1 << 15, 1 << 18
+#: No token: stands at both ends of a word, so that every pair has neighbours.
+EDGE = (1 << 16) - 1
+#: The rank of a pair that isn't a token.
+NONE = 1 << 16
+NEW = pa.struct([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
 
 
 @lru_cache(maxsize=2)
@@ -41,18 +54,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _bucket(key: str) -> int:
-    return zlib.crc32(key.encode()) % BUCKETS
+def token_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """(left, right, rank) of every two tokens whose concatenation is a token."""
+    assert max(ranks.values()) < EDGE
+    out = [(left, right, rank) for token, rank in ranks.items() for at in range(1, len(token)) if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None]
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def _places(left, right):
+    """The displacement's number and the slot before displacement, not yet reduced."""
+    return left * 40503 + right * 30011, left * 10007 + right * 48271
 
 
 @lru_cache(maxsize=2)
-def rank_literal(path: str) -> str:
-    """The rank map as JSON: an array of ``BUCKETS`` maps from byte strings to ranks."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in load_ranks(path).items():
-        key = token.decode("latin-1")
-        buckets[_bucket(key)][key] = rank
-    return json.dumps(buckets, separators=(",", ":"))
+def perfect_hash(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Displacements, and slots that hold ``pair << 16 | rank`` (0: none), without collisions."""
+    pairs = token_pairs(load_ranks(path))
+    group, base = _places(pairs[:, 0], pairs[:, 1])
+    group = group % DISPLACED
+    entry = ((pairs[:, 0] << 16 | pairs[:, 1]) << 16) | pairs[:, 2]
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(DISPLACED + 1))
+    shift, slots = np.zeros(DISPLACED, np.int64), np.zeros(SLOTS, np.int64)
+    rng = np.random.default_rng(3)
+    for g in np.argsort(-np.diff(bounds), kind="stable"):  # the fullest groups first
+        mine = order[bounds[g] : bounds[g + 1]]
+        while len(mine):
+            at = (base[mine] + shift[g]) % SLOTS
+            if not slots[at].any() and len(np.unique(at)) == len(at):
+                slots[at] = entry[mine]
+                break
+            shift[g] = rng.integers(SLOTS)
+    return shift, slots
+
+
+def rank_literal(path: str) -> tuple[Column, ...]:
+    """The rank map as literals: displacements, slots, the ranks of all pairs of bytes, the ids of the bytes."""
+    shift, slots = perfect_hash(path)
+    ranks = load_ranks(path)
+    first = [ranks.get(bytes([i, j]), NONE) for i in range(256) for j in range(256)]
+    whole = lambda x: F.from_json(F.lit("[" + ",".join(map(str, x)) + "]"), "array<bigint>")
+    return whole(shift.tolist()), whole(slots.tolist()), whole(first), whole([ranks[bytes([b])] for b in range(256)])
 
 
 def _bind(value: Column, body) -> Column:
@@ -60,36 +102,123 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_word(word: Column, ranks: Column) -> Column:
-    """The ids of one non-empty word, as a fold of ranked merges over its bytes."""
-
-    def rank(piece: Column) -> Column:
-        at = F.crc32(piece.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
-        return F.try_element_at(F.get(ranks, at), piece)
-
-    def pair_ranks(w: Column, b: Column) -> Column:
-        return F.transform(F.slice(b, 1, F.greatest(F.size(b) - 2, F.lit(0))), lambda s, i: rank(F.substring(w, s + 1, F.get(b, i + 2) - s)))
-
-    def state(w: Column, b: Column) -> Column:
-        return _bind(pair_ranks(w, b), lambda r: F.struct(b.alias("b"), r.alias("r"), F.array_min(r).alias("low")))
-
-    def merge(w: Column, s: Column) -> Column:
-        first = lambda i: F.get(s["r"], i - 1).eqNullSafe(s["low"]) & ~F.coalesce(F.get(s["r"], i - 2) == s["low"], F.lit(False))
-        kept = F.filter(s["b"], lambda b, i: (i == 0) | ~first(i))
-        return F.when(s["low"].isNull(), s).otherwise(_bind(kept, lambda b: state(w, b)))
-
-    def fold(w: Column) -> Column:
-        n = F.length(w)
-        folded = F.aggregate(F.sequence(F.lit(1), n), state(w, F.sequence(F.lit(0), n)), lambda s, _: merge(w, s), lambda s: s["b"])
-        return _bind(folded, lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda s, i: rank(F.substring(w, s + 1, F.get(b, i + 1) - s))))
-
-    return _bind(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda w: _bind(rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(w))))
+def encode_word(word: Column, literal: tuple[Column, ...]) -> Column:
+    """The ids of one non-empty word, as a fold of ranked merges over its bytes.
 
+    The state is one array with a number for each token: the rank of its pair with the next token
+    (``NONE``: no token), where it begins, and its id, in this order of bits. So the least number is
+    the first pair of the lowest rank. A step merges it and looks up the two ranks beside it;
+    steps after the last merge do nothing.
+    """
+    shift, slots, first, of_byte = literal
+    low16, low28 = F.lit(0xFFFF).cast("bigint"), F.lit((1 << 28) - 1).cast("bigint")
+    begins = F.lit(0xFFF0000).cast("bigint")
+    none = F.lit(NONE).cast("bigint")
+
+    def rank(left: Column, right: Column) -> Column:
+        group, base = _places(left, right)
+        at = (base + F.get(shift, group.bitwiseAND(F.lit(DISPLACED - 1).cast("bigint")).cast("int"))).bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))
+        # a slot is pair << 16 | rank: what is left of it without the pair is small only if the pair is the same
+        return F.least(F.get(slots, at.cast("int")).bitwiseXOR(F.shiftleft(F.shiftleft(left, 16) + right, 16)), none)
+
+    def step(e: Column) -> Column:
+        def merge(low: Column) -> Column:
+            new = F.shiftright(low, 28)
+
+            def at(p: Column) -> Column:  # tokens p and p + 1, counted from 1, become one
+                left, right = F.get(e, p - 2), F.get(e, p + 1)
+                beside = F.array(
+                    F.shiftleft(rank(left.bitwiseAND(low16), new), 28) + left.bitwiseAND(low28),
+                    F.shiftleft(rank(new, right.bitwiseAND(low16)), 28) + low.bitwiseAND(begins) + new,
+                )
+                return F.concat(F.slice(e, F.lit(1), p - 2), beside, F.slice(e, p + 2, F.size(e)))
+
+            return F.when(low >= (NONE << 28), e).otherwise(_bind(F.array_position(e, low).cast("int"), at))
+
+        return _bind(F.array_min(e), merge)
+
+    def fold(v: Column) -> Column:
+        pair = lambda x, i: F.coalesce(F.get(first, (x * 256 + F.get(v, i + 1))), none)
+        tokens = F.transform(v, lambda x, i: F.shiftleft(pair(x, i), 28) + F.shiftleft((i + 1).cast("bigint"), 16) + F.get(of_byte, x))
+        edge = F.array(F.lit((NONE << 28) + EDGE).cast("bigint"))
+        folded = F.aggregate(F.sequence(F.lit(1), F.size(v)), F.concat(edge, tokens, edge), lambda e, _: step(e))
+        return _bind(folded, lambda e: F.transform(F.slice(e, 2, F.size(e) - 2), lambda x: x.bitwiseAND(low16).cast("int")))
+
+    return _bind(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c)), fold)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word: the same merges in the same order, by a heap over a linked list."""
+    n = len(word)
+    start, end = list(range(n)), list(range(1, n + 1))  # token that begins at i: its end; token before
+    before = [i - 1 for i in range(n)]
+    alive = [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def push(i: int, to: int) -> None:
+        if (r := ranks.get(word[i:to])) is not None:
+            heapq.heappush(heap, (r, i, to))
+
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        middle = end[i]
+        if not alive[i] or middle >= n or end[middle] != to:  # one of the two has merged since
+            continue
+        end[i], alive[middle] = to, False
+        if to < n:
+            before[to] = i
+            push(i, end[to])
+        if before[i] >= 0:
+            push(before[i], to)
+    return [ranks[word[i : end[i]]] for i in start if alive[i]]
+
+
+def namer(path: str):
+    """Batches of (doc_id, pieces, text) to a row each: words new to the task, and documents as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
+        import regex
+
+        ranks = load_ranks(path)
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        known: dict[str, int] = {}
+
+        def row(ids: pa.Array, counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+            anew = len(known) > MOST_WORDS
+            if anew:
+                known.clear()
+            coded = words.dictionary_encode()
+            first = len(known)
+            names = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
+            new = []
+            for w, k in zip(coded.dictionary.to_pylist(), names, strict=True):
+                if k >= first:
+                    raw = w.encode()
+                    rank = ranks.get(raw)
+                    done = [rank] if rank is not None else merge_long(raw, ranks) if len(raw) > LONGEST_FOLD else None
+                    new.append({"word": w if done is None else None, "ids": done})
+            codes = np.array(names, dtype=np.int32)[np.asarray(coded.indices)] if len(names) else np.zeros(0, np.int32)
+            cell = lambda x, kind: pa.array([x], pa.list_(kind))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([anew]), cell(new, NEW), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), cell(counts.astype(np.int32), pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes))],
+                ["anew", "new", "doc_ids", "counts", "codes"],
+            )
+
+        for b in batches:
+            here, late = b.filter(b.column("text").is_null()), b.filter(b.column("text").is_valid())
+            pieces = here.column("pieces")
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(pieces.value_lengths().fill_null(0)).astype(np.int64))])
+            flat = pieces.flatten()
+            for at, to in row_slices(offsets) if here.num_rows else ():
+                yield row(here.column("doc_id").slice(at, to - at), np.diff(offsets[at : to + 1]), flat.slice(offsets[at], offsets[to] - offsets[at]))
+            for i in range(late.num_rows):
+                words = pattern.findall(late.column("text")[i].as_py())
+                yield row(late.column("doc_id").slice(i, 1), np.array([len(words)]), pa.array(words, pa.string()))
+        release_memory()
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``words(word)`` to ``(word, ids)``."""
-    ranks = F.from_json(F.lit(rank_literal(path)), "array<map<string,int>>")
-    return words.select("word", encode_word(F.col("word"), ranks).alias("ids"))
+    return run
 
 
 @lru_cache(maxsize=2)
@@ -110,37 +239,37 @@ def _joined(values: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
 
 
 def digests(path: str):
-    """One split: its documents' pieces and its words' ids to a row for each document."""
+    """Rows of ``namer`` with their words' ids to a row for each document."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, digits = _pieces(path)
-        out: list[tuple] = []
-        if docs.num_rows:
-            lists = docs["pieces"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            names = docs["doc_id"].to_pylist()
-            coded = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-            lengths = np.asarray(coded.value_lengths()).astype(np.int64)
-            flat, starts = np.asarray(coded.flatten()), np.cumsum(lengths) - lengths
-            known = words["word"].combine_chunks()
-            all_words = lists.flatten()
-            for row, to in row_slices(offsets):
-                part = all_words.slice(offsets[row], offsets[to] - offsets[row])
-                at = np.asarray(pc.index_in(part, value_set=known)) if len(part) else np.zeros(0, np.int64)
-                n = lengths[at]
-                ids = gather(flat, starts[at], n)
-                ends = np.concatenate([[0], np.cumsum(n)])[offsets[row : to + 1] - offsets[row]]
-                text, t_at = _joined(pieces, ids)
-                digit, d_at = _joined(digits, ids)
-                for k in range(to - row):
-                    lo, hi = ends[k], ends[k + 1]
-                    out.append((names[row + k], int(hi - lo), hashlib.sha256(digit[d_at[lo] : max(d_at[hi] - 1, d_at[lo])]).hexdigest(), hashlib.sha256(text[t_at[lo] : t_at[hi]]).hexdigest()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], cols, kinds, strict=True)})
+        flat, lengths = [np.zeros(0, np.int32)], np.zeros(0, np.int64)
+
+        for b in batches:
+            for k in range(b.num_rows):
+                if b.column("anew")[k].as_py():
+                    flat, lengths = [np.zeros(0, np.int32)], np.zeros(0, np.int64)
+                new = b.column("ids")[k].values
+                flat = [np.concatenate([*flat, np.asarray(new.flatten())])]
+                lengths = np.concatenate([lengths, np.asarray(new.value_lengths()).astype(np.int64)])
+                starts = np.cumsum(lengths) - lengths
+                codes = np.asarray(b.column("codes")[k].values)
+                offsets = np.concatenate([[0], np.cumsum(np.asarray(b.column("counts")[k].values).astype(np.int64))])
+                names = b.column("doc_ids")[k].values
+                n_ids, ids_sha, text_sha = [], [], []
+                for row, to in row_slices(offsets):
+                    at = codes[offsets[row] : offsets[to]]
+                    n = lengths[at]
+                    ids = gather(flat[0], starts[at], n)
+                    ends = np.concatenate([[0], np.cumsum(n)])[offsets[row : to + 1] - offsets[row]]
+                    text, t_at = _joined(pieces, ids)
+                    digit, d_at = _joined(digits, ids)
+                    for lo, hi in zip(ends, ends[1:]):
+                        n_ids.append(int(hi - lo))
+                        ids_sha.append(hashlib.sha256(digit[d_at[lo] : max(d_at[hi] - 1, d_at[lo])]).hexdigest())
+                        text_sha.append(hashlib.sha256(text[t_at[lo] : t_at[hi]]).hexdigest())
+                yield pa.RecordBatch.from_arrays([names, pa.array(n_ids, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release_memory()
 
     return run
 
@@ -150,16 +279,15 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Input ``docs(doc_id, text, ...)``; other columns are ignored. Null text is empty and has no
     ids: both digests are those of nothing. Null ids and repeated rows are documents like any
-    other. An empty table gives an empty result.
+    other. An empty table gives an empty result. A word of any length ends: see ``merge_long``.
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
     """
-    base = docs.select("doc_id", text_of().alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splits = int(size // SPLIT_BYTES) + 1
-    spread = base.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int")).repartition("split")
-    cut = spread.select("split", "doc_id", byte_level_pieces(F.col("text"), PIECES).alias("pieces"))
-    held = cut.select("split", F.explode("pieces").alias("word")).groupBy("split", "word").agg(F.lit(1).alias("x")).select("split", "word").repartition("word")
-    coded = encode_words(held.select("word").distinct(), path)
-    back = held.join(coded.hint("shuffle_hash"), "word").select(F.col("split").alias("of"), "word", "ids")
-    return cut.groupBy("split").cogroup(back.groupBy("of")).applyInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    bounded_batches(docs.sparkSession)
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("t"))
+    late = (F.octet_length("t") > F.char_length("t")) & F.col("t").rlike(r"\p{Cn}")
+    cut = text.select("doc_id", F.when(~late, byte_level_pieces(F.col("t"), PIECES)).alias("pieces"), F.when(late, F.col("t")).alias("text"))
+    named = cut.mapInArrow(namer(path), "anew boolean, new array<struct<word:string,ids:array<int>>>, doc_ids array<long>, counts array<int>, codes array<int>")
+    literal = rank_literal(path)
+    coded = named.select("anew", F.transform("new", lambda x: F.coalesce(x["ids"], encode_word(x["word"], literal))).alias("ids"), "doc_ids", "counts", "codes")
+    return coded.mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
