@@ -26,6 +26,8 @@ from fleetlens.plans.shared import bounded_batches, release_memory, table
 
 CHUNK = 1 << 16
 LEVEL = 3
+#: Bytes of text in a shard, about; the number of shards follows the table's size.
+SHARD_BYTES = 32 << 20
 SCHEMA = "shard int, chunk long, first_id long, n_ids int, bits boolean, planes array<binary>, doc_ids array<long>, doc_tokens array<long>"
 
 
@@ -104,8 +106,11 @@ def chunk_writer(path: str, end_id: int, bits: bool, chunk: int = CHUNK) -> Call
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, bits: bool = False) -> DataFrame:
     """Encode whole texts in ascending doc_id order and write the chunk table; returns it as read back."""
-    bounded_batches(docs.sparkSession)
-    sorted_docs = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    bounded_batches(docs.sparkSession, 8000)
+    rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("mix"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the hash parts rows of one id (or of none) between shards
+    sorted_docs = rows.repartitionByRange(int(size // SHARD_BYTES) + 1, "doc_id", "mix").sortWithinPartitions("doc_id", "mix")
     numbered = sorted_docs.select("doc_id", F.spark_partition_id().alias("shard"), "text")
     return table(numbered.mapInArrow(chunk_writer(path, end_id, bits), SCHEMA), "token_chunks")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -51,33 +52,93 @@ def _encode_each(t, pieces: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype=np.uint32) for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def encode_words(t, words: list[str], separator: str, fit: re.Pattern, run: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of many words: flat, and how many each has.
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable Latin-1 as itself, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    Words that ``fit`` are encoded as one text each ``run`` words, parted by ``separator``, whose
-    one id can't come from such words; this saves the library's cost of a call for each word.
-    The others are encoded one by one.
+
+BYTE_LETTERS = _byte_letters()
+
+
+#: Letters of alphabets that every Unicode version knows alike; with ASCII, what ``PlainWords`` takes.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u051f"
+#: A line end between two words of a line each is a piece of its own.
+PLAIN = re.compile(rf" ?[!-~{LETTERS}]+(?:\n[!-~{LETTERS}]+)*")
+PLAIN_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\n")
+MOST_PIECES = 200_000
+
+
+class PlainWords:
+    """Words in plain letters, cut by the byte-level pattern; their pieces go straight to the library's model.
+
+    A word and the same word before a comma share a piece, which is encoded once.
+    """
+
+    def __init__(self, t):
+        self.tokenize, self.known = t.model.tokenize, {}
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece, four bytes each."""
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+        spelt = piece.replace(" ", BYTE_LETTERS[32]) if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = self.known[piece] = array("I", [x.id for x in self.tokenize(spelt)]).tobytes()
+        return ids
+
+    def encode(self, words: list[str]) -> tuple[list[int], list[bytes], list[int]]:
+        """The plain words' numbers and ids, and the other words' numbers."""
+        plain, pieces, get, one = PLAIN.fullmatch, PLAIN_PIECE.findall, self.known.get, self.piece
+        done, found, left = [], [], []
+        for i, w in enumerate(words):
+            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                done.append(i)
+                found.append(get(w) or one(w))
+            elif plain(w):
+                parts = pieces(w)
+                done.append(i)
+                found.append((get(w) or one(w)) if len(parts) == 1 else b"".join([get(x) or one(x) for x in parts]))
+            else:
+                left.append(i)
+        return done, found, left
+
+
+def encode_words(t, words: list[str], separator: str, fit: re.Pattern, plain: PlainWords | None = None, run: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of many words: the words' numbers in the order encoded, flat ids, and how many each has.
+
+    ``plain`` encodes the words that it can. Of the others, those that ``fit`` are encoded as one
+    text each ``run`` words, parted by ``separator``, whose one id can't come from such words; this
+    saves the library's cost of a call for each word. The rest are encoded one by one.
     """
     mark = t.encode(separator, add_special_tokens=False).ids
     assert len(mark) == 1, separator
-    easy = [i for i, w in enumerate(words) if fit.fullmatch(w)]
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-    rest = set(range(len(words))).difference(easy)
+    fits = fit.fullmatch
+    order, easy, hard = [], [], []
+    flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    left = range(len(words))
+    if plain is not None:
+        order, found, left = plain.encode(words)
+        flat.append(np.frombuffer(b"".join(found), dtype=np.uint32))
+        lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
+    for i in left:
+        (easy if fits(words[i]) else hard).append(i)
     for at in range(0, len(easy), run):
         some = easy[at : at + run]
         ids = np.array(t.encode_batch_fast([separator.join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        parts = np.split(ids, np.flatnonzero(ids == mark[0]))
-        if len(parts) != len(some):
-            rest.update(some)
+        marks = np.flatnonzero(ids == mark[0])
+        if len(marks) != len(some) - 1:
+            hard += some
             continue
-        out[some[0]] = parts[0]
-        for i, x in zip(some[1:], parts[1:], strict=True):
-            out[i] = x[1:]
-    hard = sorted(rest)
-    for i, x in zip(hard, _encode_each(t, [words[i] for i in hard]), strict=True):
-        out[i] = x
-    lengths = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32), lengths
+        order += some
+        flat.append(np.delete(ids, marks))
+        lengths.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+    if hard:
+        each = _encode_each(t, [words[i] for i in hard])
+        order += hard
+        flat += each
+        lengths.append(np.array([len(x) for x in each], dtype=np.int64))
+    return np.array(order, dtype=np.int64), np.concatenate(flat), np.concatenate(lengths)
 
 
 def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -118,12 +179,12 @@ def _assemble(lists: pa.Array, encode: Callable[[pa.Array, np.ndarray], tuple[np
 class Words:
     """The ids of the distinct words met so far in a task; starts anew beyond ``MOST_WORDS``."""
 
-    def __init__(self, t, separator: str, fit: re.Pattern, prefix: str = ""):
-        self.t, self.separator, self.fit, self.prefix = t, separator, fit, prefix
+    def __init__(self, t, separator: str, fit: re.Pattern, prefix: str = "", plain: PlainWords | None = None):
+        self.t, self.separator, self.fit, self.prefix, self.plain = t, separator, fit, prefix, plain
         self.clear()
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def codes(self, words: pa.Array) -> np.ndarray:
@@ -131,13 +192,15 @@ class Words:
         if len(self.known) > MOST_WORDS:
             self.clear()
         coded = words.dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=self.known)
-        new = coded.dictionary.filter(pc.is_null(at))
-        place = np.array(at.fill_null(-1))
-        place[place < 0] = len(self.known) + np.arange(len(new))
+        names = coded.dictionary.to_pylist()
+        place = np.fromiter((self.known.get(w, -1) for w in names), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(place < 0)
         if len(new):
-            ids, lengths = encode_words(self.t, [self.prefix + w for w in new.to_pylist()], self.separator, self.fit)
-            self.known = pa.concat_arrays([self.known, new])
+            some = [names[i] for i in new]
+            order, ids, lengths = encode_words(self.t, [self.prefix + w for w in some] if self.prefix else some, self.separator, self.fit, self.plain)
+            at = len(self.known) + np.arange(len(new))
+            place[new[order]] = at
+            self.known.update(zip([some[i] for i in order], at.tolist(), strict=True))
             self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
         return place[np.asarray(coded.indices)]
 
@@ -165,7 +228,8 @@ class ByteLevel:
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
-        self.words, self.heads = Words(self.t, "\n", ONE_WORD, " "), Words(self.t, "\n", ONE_WORD)
+        plain = PlainWords(self.t)
+        self.words, self.heads = Words(self.t, "\n", ONE_WORD, " ", plain), Words(self.t, "\n", ONE_WORD, plain=plain)
 
     def _encode(self, words: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index = self.words.codes(words)
