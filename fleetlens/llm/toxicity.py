@@ -7,13 +7,15 @@ distinct sketch so that copies of one document count once. A greedy cover picks
 none explains ``MIN_GAIN`` more toxic documents.
 
 *Label model.* A two-class mixture in which each voter fires with a class's own rate. EM
-estimates the rates and the class share from votes, starting at the training labels. Voters
-that fire together more often within a class than their rates explain are correlated; each
+estimates the rates and the class share from votes, starting at the training labels; the label
+itself is one more voter, whose accuracy is estimated too. Voters that fire together more often within a class than their rates explain are correlated; each
 voter's evidence is divided by the number of voters it is correlated with, itself included.
 
 *Classifier.* Logistic regression of the posterior labels on the voters' counts (logarithms),
 the number of voters that fire, and the share of words that fire. It scores every whole text in
 one pass: an Aho-Corasick automaton finds the voters, so the cost doesn't grow with their number.
+The same function counts in the training sample and in scoring, so short and long texts are
+scored by inputs of the kind that the weights have seen.
 """
 
 from __future__ import annotations
@@ -39,8 +41,7 @@ STEMS = (4, 5, 6)
 MOST_CANDIDATES = 5000
 MOST_VOTERS = 400
 FOLDS = 5
-#: The training label is one more voter, of this accuracy; it keeps the two classes in their places.
-LABEL_ACCURACY = 0.97
+SPACES = " \n\t"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,36 +71,34 @@ def features_of(words: Column) -> Column:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled training rows, ``SAMPLE`` at most: (text, y, cluster). Labels that aren't 0 or 1 are left out.
+    """Labelled training documents, ``SAMPLE`` at most: (y, text, words, cluster).
 
+    Labels that aren't 0 or 1 are left out; of rows with one id the one with the least text counts.
     The cluster is the smallest hash over the document's word triples: copies, and mostly near
     copies, share it.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
-    rows = rows.select("y", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("words"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.select("y", "text", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("words"))
     triples = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    return rows.select("y", F.array_distinct("words").alias("words"), F.array_min(triples).alias("cluster"))
+    return rows.select("y", "text", F.array_distinct("words").alias("words"), F.array_min(triples).alias("cluster"))
 
 
-def mine(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Voters, the sample's vote matrix (voters that fire, dense) and its labels."""
-    sample = table(sample.withColumn("row", F.monotonically_increasing_id()).withColumn("f", features_of(F.col("words"))).drop("words"), "sample")
-    flat = sample.select("y", "cluster", F.explode("f").alias("f"))
-    seen = flat.groupBy("f", "cluster").agg(F.max("y").alias("y"), F.min("y").alias("low"))
+def mine(sample: DataFrame) -> list[str]:
+    """The voters that a greedy cover of the sample's toxic documents picks."""
+    rows = sample.select("y", "cluster", features_of(F.col("words")).alias("f"))
+    seen = rows.select("y", "cluster", F.explode("f").alias("f")).groupBy("f", "cluster").agg(F.max("y").alias("y"), F.min("y").alias("low"))
     stats = seen.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("low") == 1, 1).otherwise(0)).alias("pos"))
     good = stats.where((F.col("n") >= MIN_DOCS) & (F.col("pos") >= F.col("n") * MIN_PRECISION))
     candidates = table(good.orderBy(F.desc("pos"), F.length("f"), "f").limit(MOST_CANDIDATES).select("f"), "candidates")
     # at most SAMPLE rows; of each, the candidates that fire
-    hits = sample.select("row", "cluster", "y", F.explode("f").alias("f")).join(F.broadcast(candidates), "f")
-    docs = hits.groupBy("row", "cluster", "y").agg(F.collect_list("f").alias("f")).collect()
-    quiet = sample.groupBy("y").count().collect()
+    hits = rows.where("y = 1").select("cluster", F.explode("f").alias("f")).join(F.broadcast(candidates), "f")
     cover: dict[str, set[int]] = {}
-    for d in docs:
-        if d["y"] == 1:
-            for f in d["f"]:
-                cover.setdefault(f, set()).add(d["cluster"])
+    for d in hits.groupBy("cluster").agg(F.collect_set("f").alias("f")).collect():
+        for f in d["f"]:
+            cover.setdefault(f, set()).add(d["cluster"])
     voters: list[str] = []
     left = set().union(*cover.values()) if cover else set()
     # longer support first; among equals the shorter, hence more general, form
@@ -111,32 +110,42 @@ def mine(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             break
         voters.append(order[-at])
         left -= cover[order[-at]]
-    at = {v: i for i, v in enumerate(voters)}
-    votes, y = [], []
-    for d in docs:
-        row = np.zeros(len(voters), dtype=np.float64)
-        row[[at[f] for f in d["f"] if f in at]] = 1
-        votes.append(row)
-        y.append(d["y"])
-    # the sample's other rows have no vote; only their numbers matter
-    for label in (0, 1):
-        rest = sum(r["count"] for r in quiet if r["y"] == label) - sum(d["y"] == label for d in docs)
-        votes += [np.zeros(len(voters))] * rest
-        y += [label] * rest
-    return voters, np.array(votes).reshape(len(y), len(voters)), np.array(y, dtype=np.float64)
+    return voters
+
+
+def observed(sample: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sample's voter counts, numbers of words and labels, counted just as scoring counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(voters)
+        for b in batches:
+            found = [count((t.as_py() or "").lower()) for t in b.column("text")]
+            fired = [np.flatnonzero(c) for c, _ in found]
+            cells = [pa.array(fired, pa.list_(pa.int64())), pa.array([c[f] for (c, _), f in zip(found, fired, strict=True)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), *cells, pa.array([n for _, n in found], pa.int64())], ["y", "at", "n", "words"])
+
+    rows = sample.select("y", "text").mapInArrow(run, "y int, at array<long>, n array<double>, words long").collect()  # SAMPLE rows at most
+    counts = np.zeros((len(rows), len(voters)))
+    for i, r in enumerate(rows):
+        counts[i, r["at"]] = r["n"]
+    return counts, np.array([r["words"] for r in rows], dtype=np.float64), np.array([r["y"] for r in rows], dtype=np.float64)
 
 
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, the voters' rates by class, and how many voters each is correlated with."""
-    post = np.clip(y, 0.02, 0.98)
-    gold = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+    """Posterior of each row, the rates by class of the voters and (last) of the label, and correlations.
+
+    The training label is the last voter: its rates, hence its accuracy, are estimated like the
+    others'. The correlations are the number of voters each is correlated with, itself included.
+    """
+    votes = np.column_stack([votes, y])
+    post = np.where(y > 0.5, 0.95, 0.05)
     count = np.ones(votes.shape[1])
     rates = np.zeros((2, votes.shape[1]))
     for turn in range(rounds):
         share = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         w = np.stack([1 - post, post])
         rates = np.clip((w @ votes + 0.05) / (w.sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
-        if turn in (0, 5) and votes.shape[1]:
+        if turn in (0, 5):
             excess = np.zeros((votes.shape[1],) * 2)
             for k in (0, 1):
                 centred = (votes - rates[k]) * np.sqrt(w[k])[:, None]
@@ -144,9 +153,10 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 excess = np.maximum(excess, cov / sd[:, None] / sd[None, :])
             count = 1 + (excess - np.eye(len(excess)) > 0.5).sum(axis=1)
+            count[-1] = 1
         fire = np.log(rates[1] / rates[0]) / count
         still = np.log((1 - rates[1]) / (1 - rates[0])) / count
-        logit = np.log(share / (1 - share)) + votes @ fire + (1 - votes) @ still + np.where(y > 0.5, gold, -gold)
+        logit = np.log(share / (1 - share)) + votes @ fire + (1 - votes) @ still
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rates, count
 
@@ -176,15 +186,16 @@ def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 60, ridge: float
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample. Without voters the score is the training rows' share of toxic ones."""
-    voters, votes, y = mine(sample_rows(docs, labels))
+    sample = table(sample_rows(docs, labels), "sample")
+    voters = mine(sample)
+    counts, words, y = observed(sample, voters)
     if not len(y):
         return Model([], np.zeros(2), 0.0)
-    post, rates, groups = label_model(votes, y)
     if not voters:
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return Model([], np.zeros(2), float(np.log(share / (1 - share))))
-    words = np.full(len(votes), 300.0)
-    weights, bias = fit_linear(inputs_of(votes, words), post)
+    post, rates, groups = label_model((counts > 0).astype(np.float64), y)
+    weights, bias = fit_linear(inputs_of(counts, words), post)
     return Model(voters, weights, bias, rates, groups)
 
 
@@ -207,7 +218,7 @@ def counter(voters: list[str]):
                     before, after = text[end - n : end - n + 1] if end >= n else "", text[end + 1 : end + 2]
                     if not before.isalpha() and after.isalpha() == stem:
                         counts[i] += 1
-        return counts, text.count(" ") + 1
+        return counts, sum(map(text.count, SPACES)) + 1
 
     return count
 
