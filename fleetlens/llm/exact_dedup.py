@@ -1,13 +1,17 @@
-"""Exact deduplication by a tree-merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every scan partition is a run of digests. A level merges ``fan_in`` neighbouring runs: the
-runs' rows are exchanged by (parent run, digest), combined map-side first, and each digest
-keeps its smallest and largest identifier, its row count and two further checks (byte length
-and a second, independent hash). After ``ceil(log(runs) / log(fan_in))`` levels one run is
-left, in which every digest stands once.
+A scan partition's digests, sorted, are a run. Runs meet in rounds along a binomial tree: in round
+*r* the runs whose numbers differ only in the ``FAN_BITS`` bits from ``r * FAN_BITS`` on send their rows
+to the lowest of them, which merges the ``2 ** FAN_BITS`` sorted streams (a multiway merge). Every merge
+keeps of each digest one entry with the verified smallest and largest identifier: an entry counts
+for a digest only together with the text's byte length and a second, independent hash, which must
+be equal at every level. After ``RUN_BITS / FAN_BITS`` rounds run 0 is left, in which every digest stands once.
 
-A group of copies never meets as rows: a level sees at most one row per run and digest. On the
-way back, groups that hold more than one row in ``HEAVY`` (at most ``HEAVY`` of them, whatever
+The exchange spreads a run's digests over tasks, and a task merges its share of the runs in digest
+order. Rows are combined before each exchange, so a group of copies, however large, is at most one row
+for each run.
+
+On the way back, groups that hold more than one row in ``HEAVY`` (at most ``HEAVY`` of them, whatever
 the size of the input) are broadcast; all others join by digest with no key above that share.
 """
 
@@ -23,6 +27,8 @@ from fleetlens.plans.shared import cut
 HEAVY = 1000
 
 KEY = ["digest", "n_bytes", "check"]
+#: At most 2 ** RUN_BITS runs (scan partitions share one beyond that); 2 ** FAN_BITS meet in a merge.
+RUN_BITS, FAN_BITS = 8, 4
 
 
 def with_digest(docs: DataFrame, text: Column | None = None) -> DataFrame:
@@ -31,18 +37,30 @@ def with_digest(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return base.select("doc_id", F.sha2("t", 256).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("check"))
 
 
-def merge_runs(digests: DataFrame, fan_in: int = 16, runs: int = 256) -> DataFrame:
-    """Tree-merge the digest runs: one row per group with first, last and size.
+def first_runs(digests: DataFrame) -> DataFrame:
+    """Every row as an entry of its scan partition's run: ``run, digest, n_bytes, check, low, high, rows``."""
+    run = F.pmod(F.spark_partition_id(), F.lit(1 << RUN_BITS))
+    return digests.select(run.alias("run"), *KEY, F.struct("doc_id").alias("low"), F.struct("doc_id").alias("high"), F.lit(1).cast("long").alias("rows"))
+
+
+def merge_round(level: DataFrame, turn: int) -> DataFrame:
+    """One round: the runs that differ in this round's bits meet in the lowest of them.
 
-    ``runs`` caps the number of level-0 runs (scan partitions share a run beyond it), so the
-    number of levels is fixed; a level's task holds hash-distributed digests, never a whole run.
+    The identifiers are kept as structs, for which Spark aggregates sorted rows: each scan of a run
+    is sorted by (run, digest), combined, exchanged and merged in that order.
     """
-    level = digests.select("doc_id", *KEY, F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run")).groupBy("run", *KEY).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        parent = F.lit(0) if runs == 1 else F.floor(F.col("run") / fan_in).cast("int")
-        level = level.withColumn("run", parent).groupBy("run", *KEY).agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("group_size").alias("group_size"))
-    return level.drop("run")
+    target = F.shiftleft(F.shiftright("run", (turn + 1) * FAN_BITS), (turn + 1) * FAN_BITS)
+    merged = level.withColumn("run", target).groupBy("run", *KEY)
+    low = F.min(F.when(F.col("low.doc_id").isNotNull(), F.col("low"))).alias("low")
+    return merged.agg(low, F.max("high").alias("high"), F.sum("rows").alias("rows"))
+
+
+def merge_runs(digests: DataFrame) -> DataFrame:
+    """Tree-merge the digest runs: one row per group with its smallest and largest id and its size."""
+    level = first_runs(digests)
+    for turn in range(-(-RUN_BITS // FAN_BITS)):
+        level = merge_round(level, turn)
+    return level.select(*KEY, F.col("low.doc_id").alias("first_id"), F.col("high.doc_id").alias("last_id"), F.col("rows").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "last", text: Column | None = None) -> DataFrame:

@@ -48,6 +48,26 @@ def table(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
 
 
+def test_tree_merge_levels(spark):
+    rows = [(i, f"t{i % 7}" if i % 3 else "hot") for i in range(400)] + [(None, "hot"), (None, "alone")]
+    d = exact_dedup.with_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(23)).checkpoint()
+    level = exact_dedup.first_runs(d).checkpoint()
+    runs = {r["run"] for r in level.collect()}
+    assert len(runs) > 16
+    for turn in range(exact_dedup.RUN_BITS // exact_dedup.FAN_BITS):
+        block = 1 << (turn + 1) * exact_dedup.FAN_BITS
+        want = {}
+        for r in level.collect():
+            lo, hi, n = want.get((r["run"] // block * block, r["digest"]), (None, None, 0))
+            ids = [x for x in (lo, hi, r["low"] and r["low"][0], r["high"] and r["high"][0]) if x is not None]
+            want[r["run"] // block * block, r["digest"]] = (min(ids, default=None), max(ids, default=None), n + r["rows"])
+        merged = exact_dedup.merge_round(level, turn)
+        assert "SortAggregate" in merged._jdf.queryExecution().toString()
+        level = merged.checkpoint()
+        assert {(r["run"], r["digest"]): (r["low"] and r["low"][0], r["high"] and r["high"][0], r["rows"]) for r in level.collect()} == want
+    assert {r["run"] for r in level.collect()} == {0}
+
+
 def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for i, t in table(docs):
@@ -359,3 +379,41 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "packing"]
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {100, *range(1, 30)}
+
+
+def test_bpe_long_and_late_words(spark):
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(1)
+    blob = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCD") for _ in range(n))
+    # a blob of 50,000 letters, lengths around the fold's limit, letters that this JVM doesn't know
+    texts = [blob(50_000), blob(511), " " + blob(511), blob(513), "a" * 700, "\U0001E4D0\U0001E4D1 \U00010D4Aabc", "x  y\n\n z's 12345 \u00e9"]
+    got = {r["doc_id"]: r for r in bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode_ordinary(t)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_large_near_group_is_linked_in_few_links(spark):
+    """A group of over 1000 near copies, among them a row apart: what the rounds and blocks find is what brute force finds."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[: 60 + i % 40] + [f"own{i}", f"own{i}b"] + base[60 + i % 40 :])) for i in range(1200)]
+    rows += [(5000 + i, " ".join(base[:60] + [f"x{i}_{j}" for j in range(60)])) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert {got[i] for i in range(1200)} == {0}
+    assert all(got[5000 + i] == 5000 + i for i in range(40))
+
+
+def test_toxicity_repeated_and_long_rows(spark):
+    long = "fine words here " * 50_000
+    rows = [(i, "you utter scumbag go away now" if i % 2 else "a calm and pleasant day outside") for i in range(60)]
+    rows += [(1, rows[1][1]), (900, long), (901, None), (902, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (901, 902)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert next(r["predicted"] for r in got if r["doc_id"] == 900) == 0
