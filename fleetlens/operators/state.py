@@ -6,25 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def scoped(df: DataFrame, *keys: str) -> list[str]:
+    """The keys of a join, with the scope where the frame has one: two scopes may share a name."""
+    return [*(["scope"] if "scope" in df.columns else []), *keys]
+
+
 def fingerprint(components: DataFrame) -> DataFrame:
     """SHA-256 over ``name NUL digest LF`` of the sorted components, each the SHA-256 of its content."""
     lines = F.array_sort(F.collect_list(F.concat("component", F.lit("\0"), F.sha2("content", 256), F.lit("\n"))))
-    return components.groupBy("node").agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"))
+    return components.groupBy(*scoped(components, "node")).agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"))
 
 
 def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Components changed, added or removed of each node; one full outer join by (node, component)."""
-    b = before.select("node", "component", F.col("content").alias("was"))
-    a = after.select("node", "component", F.col("content").alias("now"))
+    """Components changed, added or removed of each node; one full outer join by ([scope,] node, component)."""
+    keys = scoped(before, "node", "component")
+    b, a = before.select(*keys, F.col("content").alias("was")), after.select(*keys, F.col("content").alias("now"))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return b.join(a, ["node", "component"], "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("node", "component", change.alias("change"))
+    return b.join(a, keys, "full").where(~F.col("was").eqNullSafe(F.col("now"))).select(*keys, change.alias("change"))
 
 
 def cosmetic_changes(before: DataFrame, after: DataFrame, meaning: Column) -> DataFrame:
     """Components whose raw content differs though their ``meaning`` (of column ``content``) doesn't."""
-    b = before.select("node", "component", F.col("content").alias("was"), meaning.alias("was_means"))
-    a = after.select("node", "component", F.col("content").alias("now"), meaning.alias("now_means"))
-    return b.join(a, ["node", "component"]).where("was <> now and was_means = now_means").select("node", "component")
+    keys = scoped(before, "node", "component")
+    b, a = before.select(*keys, F.col("content").alias("was"), meaning.alias("m1")), after.select(*keys, F.col("content").alias("now"), meaning.alias("m2"))
+    return b.join(a, keys).where("was <> now and m1 = m2").select(*keys)
 
 
 def diff_states(before: DataFrame, after: DataFrame) -> DataFrame:

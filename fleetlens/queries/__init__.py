@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def everything() -> dict[str, tuple[Query, str | None]]:
-    from fleetlens.queries import erd, failures, graphs, health, lineage, runs, scalars, state
+    from fleetlens.queries import erd, failures, graphs, health, lineage, project, runs, scalars, state
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (runs, scalars, graphs, state, lineage, erd, health, failures):
+    for module in (runs, scalars, graphs, state, lineage, erd, health, failures, project):
         out |= module.QUERIES
     return out
