@@ -39,7 +39,7 @@ def cycle_residue(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left = kept
 
 
-def find_cycles(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A shortest cycle through the smallest id of each scope that is on one, as a path.
 
     Returns ``scope, cycle`` (array, the smallest id first and last); ties go to the smaller path.
@@ -54,7 +54,7 @@ def find_cycles(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFra
         paths = cut(starts.select("scope", "root", F.col("root").alias("node"), F.array("root").alias("path")))
         seen = paths.select("scope", "node")
         hit = None
-        for _ in range(most):
+        while True:  # ends: every step reaches nodes not seen before
             nxt = paths.join(e, (paths["scope"] == e["scope"]) & (paths["node"] == e["parent"])).select(paths["scope"], "root", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
             nxt = nxt.groupBy("scope", "root", "node").agg(F.min("path").alias("path"))
             back = cut(nxt.where("node = root").select("scope", F.col("path").alias("cycle")))
@@ -151,12 +151,13 @@ def plan(nodes: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
     depth = cut(layers(nodes, edges))
     n = cut(nodes.join(depth, ID))
     e = cut(edges.select("scope", "parent", "child", "recorded").dropDuplicates(["scope", "parent", "child"]))
-    e = cut(e.join(nodes.select("scope", F.col("node").alias("parent"), F.lit(True).alias("known")), ["scope", "parent"], "left"))
+    e = e.join(nodes.select("scope", F.col("node").alias("parent"), F.lit(True).alias("known")), ["scope", "parent"], "left")
+    e = cut(e.join(depth.withColumnRenamed("node", "child"), ["scope", "child"]))  # an edge is settled in its child's level
     deepest = depth.agg(F.max("depth")).first()[0]
     decided = None
     for level in range((deepest if deepest is not None else -1) + 1):
         here = n.where(F.col("depth") == level)
-        own = e.join(here.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_semi")
+        own = e.where(F.col("depth") == level).drop("depth")
         if decided is None:
             seen = own.select("scope", F.col("child").alias("node"), "known", "recorded", F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("reason"))
         else:

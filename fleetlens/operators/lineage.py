@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.plans.fixpoint import fixpoint
+from fleetlens.plans.scopes import by_scope
 from fleetlens.plans.shared import cut
 
+#: The columns that name something within a scope; inputs may have a ``scope``, which results then have too.
+NAMES = ("relation", "node", "from_relation", "seed", "path")
+scoped = by_scope(*NAMES)
 
+
+@scoped
 def consumer_index(edges: DataFrame, reads: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every use of each upstream column, and every reader of each relation (from SQL or declared)."""
     uses = edges.groupBy("relation", "column").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("node").alias("nodes"))
@@ -16,17 +22,20 @@ def consumer_index(edges: DataFrame, reads: DataFrame, declared: DataFrame) -> t
     return uses, readers
 
 
+@scoped
 def inputs_of(edges: DataFrame, row_inputs: DataFrame) -> DataFrame:
     """An output column's direct inputs and its node's row inputs, as a set."""
     outs = edges.select("node", "output").distinct()
     return edges.select("node", "output", "source").unionByName(outs.join(row_inputs.select("node", "source"), "node").select("node", "output", "source")).distinct()
 
 
+@scoped
 def unresolved_readers(unresolved: DataFrame, columns: DataFrame) -> DataFrame:
     """Nodes whose SQL reads one of the given (relation, column) pairs, which their relation lacks."""
     return unresolved.join(columns, ["relation", "column"], "left_semi").select("node").distinct()
 
 
+@scoped
 def missing_columns(reads: DataFrame, outputs: DataFrame, known: DataFrame, identity: DataFrame) -> DataFrame:
     """Columns read that a known upstream doesn't produce, ignoring case, with what they may be called now.
 
@@ -38,6 +47,7 @@ def missing_columns(reads: DataFrame, outputs: DataFrame, known: DataFrame, iden
     return gone.join(may, ["relation", "key"], "left").groupBy("node", "relation", "column").agg(F.array_join(F.array_sort(F.collect_set("now")), ",").alias("candidates"))
 
 
+@scoped
 def compare_observed(predicted: DataFrame, observed: DataFrame) -> DataFrame:
     """Per node, predicted against observed (source, output) pairs.
 
@@ -64,6 +74,7 @@ def comparison_totals(compared: DataFrame) -> DataFrame:
     return g.withColumns({"precision": ratio(F.col("matched"), F.col("matched") + F.col("unobserved")), "recall": ratio(good, good + F.col("missing"))})
 
 
+@scoped
 def with_observed(predicted: DataFrame, observed: DataFrame, opaque: DataFrame, trust: bool) -> tuple[DataFrame, DataFrame]:
     """Opaque nodes take the observed edges; they stay opaque for impact unless trusted."""
     taken = observed.join(opaque.select("node"), "node", "left_semi").select("node", "source", "output", F.lit("DIRECT").alias("edge_type")).distinct()
@@ -71,6 +82,7 @@ def with_observed(predicted: DataFrame, observed: DataFrame, opaque: DataFrame,
     return predicted.unionByName(taken), rest.select("node")
 
 
+@scoped
 def reaches(seeds: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame:
     """Every (relation, column) affected by ``seeds``; a use that shapes rows affects all outputs of its node.
 
@@ -83,6 +95,7 @@ def reaches(seeds: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame
     return fixpoint(seeds.select("relation", "column"), step, ["relation", "column"])
 
 
+@scoped
 def value_sources(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The columns that values come from at last: inputs over direct edges that have none themselves."""
     e = cut(edges.where("to_column is not null").select(F.col("from_relation").alias("r"), F.col("from_column").alias("c"), F.col("node").alias("relation"), F.col("to_column").alias("column")).distinct())
@@ -92,6 +105,7 @@ def value_sources(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return up.join(e.select("relation", "column").distinct(), ["relation", "column"], "left_anti").where(F.col("seed") != F.concat_ws(".", "relation", "column")).select(*keys)
 
 
+@scoped
 def lineage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Columns added, removed or modified (digest or place differs): ``(node, column, digest, ordinal)``."""
     b = before.select("node", "column", F.col("digest").alias("was"), F.col("ordinal").alias("at"))
@@ -101,6 +115,7 @@ def lineage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("node", "column", change.alias("change")).where("change is not null")
 
 
+@scoped
 def impact(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: DataFrame, opaque: DataFrame) -> DataFrame:
     """What changes reach, with the reason: column, rows, wildcard, name_capture or opaque.
 
@@ -133,12 +148,14 @@ def impact(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: D
     return fixpoint(seed, step, ["relation", "column", "kind"])
 
 
+@scoped
 def pruned_readers(changes: DataFrame, readers: DataFrame, impacted: DataFrame) -> DataFrame:
     """Readers of changed relations that nothing reached, with how many changed columns they don't use."""
     near = changes.select("relation", "column").distinct().join(readers.distinct(), "relation")
     return near.join(impacted.where("reason <> 'seed'").select(F.col("relation").alias("node")).distinct(), "node", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("unused"))
 
 
+@scoped
 def breaks(removed: DataFrame, uses: DataFrame, readers: DataFrame, copies: DataFrame, wildcards: DataFrame, opaque: DataFrame) -> DataFrame:
     """What removed columns break: ``broken`` names one, ``dropped`` passed it on by ``*``, else ``unknown``.
 
@@ -159,6 +176,7 @@ def breaks(removed: DataFrame, uses: DataFrame, readers: DataFrame, copies: Data
     return sure.unionByName(lab(unsure.join(sure.select("node"), "node", "left_anti"), "unknown"))
 
 
+@scoped
 def downstream_uses(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The paths of uses from a column, of any length, none twice on its own path; a use that shapes rows ends one."""
     e = cut(edges.select(F.concat_ws(".", "from_relation", "from_column").alias("at"), F.when(F.col("to_column").isNotNull(), F.concat_ws(".", "node", "to_column")).otherwise(F.concat(F.col("node"), F.lit(".*"))).alias("next"), F.col("to_column").isNull().alias("ends")).distinct())
@@ -174,6 +192,7 @@ def downstream_uses(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return out if out is not None else seeds.select(F.lit("").alias("path"), F.lit(0).alias("steps")).limit(0)
 
 
+@scoped
 def openlineage_events(reads: DataFrame, edges: DataFrame, opaque: DataFrame) -> DataFrame:
     """One event per node as JSON: inputs, output, column lineage (opaque nodes: inputs only), a stable run id."""
     ins = reads.groupBy("node").agg(F.array_sort(F.collect_set("relation")).alias("inputs"))
@@ -184,6 +203,7 @@ def openlineage_events(reads: DataFrame, edges: DataFrame, opaque: DataFrame) ->
     return j.select("node", F.to_json(F.struct(F.lit("COMPLETE").alias("eventType"), run.alias("runId"), F.col("node").cast("string").alias("output"), "inputs", "columns")).alias("event"))
 
 
+@scoped
 def simulate(changes: DataFrame, impacted: DataFrame, broken: DataFrame) -> DataFrame:
     """A verdict per node for proposed changes: broken, dropped, unknown, changed (rows or values) or reached only by name."""
     i = impacted.where("reason <> 'seed'").groupBy(F.col("relation").alias("node")).agg(F.bool_or(F.col("kind") == "rows").alias("rows"), F.bool_or(F.col("kind") == "modified").alias("values"))

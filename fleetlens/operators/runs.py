@@ -163,15 +163,15 @@ def thread_lanes(bars: DataFrame) -> DataFrame:
 def critical_path(folded: DataFrame, edges: DataFrame) -> DataFrame:
     """From the node of a run that finished last, repeatedly to its last-finishing parent.
 
-    ``folded(scope, run_id, node, started_at, finished_at)``; ``edges(parent, child)``. Ties go to
-    the earlier start, then the smaller id. One level of all runs at a time.
+    ``folded(scope, run_id, node, started_at, finished_at)``; ``edges([scope,] parent, child)``. Ties go
+    to the earlier start, then the smaller id. One level of all runs at a time.
     """
     done = folded.where("finished_at is not null").select(*NODE, "started_at", "finished_at")
-    rank = F.struct(_micros("finished_at"), -_micros(F.coalesce("started_at", "finished_at")), -F.expr("cast(substr(node, 2) as bigint)"))
-    last = done.groupBy(*RUN).agg(F.max_by("node", rank).alias("node")).withColumn("step", F.lit(0))
-    parents = done.withColumnRenamed("node", "parent").join(edges, "parent").select(*RUN, F.col("child").alias("node"), "parent", "started_at", "finished_at")
-    prank = F.struct(_micros("finished_at"), -_micros(F.coalesce("started_at", "finished_at")), -F.expr("cast(substr(parent, 2) as bigint)"))
-    best = parents.groupBy(*NODE).agg(F.max_by("parent", prank).alias("parent"))
+    order = lambda of: F.struct(-_micros("finished_at"), _micros(F.coalesce("started_at", "finished_at")), of)
+    last = done.groupBy(*RUN).agg(F.min_by("node", order("node")).alias("node")).withColumn("step", F.lit(0))
+    on = [*(["scope"] if "scope" in edges.columns else []), "parent"]
+    parents = done.withColumnRenamed("node", "parent").join(edges, on).select(*RUN, F.col("child").alias("node"), "parent", "started_at", "finished_at")
+    best = parents.groupBy(*NODE).agg(F.min_by("parent", order("parent")).alias("parent"))
     best = cut(best)
     return fixpoint(last, lambda f: f.join(best, NODE).select(*RUN, F.col("parent").alias("node"), (F.col("step") + 1).alias("step")), NODE)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.plans.scopes import by_scope
+
 
 def scoped(df: DataFrame, *keys: str) -> list[str]:
     """The keys of a join, with the scope where the frame has one: two scopes may share a name."""
@@ -39,6 +41,7 @@ def diff_states(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("scope", "node", verdict.alias("verdict")).where("verdict is not null")
 
 
+@by_scope("node", "source")
 def diff_project(before: DataFrame, after: DataFrame, versions: DataFrame, reads: DataFrame) -> DataFrame:
     """Nodes whose code changed, and sources still read whose version moved."""
     code = fingerprint_diff(before, after).select(F.col("node").alias("id")).distinct().withColumn("what", F.lit("code"))
@@ -62,6 +65,7 @@ def node_history(ledger: DataFrame) -> DataFrame:
     return seen.unionByName(gone).join(snaps, ["scope", "n"]).select("scope", "node", "snapshot", "event")
 
 
+@by_scope("node", "source")
 def choose_source_versions(readings: DataFrame) -> DataFrame:
     """Of a source's readings ``(source, rank, version)`` the one of the lowest rank, and what was skipped.
 
@@ -75,6 +79,7 @@ def choose_source_versions(readings: DataFrame) -> DataFrame:
     return g.select("source", "version", F.coalesce("strategy", F.lit("none")).alias("strategy"), F.array_join("without", ",").alias("without"))
 
 
+@by_scope("node", "source")
 def merge_readings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two readings ``(source, version, taken_at)``: the later one; of one time the same answer, or unknown."""
     j = a.select("source", F.col("version").alias("va"), F.col("taken_at").alias("ta")).join(b.select("source", F.col("version").alias("vb"), F.col("taken_at").alias("tb")), "source", "full")
@@ -156,6 +161,7 @@ def recorded_versions(inputs: DataFrame) -> DataFrame:
     return inputs.groupBy("source", "version").agg(F.count(F.lit(1)).alias("readers"), F.max("built_at").alias("newest"), F.max_by("run_id", F.struct("built_at", "run_id")).alias("run_id"))
 
 
+@by_scope("node", "source")
 def choose_pointers(nodes: DataFrame) -> DataFrame:
     """Where a deferred node points, by the first matching rule.
 
@@ -173,17 +179,20 @@ def choose_pointers(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", pointer.alias("pointer"), reason.alias("reason"))
 
 
+@by_scope("node", "source")
 def defer_candidates(nodes: DataFrame) -> DataFrame:
     """The nodes that the first six rules leave open, so only these are looked up."""
     return choose_pointers(nodes.withColumn("relation_here", F.lit("present"))).where("reason = 'unchanged'").select("node")
 
 
+@by_scope("node", "source")
 def deferred_relations(upstream: DataFrame, here: DataFrame, pointers: DataFrame) -> DataFrame:
     """The upstream relations, replaced for nodes that point to this target."""
     j = upstream.join(pointers.select("node", "pointer"), "node", "left").join(here.select("node", F.col("relation").alias("own")), "node", "left")
     return j.select("node", F.when((F.col("pointer") == "this_target") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("relation")).alias("relation"))
 
 
+@by_scope("node", "source")
 def relation_check(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Reuse candidates whose relation is missing, or listed without being verified, must build."""
     j = expected.join(present.select(F.lower("relation").alias("key"), "verified"), F.lower("relation") == F.col("key"), "left")

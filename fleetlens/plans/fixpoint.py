@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
     raise ValueError(f"no fixpoint after {max_iter} levels")
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_iter: int = 1000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The longest-path depth of every node: ``nodes(scope, node)``, ``edges(scope, parent, child)``.
 
     Edges to unknown ids are ignored and duplicates count once. Peels the nodes whose parents
@@ -40,7 +41,7 @@ def layers(nodes: DataFrame, edges: DataFrame, max_iter: int = 1000) -> DataFram
     need = e.groupBy("scope", "child").agg(F.count(F.lit(1)).alias("need"))
     waiting = cut(known.join(need.withColumnRenamed("child", "node"), ["scope", "node"], "left").select("scope", "node", F.coalesce("need", F.lit(0)).alias("need")))
     placed = None
-    for depth in range(max_iter):
+    for depth in count():  # every level places a node or is the last
         ready = cut(waiting.where("need = 0").select("scope", "node"))
         if ready.isEmpty():
             break

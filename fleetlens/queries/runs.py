@@ -200,9 +200,9 @@ def e2(spark, sf):
 
 
 @query("e6_critical_path", oracle(FOLD + """, e AS (SELECT 'n' || CAST(x AS VARCHAR) AS parent, 'n' || CAST(y AS VARCHAR) AS child FROM range(17) a(x), range(17) b(y) WHERE x < y AND (x + y) % 3 = 0),
- done AS (SELECT *, coalesce(started_at, finished_at) AS st, CAST(substr(node, 2) AS BIGINT) AS id FROM fold WHERE finished_at IS NOT NULL),
- best AS (SELECT scope, run_id, child AS node, arg_max(node, {'a': epoch_us(finished_at), 'b': -epoch_us(st), 'c': -id}) AS parent FROM done JOIN e ON node = parent GROUP BY ALL),
- walk AS (SELECT scope, run_id, arg_max(node, {'a': epoch_us(finished_at), 'b': -epoch_us(st), 'c': -id}) AS node, 0 AS step FROM done GROUP BY scope, run_id UNION ALL SELECT scope, run_id, parent, step + 1 FROM walk JOIN best USING (scope, run_id, node)) SELECT * FROM walk""", "run_events"))
+ done AS (SELECT *, coalesce(started_at, finished_at) AS st FROM fold WHERE finished_at IS NOT NULL),
+ best AS (SELECT scope, run_id, child AS node, arg_min(node, {'a': -epoch_us(finished_at), 'b': epoch_us(st), 'c': node}) AS parent FROM done JOIN e ON node = parent GROUP BY ALL),
+ walk AS (SELECT scope, run_id, arg_min(node, {'a': -epoch_us(finished_at), 'b': epoch_us(st), 'c': node}) AS node, 0 AS step FROM done GROUP BY scope, run_id UNION ALL SELECT scope, run_id, parent, step + 1 FROM walk JOIN best USING (scope, run_id, node)) SELECT * FROM walk""", "run_events"))
 def e6(spark, sf):
     e = spark.range(17).select(F.col("id").alias("x")).join(spark.range(17).select(F.col("id").alias("y")), F.expr("x < y and (x + y) % 3 = 0"))
     e = e.select(F.concat(F.lit("n"), F.col("x")).alias("parent"), F.concat(F.lit("n"), F.col("y")).alias("child"))
