@@ -11,17 +11,22 @@ nearest, so vectors at a boundary stand on both sides. Lists over ``LIST`` rows
 parts of about that size; a query visits all parts of a list.
 
 *Search*: each query class walks a neighbour graph over the centroids (in memory, at most
-``MAX_LISTS`` of them) and visits the lists that pass the distance-ratio test, at most
-``PROBES``. Where these hold fewer than ``k + 1`` ids, further lists follow in order of distance
-until they do, over all lists if need be. Queries and parts meet by (list, part); a task holds
-one part and a slice of queries. Scores are sums in double precision, component by component, so equal vectors have
-equal scores.
+``MAX_LISTS`` of them); the distance-ratio test selects lists among the ``PROBES`` nearest. A query's
+``k + 2``-th best score within the sample is a floor of what its neighbours score. Selected lists whose
+best possible score (centroid, plus the list's radius) is under the floor are pruned, which loses
+nothing; all others, selected or not, are visited if their likely best (centroid, plus ``SPREAD``
+deviations of the list's residuals) reaches it. So norms count, clustered data prune well, and data
+without structure are scanned as far as it takes. Where the lists hold fewer than ``k + 1`` ids,
+further ones follow in order of distance, over all lists if need be. Queries and parts meet by
+(list, part, slice); a task holds one part and at most ``QUERIES`` of a list's queries, about. Scores are
+sums in double precision, component by component, so equal vectors have equal scores.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,15 @@ SAMPLE = 20_000
 ROWS_A_LIST = 256
 MAX_LISTS = 4096
 LIST = 2048
-COPIES = 4
+COPIES = 2
 BOUNDARY = 1.15
-PROBES = 64
+PROBES = 32
 PRUNE = 1.6
 DEGREE = 16
+#: Deviations of a list's residuals (per component) that its likely best score is above its centroid's.
+SPREAD = 3.0
+#: Queries of a list that meet a part at a time.
+QUERIES = 20_000
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -131,7 +140,10 @@ def _chunked(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def assigner(c: np.ndarray, norm: float):
-    """Batches of classes to (list, home, rep, ids, e), boundary vectors more than once; ``home`` is the nearest list."""
+    """Batches of classes to (list, home, off, rep, ids, e), boundary vectors more than once.
+
+    ``home`` is the nearest list, ``off`` the distance to the centroid without the lifted component.
+    """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,51 +158,76 @@ def assigner(c: np.ndarray, norm: float):
                 row, col = np.nonzero(dist <= dist.min(axis=1, keepdims=True) * BOUNDARY)
                 out = part.take(pa.array(row))
                 home = col == dist.argmin(axis=1)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), pa.array(home), out.column("rep"), out.column("ids"), out.column("e")], ["list", "home", "rep", "ids", "e"])
+                lists = near[row, col]
+                off = np.sqrt(((x[row] - c[lists, :-1]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(home), pa.array(off), out.column("rep"), out.column("ids"), out.column("e")], ["list", "home", "off", "rep", "ids", "e"])
 
     return assign
 
 
-def visits(q: np.ndarray, c: np.ndarray, graph: np.ndarray, held: np.ndarray, need: int, probes: int, prune: float) -> list[int]:
+@dataclass
+class Lists:
+    """What is known of all lists: centroids, parts, ids at home, radius and mean square of the residuals; and the sample."""
+
+    c: np.ndarray
+    parts: np.ndarray
+    held: np.ndarray
+    radius: np.ndarray
+    spread: np.ndarray
+    sample: np.ndarray
+
+
+def visits(q: np.ndarray, graph: np.ndarray, lists: Lists, floor: float, size: float, need: int, probes: int, prune: float) -> list[int]:
     """The lists that a query visits, which together hold ``need`` ids, or all lists.
 
     ``held`` counts each class in its nearest list only, so a sum over lists counts none twice.
+    ``size`` scales the query to the centroids, so that distance ratios are comparable.
     """
-    found = graph_search(q, c, graph, probes)
-    out = [s for d, s in found if d <= found[0][0] * prune**2]
-    have = int(held[out].sum())
+    scaled = np.append(q * size, 0.0)
+    found = graph_search(scaled, lists.c, graph, probes)
+    length = float(np.sqrt((q**2).sum()))
+    middle = lists.c[:, :-1] @ q
+    possible = middle + length * lists.radius * (1 + 1e-9) + 1e-9 >= floor
+    likely = middle + length * lists.spread >= floor
+    out = [s for d, s in found if d <= found[0][0] * prune**2 and possible[s]]
+    seen = set(out)
+    out += [s for s in np.flatnonzero(likely & possible).tolist() if s not in seen]
+    have = int(lists.held[out].sum())
     if have < need:
         seen = set(out)
-        for s in np.argsort(((c - q) ** 2).sum(axis=1), kind="stable").tolist():
+        for s in np.argsort(((lists.c - scaled) ** 2).sum(axis=1), kind="stable").tolist():
             if have >= need:
                 break
             if s not in seen:
                 out.append(s)
-                have += int(held[s])
+                have += int(lists.held[s])
     return out
 
 
-def router(c: np.ndarray, parts: np.ndarray, held: np.ndarray, need: int, probes: int, prune: float):
+def router(lists: Lists, need: int, probes: int, prune: float):
     """Batches of query classes to (list, part, q, qe): a row for each part that the query visits."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = lists.c
         graph = neighbour_graph(c)
+        mean = np.sqrt((c**2).sum(axis=1)).mean()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                piece = b.slice(at, 256)
                 x = _matrix(piece.column("qe"))
-                # only directions matter to a query: scaled to the centroids' size, ratios are comparable
-                size = np.sqrt((c**2).sum(axis=1)).mean() / np.sqrt((x**2).sum(axis=1))
-                x = np.hstack([x * size[:, None], np.zeros((len(x), 1))])
-                rows, lists, part = [], [], []
+                if len(lists.sample) > need:
+                    floors = -np.partition(-(x @ lists.sample.T), need, axis=1)[:, need] - 1e-9
+                else:
+                    floors = np.full(len(x), -np.inf)
+                rows, to, part = [], [], []
                 for i, q in enumerate(x):
-                    for s in visits(q, c, graph, held, need, probes, prune):
-                        for p in range(parts[s]):
+                    for s in visits(q, graph, lists, floors[i], mean / np.sqrt((q**2).sum()), need, probes, prune):
+                        for p in range(lists.parts[s]):
                             rows.append(i)
-                            lists.append(s)
+                            to.append(s)
                             part.append(p)
                 out = piece.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), out.column("q"), out.column("qe")], ["list", "part", "q", "qe"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(part, pa.int32()), out.column("q"), out.column("qe")], ["list", "part", "q", "qe"])
 
     return route
 
@@ -234,7 +271,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probes:
     zero or hold null or non-finite components take no part, nor do null ids. A query's own id
     is never its neighbour; a repeated id counts once, with its best score. Ties go to the
     smaller id. Fewer candidates than ``k`` are all returned; an empty table gives an empty
-    result. All vectors must have one length.
+    result. Vectors of different lengths raise.
 
     Returns ``query_id, rank, vec_id, score``.
     """
@@ -246,6 +283,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probes:
     n = classes.count()
     if not n:
         return spark.createDataFrame([], empty)
+    lengths = classes.agg(F.min(F.size("e")), F.max(F.size("e"))).first()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"vectors of {lengths[0]} to {lengths[1]} components")
     norm = float(classes.agg(F.max(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0]) ** 0.5
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("e").toArrow()
     x = _chunked(sample["e"])
@@ -253,20 +293,29 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probes:
     c = fit_centroids(x, max(1, min(MAX_LISTS // 2, n // ROWS_A_LIST)))
 
     kind = classes.schema["e"].dataType.simpleString()
-    postings = table(classes.mapInArrow(assigner(c, norm), f"list int, home boolean, rep long, ids array<long>, e {kind}"), "postings")
-    parts = np.ones(len(c), dtype=np.int64)
-    held = np.zeros(len(c), dtype=np.int64)
-    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held")).collect():  # at most MAX_LISTS rows
-        parts[r["list"]] = -(-r["n"] // LIST)
-        held[r["list"]] = r["held"]
-    of_list = F.element_at(F.lit(parts.tolist()), F.col("list") + 1)
-    postings = postings.drop("home").withColumn("part", F.pmod(F.xxhash64("rep"), of_list).cast("int"))
+    postings = table(classes.mapInArrow(assigner(c, norm), f"list int, home boolean, off double, rep long, ids array<long>, e {kind}"), "postings")
+    lists = Lists(c, np.ones(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(len(c)), x[:, :-1])
+    square = F.col("off") * F.col("off")
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("home"), F.size("ids")).otherwise(0)).alias("held"), F.max("off").alias("radius"), F.avg(square).alias("square")).collect():  # at most MAX_LISTS rows
+        lists.parts[r["list"]] = -(-r["n"] // LIST)
+        lists.held[r["list"]] = r["held"]
+        lists.radius[r["list"]] = r["radius"]
+        lists.spread[r["list"]] = SPREAD * np.sqrt(r["square"] / (x.shape[1] - 1))
+    of_list = lambda values: F.element_at(F.lit(values), F.col("list") + 1)
+    postings = postings.drop("home", "off").withColumn("part", F.pmod(F.xxhash64("rep"), of_list(lists.parts.tolist())).cast("int"))
 
     q = v.where(F.col("vec_id") % every == 0).select("vec_id", "e")
     mine = table(q.join(classes.select("e", "rep"), "e").select("vec_id", F.col("rep").alias("q")).distinct(), "queries")
     asked = classes.join(mine.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("q"), F.col("e").alias("qe"))
-    probed = asked.repartition("q").mapInArrow(router(c, parts, held, k + 1, probes, prune), f"list int, part int, q long, qe {kind}")
-    near = postings.groupBy("list", "part").cogroup(probed.groupBy("list", "part")).applyInArrow(scorer(k), "q long, rep long, score double, ids array<long>")
+    probed = table(asked.repartition("q").mapInArrow(router(lists, k + 1, probes, prune), f"list int, part int, q long, qe {kind}"), "probed")
+    slices = np.ones(len(c), dtype=np.int64)
+    for r in probed.where("part = 0").groupBy("list").count().collect():  # at most MAX_LISTS rows
+        slices[r["list"]] = -(-r["count"] // QUERIES)
+    n_slices = of_list(slices.tolist())
+    parts = postings.withColumn("slice", F.explode(F.sequence(F.lit(0), (n_slices - 1).cast("int"))))
+    probed = probed.withColumn("slice", F.pmod(F.xxhash64("q"), n_slices).cast("int"))
+    meet = ["list", "part", "slice"]
+    near = parts.groupBy(*meet).cogroup(probed.groupBy(*meet)).applyInArrow(scorer(k), "q long, rep long, score double, ids array<long>")
 
     best = near.groupBy("q", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = best.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("rn") <= k + 1)

@@ -417,3 +417,34 @@ def test_toxicity_repeated_and_long_rows(spark):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (901, 902)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
     assert next(r["predicted"] for r in got if r["doc_id"] == 900) == 0
+
+
+def test_neighbours_over_many_lists(spark, monkeypatch):
+    """Unevenly clustered vectors of uneven norms over more than 50 lists: pruning acts and recall stays high."""
+    rng = np.random.default_rng(3)
+    n = 16_000
+    centre = rng.normal(size=(80, 24)) * 2
+    own = rng.zipf(1.5, n) % 80
+    x = (centre[own] + rng.normal(size=(n, 24)) * 0.6) * rng.lognormal(0, 0.5, n)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = {}
+    plain = ann.router
+    monkeypatch.setattr(ann, "router", lambda lists, *a: seen.update(lists=len(lists.c), parts=int(lists.parts.sum())) or plain(lists, *a))
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, every=20, k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert seen["lists"] > 50
+    hits = 0
+    for i in range(0, n, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.95 * 20 * (n // 20)
+
+
+def test_neighbours_awkward(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0], 7), (20, [0.5, 0.5], 7), (20, [0.5, 0.5], 7), (3, [0.0, 1.0], 7), (None, [1.0, 1.0], 7)], "vec_id long, embedding array<double>, score long")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest_neighbours(few).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
+    with pytest.raises(ValueError, match="components"):
+        ann.nearest_neighbours(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
