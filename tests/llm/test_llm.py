@@ -409,7 +409,9 @@ def test_large_near_group_is_linked_in_few_links(spark):
 
 def test_toxicity_repeated_and_long_rows(spark):
     long = "fine words here " * 50_000
-    rows = [(i, "you utter scumbag go away now" if i % 2 else "a calm and pleasant day outside") for i in range(60)]
+    # texts of their own, since copies count once when voters are mined
+    own = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abc")
+    rows = [(i, f"{own(i)} you utter scumbag go away {own(i + 60)}" if i % 2 else f"{own(i)} a calm and pleasant day {own(i + 60)}") for i in range(60)]
     rows += [(1, rows[1][1]), (900, long), (901, None), (902, "")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
