@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.bindings import bind, oracle
 from fleetlens.operators import project as P
 from fleetlens.operators.registry import Registry
+from fleetlens.sources.artifacts import observed_lineage
 
 QUERIES = {}
 
@@ -251,3 +252,16 @@ def d5(spark, sf):
     r.register_probe("rows", {"n": F.count(F.lit(1))}, F.col("n") > 10)
     r.register_probe("price", {"least": F.min("o_totalprice")} , F.col("least") >= 0, lambda name: name == "orders")
     return r.probe_findings({"orders": bind(spark, sf, "orders"), "lineitem": bind(spark, sf, "lineitem")})
+
+
+LOG = "SELECT CASE WHEN l_partkey % 17 <> 0 THEN 'db.s.t' || CAST(l_partkey AS STRING) END AS source_table_full_name, 'c' || CAST(l_linenumber AS STRING) AS source_column_name, 'db.s.u' || CAST(l_suppkey AS STRING) AS target_table_full_name, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'o' || CAST(l_linenumber AS STRING) END AS target_column_name, CAST(l_shipdate AS STRING) AS event_time FROM lineitem"
+
+
+@query("s8_observed_edges", f"SELECT DISTINCT source_table_full_name AS source, source_column_name AS source_column, target_table_full_name AS target, target_column_name AS target_column FROM ({LOG}) WHERE source_table_full_name IS NOT NULL AND target_column_name <> ''")
+def s8(spark, sf):
+    return observed_lineage(view(spark, sf, LOG))["edges"]
+
+
+@query("s8_row_inputs", f"SELECT DISTINCT source_table_full_name AS source, source_column_name AS source_column, target_table_full_name AS target FROM ({LOG}) WHERE source_table_full_name IS NOT NULL AND target_column_name = ''")
+def s8r(spark, sf):
+    return observed_lineage(view(spark, sf, LOG))["row_inputs"]
