@@ -9,9 +9,14 @@ substrings that the shift bounds allow. Candidates are verified by a banded bit-
 automaton (Wu and Manber, 1992): one bit for each diagonal of the band and one mask for each
 number of edits, for all pairs of a batch at once.
 
-Signatures are hashes; rows of one signature meet by a shuffle, texts only for candidates.
-Signatures that many lines share are compared block against block, letter counts first, so
-nothing is capped and no task holds a group.
+1. Signatures are hashes. One aggregate, combined before its shuffle, finds those that different
+   lines share, so that no signature gathers its lines in a task. They are few; a second pass
+   over the lines keeps their rows only.
+2. In a signature of at most ``SMALL`` lines the index lines are paired with the others. In a
+   larger one every line is paired with one centre: as many pairs as lines.
+3. Large signatures whose lines that leaves in several components are compared block against
+   block: letter counts first, then the automaton, and no two lines that links have joined.
+   A block pair returns fewer links than it has lines. Nothing is capped and no task holds a group.
 """
 
 from __future__ import annotations
@@ -20,22 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.near_dedup import dealt
 from fleetlens.llm.text import text_of
 from fleetlens.plans.components import connected_components
-from fleetlens.plans.shared import table
+from fleetlens.plans.shared import Scratch, bounded_batches, table
 
 EDITS = 2
 #: Shorter lines are only compared exactly: in them two edits can change the meaning.
 MIN_LENGTH = 24
-#: Signatures with more lines are compared in blocks of ``BLOCK``.
+#: Signatures with more lines are linked by a centre, then in blocks of so many lines or bytes, about.
 SMALL = 32
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 HEAVY = 1000
-#: So many line hashes (8 bytes each) are broadcast to pick out the texts to verify.
-BROADCAST_LINES = 1_000_000
+#: So many hashes (16 bytes each at most) are broadcast to pick out shared signatures or texts to verify.
+BROADCAST_HASHES = 1_000_000
+#: So many cells (4 bytes each, twice) of characters are compared at once; a single pair may take more.
+CELLS = 1 << 21
 
 
 def places(edits: int) -> list[tuple[int, int, int]]:
@@ -49,20 +57,25 @@ def places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def signatures(lines: DataFrame, edits: int) -> DataFrame:
-    """(line, sig, index) of ``lines(line, text, n_chars)``: the index signatures and the probes.
+    """(line, hash, sig, index) of ``lines(line, text, n_chars)``: the index signatures and the probes.
 
     Segments are even; the last ones take the remainder. In a line of ASCII, characters are
     bytes, which are cut without a walk over the line; the hash of equal bytes is the same.
     """
     parts = edits + 1
     spec = F.explode(F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(at).alias("shift")) for x, i, at in places(edits)]))
-    rows = lines.select("line", "text", "n_chars", (F.octet_length("text") == F.col("n_chars")).alias("plain"), spec.alias("s"))
+    plain = (F.octet_length("text") == F.col("n_chars")).alias("plain")
+    rows = lines.select("line", F.xxhash64("text").alias("hash"), "text", "n_chars", plain, spec.alias("s"))
     rows = rows.select("*", (F.col("n_chars") - F.col("s.less")).alias("length"), F.col("s.i").alias("i")).where(F.col("length") >= MIN_LENGTH)
-    base, short = ((F.col("length") - F.col("length") % parts) / parts).cast("int"), parts - F.col("length") % parts  # so many segments have the base length
-    rows = rows.select("*", (F.col("i") * base + F.greatest(F.col("i") - short, F.lit(0)) + 1 + F.col("s.shift")).alias("at"), (base + (F.col("i") >= short).cast("int")).alias("size"))
-    cut = F.when(F.col("plain"), F.substring(F.col("text").cast("binary"), F.col("at"), F.col("size"))).otherwise(F.substring("text", F.col("at"), F.col("size")).cast("binary"))
+    # so many segments have the base length
+    base, short = ((F.col("length") - F.col("length") % parts) / parts).cast("int"), parts - F.col("length") % parts
+    at = F.col("i") * base + F.greatest(F.col("i") - short, F.lit(0)) + 1 + F.col("s.shift")
+    rows = rows.select("*", at.alias("at"), (base + (F.col("i") >= short).cast("int")).alias("size"))
+    in_bytes = F.substring(F.col("text").cast("binary"), F.col("at"), F.col("size"))
+    cut = F.when(F.col("plain"), in_bytes).otherwise(F.substring("text", F.col("at"), F.col("size")).cast("binary"))
     fits = (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n_chars"))
-    return rows.where(fits).select("line", F.xxhash64("length", "i", cut).alias("sig"), ((F.col("s.less") == 0) & (F.col("s.shift") == 0)).alias("index"))
+    index = (F.col("s.less") == 0) & (F.col("s.shift") == 0)
+    return rows.where(fits).select("line", "hash", F.xxhash64("length", "i", cut).alias("sig"), index.alias("index"))
 
 
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -89,7 +102,7 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
         if at_end.any():
             for m in masks:
                 done |= at_end & (goal >= 0) & (goal < width) & ((m >> np.clip(goal, 0, width - 1).astype(np.uint32)) & 1).astype(bool)
-        if i == rows:
+        if i == rows or not any(m.any() for m in masks):
             break
         same = np.zeros(pairs, dtype=np.uint32)
         for d in range(width):
@@ -104,82 +117,120 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return done
 
 
+def near_pairs(a: list[str], b: list[str], edits: int) -> np.ndarray:
+    """``within`` for any number of pairs of any lengths, in batches of like length and at most ``CELLS`` cells."""
+    fine = np.zeros(len(a), dtype=bool)
+    longest = [max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    order = sorted(range(len(a)), key=longest.__getitem__)
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo + 1) * (longest[order[hi]] + 2 * edits + 1) <= CELLS:
+            hi += 1
+        some = order[lo:hi]
+        fine[some] = within([a[i] for i in some], [b[i] for i in some], edits)
+        lo = hi
+    return fine
+
+
 def verifier(edits: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                ta, tb = part.column("ta").to_pylist(), part.column("tb").to_pylist()
-                order = sorted(range(len(ta)), key=lambda i: len(tb[i]))  # batches of like length
-                fine = np.zeros(len(ta), dtype=bool)
-                for k in range(0, len(order), 512):
-                    some = order[k : k + 512]
-                    fine[some] = within([ta[i] for i in some], [tb[i] for i in some], edits)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(fine))
+        for batch in batches:
+            fine = near_pairs(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), edits)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return verify
 
 
-def block_pairs(edits: int):
-    """Pairs of one block pair whose letter counts differ by at most ``2 * edits``."""
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Counts of characters, by their number modulo 64: an edit changes two of them at most, by one each."""
+    out = np.zeros((len(texts), 64), dtype=np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % 64, minlength=64)
+    return out
+
 
-    def letters(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 64), dtype=np.int16)
-        for i, t in enumerate(texts):
-            out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % 64, minlength=64)
-        return out
+def block_links(edits: int, rows: int = 16):
+    """Links (a, b) of one block pair between lines of different components, each of which joins two."""
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t["left"]), t.filter(t["right"])
-        a, b = left["line"].to_numpy(), right["line"].to_numpy()
-        found_a, found_b = [], []
-        if len(a) and len(b):
-            ra, rb = letters(left["text"].to_pylist()), letters(right["text"].to_pylist())
-            for i in range(len(a)):
-                near = b[(np.abs(rb - ra[i]).sum(axis=1) <= 2 * edits) & (b != a[i])]
-                found_a.append(np.minimum(near, a[i]))
-                found_b.append(np.maximum(near, a[i]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.array([], dtype=np.int64), pa.int64())
-        return pa.table({"a": cat(found_a), "b": cat(found_b)})
+        found: list[tuple[bytes, bytes]] = []
+        root: dict[bytes, bytes] = {}
+
+        def find(c: bytes) -> bytes:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        if left.num_rows and right.num_rows:
+            (la, ta, ca), (lb, tb, cb) = ([side[c].to_pylist() for c in ("rep", "text", "comp")] for side in (left, right))
+            na, nb = letter_counts(ta), letter_counts(tb)
+            for at in range(0, len(la), rows):
+                gaps = np.abs(na[at : at + rows, None, :] - nb[None]).sum(axis=2)
+                pairs = [(at + int(i), int(j)) for i, j in zip(*np.nonzero(gaps <= 2 * edits), strict=True)]
+                pairs = [(i, j) for i, j in pairs if find(ca[i]) != find(cb[j])]
+                fine = near_pairs([ta[i] for i, _ in pairs], [tb[j] for _, j in pairs], edits)
+                for (i, j), near in zip(pairs, fine.tolist(), strict=True):
+                    if near and (x := find(ca[i])) != (y := find(cb[j])):
+                        root[x] = y
+                        found.append((min(la[i], lb[j]), max(la[i], lb[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return compare
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, text, n_chars): trimmed lines that aren't blank, named by a hash."""
+    """(doc_id, pos, line, text, n_chars): trimmed lines that aren't blank, named by 128 bits."""
     rows = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
     rows = rows.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("text")).where("text <> ''")
-    return rows.select("doc_id", "pos", F.xxhash64("text", F.octet_length("text")).alias("line"), "text", F.char_length("text").alias("n_chars"))
+    return rows.select("doc_id", "pos", F.unhex(F.md5("text")).alias("line"), "text", F.char_length("text").alias("n_chars"))
 
 
-def similar_lines(lines: DataFrame, heavy: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) between different lines within ``edits`` edits.
+def shared_signatures(lines: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
+    """(sig, line, index): the signatures of lines, once each, that different lines share, an index one among them."""
+    each = signatures(lines.where(F.col("n_chars") >= MIN_LENGTH), edits).where("sig is not null")
+    shared = each.groupBy("sig").agg(F.max("index").alias("has"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    shared = scratch.table(shared.where("has and lo <> hi").select("sig"), "shared")
+    once = lambda rows: rows.groupBy("sig", "line").agg(F.max("index").alias("index"))
+    if shared.count() <= BROADCAST_HASHES:
+        return scratch.table(once(each.join(F.broadcast(shared), "sig", "left_semi")), "met")
+    return scratch.table(once(each).join(shared.hint("merge"), "sig", "left_semi"), "met")
 
-    ``heavy``: the lines that make up over one in ``HEAVY`` of all, with their first places; each
-    gives its signatures there only, so no signature is as frequent as a line can be.
+
+def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Links (a, b) between different lines within ``edits`` edits: enough of them to connect all such lines.
+
+    ``lines(line, text, n_chars)``, repeated rows allowed.
     """
-    often = F.broadcast(heavy.select(F.col("line").alias("often"), "first"))
-    first = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
-    each = lines.where(F.col("n_chars") >= MIN_LENGTH).join(often, F.col("line") == F.col("often"), "left").where(first)
-    rows = signatures(each, edits).where("sig is not null").repartition("sig").groupBy("sig", "line").agg(F.bool_or("index").alias("index"))
-    # both uses of ``rows`` read one exchange
-    shared = rows.groupBy("sig").agg(F.bool_or("index").alias("has"), F.min("line").alias("lo"), F.max("line").alias("hi")).where("has and lo <> hi").select("sig")
-    met = table(rows.join(shared.hint("shuffle_hash"), "sig", "left_semi"), "met")
-    sizes = table(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    met = met.join(sizes, "sig")
-    few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
+    bounded_batches(lines.sparkSession)
+    scratch = Scratch(lines.sparkSession)
+    met = shared_signatures(lines, edits, scratch)
+    ids = scratch.table(met.select("line").distinct(), "ids")
+    few_ids = ids.count() <= BROADCAST_HASHES  # else all texts are shuffled to the ids
+    texts = lines.join(F.broadcast(ids) if few_ids else ids.hint("merge"), "line", "left_semi").select("line", "text")
+    texts = scratch.table(texts.dropDuplicates(["line"]), "texts")
+    state = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min_by("line", F.xxhash64("line")).alias("centre"))
+    met = met.join(scratch.table(state, "state"), "sig")
+    few, many = met.where(F.col("n") <= SMALL), scratch.table(met.where(F.col("n") > SMALL).select("sig", "line", "centre"), "many")
     index = few.where("index").select("sig", F.col("line").alias("other"))
-    pairs = few.select("sig", "line").join(index, "sig").where("line <> other").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
-    ids = table(met.select("line").distinct(), "ids")
-    few_ids = ids.count() <= BROADCAST_LINES  # else all texts are shuffled to the ids
-    texts = table(lines.join(F.broadcast(ids) if few_ids else ids.hint("merge"), "line", "left_semi").dropDuplicates(["line"]).select("line", "text"), "texts")
-    sized = many.select("sig", "line", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")).withColumn("i", F.pmod(F.xxhash64("line", F.lit("block")), F.col("k")).cast("int"))
-    sized = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    blocks = sized.select("sig", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "line").join(texts, "line")
-    pairs = pairs.union(blocks.groupBy("sig", "x", "y").applyInArrow(block_pairs(edits), "a long, b long")).distinct()
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = few.select("sig", "line").join(index, "sig").where("line <> other").select(*pair("line", "other"))
+    pairs = pairs.union(many.where("line <> centre").select(*pair("line", "centre"))).distinct()
     named = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").where(F.abs(F.char_length("ta") - F.char_length("tb")) <= edits)
-    return both.select("a", "b", "ta", "tb").mapInArrow(verifier(edits), "a long, b long")
+    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(verifier(edits), "a binary, b binary"), "links")
+    if many.isEmpty():
+        return links
+    comps = connected_components(links)
+    members = many.select("sig", "line").join(comps, F.col("line") == F.col("node"), "left").select("sig", "line", F.coalesce("component", "line").alias("comp"))
+    apart = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    sized = texts.select("line", F.octet_length("text").cast("long").alias("n"))
+    members = members.join(apart, "sig", "left_semi").join(sized, "line")
+    members = scratch.table(members.select(F.col("sig").alias("bucket"), F.col("line").alias("rep"), "n", "comp"), "apart")
+    blocks = dealt(members, scratch, BLOCK, BLOCK_BYTES).join(texts.withColumnRenamed("line", "rep"), "rep")
+    more = blocks.groupBy("bucket", "x", "y").applyInArrow(block_links(edits), "a binary, b binary")
+    return links.union(scratch.table(more.distinct(), "more"))
 
 
 def line_verdicts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -198,8 +249,7 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     places = table(lines.select("doc_id", "pos", "line"), "places")
     total = places.count()
     firsts = table(places.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    links = similar_lines(lines, firsts.where(F.col("n") * HEAVY > total), edits)
-    groups = connected_components(table(links, "line_links"))
+    groups = connected_components(similar_lines(lines.select("line", "text", "n_chars"), edits))
     firsts = firsts.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").select("line", "first", "n", F.coalesce("component", "line").alias("grp"))
     firsts = table(firsts, "grouped")
     best = firsts.groupBy("grp").agg(F.min("first").alias("keep"))
@@ -216,9 +266,12 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The documents, with their own columns, without the lines that repeat an earlier one."""
-    verdict = line_verdicts(docs, edits).where("n_dropped > 0").select(F.col("doc_id").alias("of"), "dropped")
-    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("dropped"), i))
-    return joined.select(*[F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """The documents, with their own columns, without the lines that repeat an earlier one.
 
+    A null text stays null. Columns may have any names but ``__line_id`` and ``__line_dropped``.
+    """
+    verdict = line_verdicts(docs, edits).where("n_dropped > 0").select(F.col("doc_id").alias("__line_id"), F.col("dropped").alias("__line_dropped"))
+    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__line_id")), "left")
+    kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("__line_dropped"), i))
+    text = F.when(F.col("__line_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns])

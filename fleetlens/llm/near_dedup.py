@@ -147,8 +147,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
-def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``members`` once for each block pair that they take part in.
+def dealt(members: DataFrame, scratch: Scratch, rows: int = BLOCK, weight: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``members(bucket, rep, n, comp)`` once for each block pair that they take part in.
+
+    A block holds so many ``rows``, or so much of the ``weight`` that ``n`` counts, about.
 
     In each bucket the members of its largest component are the *home* side. They needn't be
     compared with each other, so a home block meets only the blocks of the others, and these meet
@@ -156,7 +158,7 @@ def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
     """
     comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     whole = comps.groupBy("bucket").agg(F.max(F.struct("m", "w", "comp")).alias("home"), F.sum("m").alias("m"), F.sum("w").alias("w"))
-    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = lambda m, w: F.greatest(F.ceil(m / rows), F.ceil(w / weight), F.lit(1)).cast("int")
     sizes = whole.select("bucket", F.col("home.comp").alias("home"), blocks(F.col("home.m"), F.col("home.w")).alias("kh"), blocks(F.col("m") - F.col("home.m"), F.col("w") - F.col("home.w")).alias("kr"))
     m = members.join(scratch.table(sizes, "blocks"), "bucket").withColumn("at_home", F.col("comp") == F.col("home"))
     m = m.withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("at_home"), F.col("kh")).otherwise(F.col("kr"))).cast("int"))
@@ -176,7 +178,7 @@ def _blocks(members: DataFrame, full: DataFrame, loosest: float, percent: int, s
     components that a link has joined aren't compared again, so it returns fewer links than it has
     members.
     """
-    m = _dealt(members, scratch).join(full, "rep")
+    m = dealt(members, scratch).join(full, "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t["left"]), t.filter(t["right"])

@@ -283,6 +283,56 @@ def test_line_dedup(spark):
     assert line_dedup.line_verdicts(d.limit(0)).count() == 0
 
 
+def edit_distance(x, y):
+    """The plain table of distances between prefixes."""
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row = row, [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_line_verifier_against_plain_distances(monkeypatch):
+    rng = random.Random(5)
+    a, b = [], []
+    for _ in range(400):
+        x = [rng.choice("abé日\U0001F600 ") for _ in range(rng.randrange(1, 40))]
+        y = list(x)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "q", "é"])
+        a.append("".join(x))
+        b.append("".join(y))
+    a += ["", "", "x" * 70_000, "x" * 70_000]
+    b += ["", "abc", "x" * 34_999 + "y" + "x" * 35_002, "y" * 70_000]
+    want = [edit_distance(x, y) for x, y in zip(a[:-2], b[:-2], strict=True)] + [2, 70_000]
+    for cells in (line_dedup.CELLS, 300):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        for edits in (1, 2, 3):
+            assert line_dedup.near_pairs(a, b, edits).tolist() == [w <= edits for w in want]
+
+
+def test_lines_that_differ_in_a_number_give_few_links(spark):
+    lines = [f"printed at the harbour office, page {i:02d} of the yearly book, shelf {j:02d} of the archive" for i in range(40) for j in range(50)]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(7)
+    links = line_dedup.similar_lines(line_dedup.lines_of(d).select("line", "text", "n_chars")).collect()
+    assert len(links) < 6 * len(lines)
+    assert [r["doc_id"] for r in line_dedup.line_verdicts(d).where("n_dropped = 0").collect()] == [0]
+
+
+def test_line_dedup_awkward_rows(spark):
+    x, y = "a line that is long enough to compare", "a line that is long enough to compara"
+    schema = "doc_id long, text string, line string, sig long, pos int, hash long, dropped string"
+    rows = [(7, x), (7, x), (None, y), (3, None), (3, ""), (5, "z" * 300_000), (6, "z" * 299_999 + "q"), (8, f"{x}\r\n\n{y}\n ")]
+    d = spark.createDataFrame([(i, t, "c", 1, 2, 3, "d") for i, t in rows], schema)
+    got = {r["doc_id"]: (r["n_lines"], list(r["dropped"])) for r in line_dedup.line_verdicts(d).collect()}
+    assert got == {None: (1, []), 3: (0, []), 5: (1, []), 6: (1, [0]), 7: (2, [0]), 8: (2, [0, 2])}
+    out = line_dedup.drop_repeated_lines(d)
+    assert out.columns == d.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])[:6]) for r in out.collect() if r["doc_id"] != 8) == sorted([("7", ""), ("7", ""), ("None", "a line"), ("3", "None"), ("3", ""), ("5", "zzzzzz"), ("6", "")])
+
+
 def test_line_dedup_against_all_pairs(spark, monkeypatch):
     rng = random.Random(8)
     lines = []
@@ -295,9 +345,7 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch):
             lines.append("".join(v).strip())
     lines = list(dict.fromkeys(lines))
 
-    def near(x, y):
-        return bool(line_dedup.within([x], [y], 2)[0])
-
+    near = lambda x, y: edit_distance(x, y) <= 2
     group = list(range(len(lines)))
     for i in range(len(lines)):
         for j in range(i):
