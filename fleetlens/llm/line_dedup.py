@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.near_dedup import dealt
@@ -57,7 +57,7 @@ def places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def signatures(lines: DataFrame, edits: int) -> DataFrame:
-    """(line, hash, sig, index) of ``lines(line, text, n_chars)``: the index signatures and the probes.
+    """``lines(text, n_chars, ...)`` with hash, sig, index, once for each index signature and each probe.
 
     Segments are even; the last ones take the remainder. In a line of ASCII, characters are
     bytes, which are cut without a walk over the line; the hash of equal bytes is the same.
@@ -65,7 +65,7 @@ def signatures(lines: DataFrame, edits: int) -> DataFrame:
     parts = edits + 1
     spec = F.explode(F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(at).alias("shift")) for x, i, at in places(edits)]))
     plain = (F.octet_length("text") == F.col("n_chars")).alias("plain")
-    rows = lines.select("line", F.xxhash64("text").alias("hash"), "text", "n_chars", plain, spec.alias("s"))
+    rows = lines.select("*", F.xxhash64("text").alias("hash"), plain, spec.alias("s"))
     rows = rows.select("*", (F.col("n_chars") - F.col("s.less")).alias("length"), F.col("s.i").alias("i")).where(F.col("length") >= MIN_LENGTH)
     # so many segments have the base length
     base, short = ((F.col("length") - F.col("length") % parts) / parts).cast("int"), parts - F.col("length") % parts
@@ -75,7 +75,7 @@ def signatures(lines: DataFrame, edits: int) -> DataFrame:
     cut = F.when(F.col("plain"), in_bytes).otherwise(F.substring("text", F.col("at"), F.col("size")).cast("binary"))
     fits = (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n_chars"))
     index = (F.col("s.less") == 0) & (F.col("s.shift") == 0)
-    return rows.where(fits).select("line", "hash", F.xxhash64("length", "i", cut).alias("sig"), index.alias("index"))
+    return rows.where(fits).select(*lines.columns, "hash", F.xxhash64("length", "i", cut).alias("sig"), index.alias("index")).where("sig is not null")
 
 
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -155,10 +155,10 @@ def block_links(edits: int, rows: int = 16):
 
     def compare(t: pa.Table) -> pa.Table:
         left, right = t.filter(t["left"]), t.filter(t["right"])
-        found: list[tuple[bytes, bytes]] = []
-        root: dict[bytes, bytes] = {}
+        found: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
 
-        def find(c: bytes) -> bytes:
+        def find(c: int) -> int:
             while (up := root.get(c, c)) != c:
                 root[c] = c = root.get(up, up)
             return c
@@ -175,62 +175,78 @@ def block_links(edits: int, rows: int = 16):
                     if near and (x := find(ca[i])) != (y := find(cb[j])):
                         root[x] = y
                         found.append((min(la[i], lb[j]), max(la[i], lb[j])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return compare
 
 
+def name_of_line() -> Column:
+    """128 bits of ``text``."""
+    return F.unhex(F.md5("text"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, text, n_chars): trimmed lines that aren't blank, named by 128 bits."""
+    """(doc_id, pos, text, n_chars): trimmed lines that aren't blank."""
     rows = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
     rows = rows.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("text")).where("text <> ''")
-    return rows.select("doc_id", "pos", F.unhex(F.md5("text")).alias("line"), "text", F.char_length("text").alias("n_chars"))
+    return rows.select("doc_id", "pos", "text", F.char_length("text").alias("n_chars"))
 
 
-def shared_signatures(lines: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
-    """(sig, line, index): the signatures of lines, once each, that different lines share, an index one among them."""
-    each = signatures(lines.where(F.col("n_chars") >= MIN_LENGTH), edits).where("sig is not null")
+def candidate_lines(lines: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
+    """(no, line, text, sigs): the lines with signatures that different lines share, an index one among them.
+
+    One row a line; ``no`` is a number for it, and ``sigs`` holds the shared signatures (sig, index).
+    """
+    long_enough = lines.select("text", "n_chars").where(F.col("n_chars") >= MIN_LENGTH)
+    each = signatures(long_enough, edits)
     shared = each.groupBy("sig").agg(F.max("index").alias("has"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
     shared = scratch.table(shared.where("has and lo <> hi").select("sig"), "shared")
-    once = lambda rows: rows.groupBy("sig", "line").agg(F.max("index").alias("index"))
+    sigs = F.collect_set(F.struct("sig", "index")).alias("sigs")
     if shared.count() <= BROADCAST_HASHES:
-        return scratch.table(once(each.join(F.broadcast(shared), "sig", "left_semi")), "met")
-    return scratch.table(once(each).join(shared.hint("merge"), "sig", "left_semi"), "met")
-
-
-def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) between different lines within ``edits`` edits: enough of them to connect all such lines.
-
-    ``lines(line, text, n_chars)``, repeated rows allowed.
+        hits = each.select("text", "sig", "index").join(F.broadcast(shared), "sig", "left_semi")
+        found = hits.groupBy(name_of_line().alias("line")).agg(F.first("text").alias("text"), sigs)
+    else:  # names are shuffled to the signatures, and texts once to the names that remain
+        named = long_enough.withColumn("line", name_of_line())
+        once = signatures(named, edits).groupBy("sig", "line").agg(F.max("index").alias("index"))
+        of = scratch.table(once.join(shared.hint("merge"), "sig", "left_semi").groupBy("line").agg(sigs), "of")
+        texts = named.select("line", "text").join(of.select("line").hint("merge"), "line", "left_semi").dropDuplicates(["line"])
+        found = texts.join(of, "line")
+    return scratch.table(found.select(F.monotonically_increasing_id().alias("no"), "line", "text", "sigs"), "found")
+
+
+def similar_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Lines (no, line) and links (a, b) of their numbers, between different lines within ``edits`` edits.
+
+    ``lines(text, n_chars, ...)``, repeated rows allowed. Lines without a link may be among those
+    returned; the links are enough to connect all such pairs.
     """
     bounded_batches(lines.sparkSession)
     scratch = Scratch(lines.sparkSession)
-    met = shared_signatures(lines, edits, scratch)
-    ids = scratch.table(met.select("line").distinct(), "ids")
-    few_ids = ids.count() <= BROADCAST_HASHES  # else all texts are shuffled to the ids
-    texts = lines.join(F.broadcast(ids) if few_ids else ids.hint("merge"), "line", "left_semi").select("line", "text")
-    texts = scratch.table(texts.dropDuplicates(["line"]), "texts")
-    state = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min_by("line", F.xxhash64("line")).alias("centre"))
+    found = candidate_lines(lines, edits, scratch)
+    texts = found.select("no", "text")
+    met = found.select("no", F.explode("sigs").alias("s")).groupBy(F.col("s.sig").alias("sig"), "no").agg(F.max("s.index").alias("index"))
+    met = scratch.table(met, "met")
+    state = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min_by("no", F.xxhash64("no")).alias("centre"))
     met = met.join(scratch.table(state, "state"), "sig")
-    few, many = met.where(F.col("n") <= SMALL), scratch.table(met.where(F.col("n") > SMALL).select("sig", "line", "centre"), "many")
-    index = few.where("index").select("sig", F.col("line").alias("other"))
+    few, many = met.where(F.col("n") <= SMALL), scratch.table(met.where(F.col("n") > SMALL).select("sig", "no", "centre"), "many")
+    index = few.where("index").select("sig", F.col("no").alias("other"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = few.select("sig", "line").join(index, "sig").where("line <> other").select(*pair("line", "other"))
-    pairs = pairs.union(many.where("line <> centre").select(*pair("line", "centre"))).distinct()
-    named = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"t{c}"))
+    pairs = few.select("sig", "no").join(index, "sig").where("no <> other").select(*pair("no", "other"))
+    pairs = pairs.union(many.where("no <> centre").select(*pair("no", "centre"))).distinct()
+    named = lambda c: texts.select(F.col("no").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").where(F.abs(F.char_length("ta") - F.char_length("tb")) <= edits)
-    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(verifier(edits), "a binary, b binary"), "links")
+    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(verifier(edits), "a long, b long"), "links")
+    numbers = found.select("no", "line")
     if many.isEmpty():
-        return links
+        return numbers, links
     comps = connected_components(links)
-    members = many.select("sig", "line").join(comps, F.col("line") == F.col("node"), "left").select("sig", "line", F.coalesce("component", "line").alias("comp"))
+    members = many.select("sig", "no").join(comps, F.col("no") == F.col("node"), "left").select("sig", "no", F.coalesce("component", "no").alias("comp"))
     apart = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    sized = texts.select("line", F.octet_length("text").cast("long").alias("n"))
-    members = members.join(apart, "sig", "left_semi").join(sized, "line")
-    members = scratch.table(members.select(F.col("sig").alias("bucket"), F.col("line").alias("rep"), "n", "comp"), "apart")
-    blocks = dealt(members, scratch, BLOCK, BLOCK_BYTES).join(texts.withColumnRenamed("line", "rep"), "rep")
-    more = blocks.groupBy("bucket", "x", "y").applyInArrow(block_links(edits), "a binary, b binary")
-    return links.union(scratch.table(more.distinct(), "more"))
+    members = members.join(apart, "sig", "left_semi").join(texts.select("no", F.octet_length("text").cast("long").alias("n")), "no")
+    members = scratch.table(members.select(F.col("sig").alias("bucket"), F.col("no").alias("rep"), "n", "comp"), "apart")
+    blocks = dealt(members, scratch, BLOCK, BLOCK_BYTES).join(texts.withColumnRenamed("no", "rep"), "rep")
+    more = blocks.groupBy("bucket", "x", "y").applyInArrow(block_links(edits), "a long, b long")
+    return numbers, links.union(scratch.table(more.distinct(), "more"))
 
 
 def line_verdicts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -246,14 +262,15 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     Returns ``doc_id, n_lines, n_dropped, dropped`` (positions from 0, ascending).
     """
     lines = lines_of(docs)
-    places = table(lines.select("doc_id", "pos", "line"), "places")
+    places = table(lines.select("doc_id", "pos", name_of_line().alias("line")), "places")
     total = places.count()
     firsts = table(places.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    groups = connected_components(similar_lines(lines.select("line", "text", "n_chars"), edits))
-    firsts = firsts.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").select("line", "first", "n", F.coalesce("component", "line").alias("grp"))
-    firsts = table(firsts, "grouped")
-    best = firsts.groupBy("grp").agg(F.min("first").alias("keep"))
-    verdict = table(firsts.join(best, "grp").select("line", "keep", "n"), "verdict")
+    numbers, links = similar_lines(lines, edits)
+    groups = connected_components(links).join(numbers, F.col("node") == F.col("no")).select("line", "component")
+    linked = table(groups.join(firsts.select("line", "first"), "line"), "linked")
+    best = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    moved = linked.join(best, "component").where(~F.col("first").eqNullSafe(F.col("keep"))).select("line", "keep")
+    verdict = table(firsts.join(moved, "line", "left").select("line", F.coalesce("keep", "first").alias("keep"), "n"), "verdict")
     heavy = verdict.where(F.col("n") * HEAVY > total).select("line", "keep")  # at most HEAVY rows
     rest = places.join(F.broadcast(heavy.select("line")), "line", "left_anti")
     judged = places.join(F.broadcast(heavy), "line").unionByName(rest.join(verdict.select("line", "keep"), "line"))

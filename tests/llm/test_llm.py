@@ -316,8 +316,8 @@ def test_line_verifier_against_plain_distances(monkeypatch):
 def test_lines_that_differ_in_a_number_give_few_links(spark):
     lines = [f"printed at the harbour office, page {i:02d} of the yearly book, shelf {j:02d} of the archive" for i in range(40) for j in range(50)]
     d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(7)
-    links = line_dedup.similar_lines(line_dedup.lines_of(d).select("line", "text", "n_chars")).collect()
-    assert len(links) < 6 * len(lines)
+    _, links = line_dedup.similar_lines(line_dedup.lines_of(d))
+    assert links.count() < 6 * len(lines)
     assert [r["doc_id"] for r in line_dedup.line_verdicts(d).where("n_dropped = 0").collect()] == [0]
 
 
@@ -353,8 +353,9 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
     d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    for small in (32, 2):  # by pairs, then by blocks
+    for small, hashes in ((32, 1_000_000), (2, 0)):  # by pairs and broadcasts, then by blocks and shuffles
         monkeypatch.setattr(line_dedup, "SMALL", small)
+        monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", hashes)
         kept = {r["doc_id"] for r in line_dedup.line_verdicts(d).where("n_dropped = 0").collect()}
         assert kept == set(group)
 
