@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from fleetlens.sources import artifacts as A
 
@@ -37,3 +38,22 @@ def test_engine_log_keeps_node_events(spark):
     lines = spark.createDataFrame([("s", start), ("s", '{"info": {"name": "Other"}}'), ("s", "not json")], "scope string, value string")
     got = [(r["scope"], r["node"], r["kind"]) for r in A.engine_log_events(lines).collect()]
     assert got == [("s", "model.a", "node_started")]
+
+
+def test_catalog_columns(spark, tmp_path):
+    node = {"metadata": {"type": "view"}, "columns": {"id": {"name": "id", "type": "int", "index": 1}, "at": {"name": "at", "type": "date", "index": 2}}}
+    (tmp_path / "catalog.json").write_text(json.dumps({"nodes": {"model.a": node}}))
+    got = A.read_catalog(spark, str(tmp_path / "catalog.json")).select("node", "kind", "column", "type", "ordinal").collect()
+    assert sorted(map(tuple, got)) == [("model.a", "view", "at", "date", 2), ("model.a", "view", "id", "int", 1)]
+
+
+def test_source_freshness_keeps_runtime_errors_apart(spark, tmp_path):
+    results = [
+        {"unique_id": "source.a", "status": "pass", "max_loaded_at": "2024-05-01T10:00:00Z"},
+        {"unique_id": "source.b", "status": "warn", "max_loaded_at": "not a time"},
+        {"unique_id": "source.c", "status": "runtime error", "error": "no such table"},
+    ]
+    (tmp_path / "sources.json").write_text(json.dumps({"results": results}))
+    fine, bad = A.read_source_freshness(spark, str(tmp_path / "sources.json"))
+    assert sorted((r["source"], r["status"], str(r["loaded_at"])) for r in fine.collect()) == [("source.a", "pass", "2024-05-01 10:00:00"), ("source.b", "warn", "None")]
+    assert [(r["source"], r["error"]) for r in bad.collect()] == [("source.c", "no such table")]
