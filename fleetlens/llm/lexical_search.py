@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def blocks(batches: Iterator[pa.RecordBatch], weights: np.ndarray, total: tuple[
     def made(rows: list[pa.RecordBatch]) -> Block:
         t = pa.Table.from_batches(rows).combine_chunks()
         flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = pa.compute.list_value_length(t.column("term")).to_numpy().astype(np.int64)
+        lengths = pc.list_value_length(t.column("term")).to_numpy().astype(np.int64)
         ids = t.column("doc_id").fill_null(int(NULL_ID)).to_numpy()
         return Block(ids, t.column("n").to_numpy(), lengths, flat("term"), flat("tf"), weights, total)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import ann, bpe, lexical_search, license_scan, line_dedup, near_dedup, packing, sharding, token_file, toxicity, whitening
+from fleetlens.llm import ann, bpe, language_id, lexical_search, license_scan, line_dedup, near_dedup, packing, sharding, token_file, toxicity, whitening
 from fleetlens.llm import exact_dedup as dedup
 
 
@@ -101,6 +101,10 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 """
 
 
+def op12_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
     return out.withColumn("deviation", F.col("deviation").cast("long"))
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_online_packing": op9_online_packing,
         "op10_ring_sharding": op10_ring_sharding,
         "op11_pair_bound_search": op11_pair_bound_search,
+        "op12_crf_language_id": op12_crf_language_id,
         "op13_whitening": op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
