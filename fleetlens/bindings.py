@@ -16,6 +16,25 @@ SELECT 'r' || CAST(user_id % 5 AS STRING) AS scope, 'run-' || CAST(user_id AS ST
  CASE event_type WHEN 'click' THEN 'success' WHEN 'error' THEN 'error' WHEN 'purchase' THEN CASE WHEN value > 40 THEN 'failed' ELSE 'passed' END END AS status,
  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS rows_affected,
  'T' || CAST(event_id % 4 AS STRING) AS thread FROM events
+""",
+    "run_journal": """
+SELECT scope, run_id, seq, ts AS at, kind, CASE WHEN kind LIKE 'node%' THEN 'n' || CAST(seq % 7 AS STRING) END AS node,
+ CASE WHEN kind = 'node_finished' THEN CASE WHEN event_type = 'error' THEN CASE WHEN seq % 2 = 0 THEN 'error' ELSE 'skipped' END WHEN seq % 4 = 3 THEN 'unknown' ELSE 'success' END
+  WHEN kind = 'check_finished' THEN CASE seq % 5 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' WHEN 2 THEN 'warned' WHEN 3 THEN 'skipped' ELSE 'unknown' END END AS status,
+ CASE WHEN kind = 'node_started' AND seq % 3 > 0 OR kind = 'node_finished' AND seq % 5 = 0 THEN 'T' || CAST(seq % 4 AS STRING) END AS thread,
+ CASE WHEN kind = 'node_finished' AND seq % 4 = 1 THEN ts - INTERVAL 60 SECOND END AS started_at, CASE WHEN kind = 'node_finished' AND seq % 5 > 0 THEN ts END AS finished_at,
+ CASE WHEN kind = 'node_finished' AND seq % 3 > 0 THEN CAST(floor(value * 100) AS BIGINT) END AS duration_ms, CASE WHEN kind = 'node_finished' AND seq % 3 > 1 THEN CAST(floor(value * 10) AS BIGINT) END AS compile_ms,
+ CASE WHEN kind = 'node_finished' AND seq % 6 > 2 THEN CAST(floor(value * 90) AS BIGINT) END AS execute_ms, CASE WHEN kind = 'node_finished' AND seq % 5 > 1 THEN CAST(floor(value) AS BIGINT) END AS rows_affected,
+ CASE WHEN kind = 'node_finished' AND seq % 6 = 0 THEN 'q-' || CAST(seq AS STRING) END AS query_id, CASE WHEN kind = 'node_finished' AND seq % 3 = 0 THEN 'E' || CAST(seq AS STRING) END AS error,
+ CASE WHEN kind = 'node_finished' AND seq % 5 = 0 THEN 'n' || CAST(seq % 2 AS STRING) || ',n' || CAST(2 + seq % 3 AS STRING) END AS blockers,
+ CASE WHEN kind = 'node_finished' AND seq % 8 < 3 THEN seq % 4 END AS passed, CASE WHEN kind = 'node_finished' AND seq % 8 < 3 THEN seq % 3 END AS failed,
+ CASE WHEN kind = 'node_finished' AND seq % 8 < 3 THEN seq % 2 END AS warned, CASE WHEN kind = 'node_finished' AND seq % 8 < 3 THEN seq % 5 END AS skipped,
+ CASE WHEN kind = 'check_finished' THEN 'c' || CAST(seq % 3 AS STRING) END AS check_id, CASE WHEN kind = 'check_finished' THEN 'n' || CAST(seq % 7 AS STRING) || ',n' || CAST(seq % 4 AS STRING) END AS covered,
+ CASE WHEN kind = 'run_started' THEN 'n0,n' || CAST(seq % 8 AS STRING) END AS listed, CASE WHEN kind = 'run_started' THEN CASE WHEN seq % 2 = 0 THEN 'build' ELSE 'test' END END AS mode,
+ CASE WHEN kind = 'run_started' THEN seq % 3 > 0 END AS live, CASE WHEN kind = 'run_finished' THEN CASE WHEN seq % 2 = 0 THEN 'succeeded' ELSE 'failed' END END AS outcome
+FROM (SELECT 'r' || CAST(user_id % 5 AS STRING) AS scope, 'run-' || CAST(user_id AS STRING) AS run_id, event_id AS seq, ts, event_type, value,
+  CASE WHEN event_id % 41 = 0 THEN 'run_started' WHEN event_id % 43 = 0 THEN 'run_finished' WHEN event_type = 'signup' THEN 'node_queued' WHEN event_type = 'view' THEN 'node_started'
+   WHEN event_type = 'purchase' THEN 'check_finished' ELSE 'node_finished' END AS kind FROM events) e
 """,
     "dag_nodes": """
 SELECT 'r' || CAST(r_regionkey AS STRING) AS scope, p_partkey AS node FROM part CROSS JOIN region CROSS JOIN (SELECT count(*) AS n FROM part) c WHERE p_partkey * 5 < (r_regionkey + 1) * n
@@ -72,7 +91,7 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(sql: str, *names: str) -> str:
     """SQL over the named bindings; text that begins with "," adds further (recursive) relations."""
-    if "run_events" in names:  # "at" is a keyword of DuckDB
+    if "run_events" in names or "run_journal" in names:  # "at" is a keyword of DuckDB
         sql = re.sub(r"(?<![\w.\"])at(?=[\s,)])", '"at"', sql)
     with_ = "WITH RECURSIVE " + ", ".join(f"{n} AS ({BINDINGS[n].strip()})" for n in names)
     return f"{with_}{sql}" if sql.lstrip().startswith(",") else f"{with_} {sql}"

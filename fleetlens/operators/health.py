@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 HEALTHS = ["failing", "warning", "unknown", "healthy"]
 
 
+def by(df: DataFrame, *keys: str) -> list[str]:
+    """Keys, with the scope where the frame has one: two projects may have a node of one name."""
+    return [*(["scope"] if "scope" in df.columns else []), *keys]
+
+
 def finding(nodes: DataFrame, check: str, severity: str, status: Column) -> DataFrame:
-    return nodes.select("node", F.lit(check).alias("check"), F.lit(severity).alias("severity"), status.alias("status"))
+    return nodes.select(*by(nodes, "node"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), status.alias("status"))
 
 
 def select_nodes(nodes: DataFrame, types: list[str] | None = None, tags: list[str] | None = None, glob: str | None = None, exclude: Column | None = None) -> DataFrame:
@@ -28,13 +33,15 @@ def select_nodes(nodes: DataFrame, types: list[str] | None = None, tags: list[st
 
 def built(nodes: DataFrame, state: DataFrame) -> DataFrame:
     """H1: pass if a build is recorded, else unknown."""
-    j = nodes.join(state.select("node", "built_at"), "node", "left")
+    key = by(nodes, "node")
+    j = nodes.join(state.select(*key, "built_at"), key, "left")
     return finding(j, "built", "warn", F.when(F.col("built_at").isNotNull(), "pass").otherwise("unknown"))
 
 
 def last_run(nodes: DataFrame, results: DataFrame, state: DataFrame, action: str) -> DataFrame:
     """H2 (failed), H3 (skipped): fail if so in the last run and not built strictly after it began (whole seconds)."""
-    j = nodes.join(results.select("node", "action", "started_at"), "node", "left").join(state.select("node", "built_at"), "node", "left")
+    key = by(nodes, "node")
+    j = nodes.join(results.select(*key, "action", "started_at"), key, "left").join(state.select(*key, "built_at"), key, "left")
     later = F.coalesce(F.unix_timestamp("built_at") > F.unix_timestamp("started_at"), F.lit(False))
     status = F.when(F.col("action").isNull(), "unknown").when((F.col("action") == action) & ~later, "fail").otherwise("pass")
     return finding(j, f"last_run_{action}", "error", status)
@@ -62,51 +69,59 @@ def probe_check(nodes: DataFrame, check: str, severity: str, condition: Column,
     return finding(nodes, check, severity, status)
 
 
-def reconcile(asked: DataFrame, answers: DataFrame, everyone: DataFrame) -> DataFrame:
-    """H8: a user check's answers. Unanswered or answered twice: unknown; a stranger voids the check; unasked: skipped."""
-    strangers = answers.join(everyone.select("node"), "node", "left_anti").select("check").distinct().withColumn("void", F.lit(True))
-    a = answers.groupBy("check", "node").agg(F.count(F.lit(1)).alias("n"), F.min("status").alias("status"))
-    checks = answers.select("check").distinct()
-    # checks are the user's short list; every node gets a row for each
-    grid = everyone.select("node").join(F.broadcast(checks), F.lit(True))
-    j = grid.join(a, ["check", "node"], "left").join(F.broadcast(strangers), "check", "left").join(asked.select("node").withColumn("asked", F.lit(True)), "node", "left")
+def reconcile(asked: DataFrame, answers: DataFrame, everyone: DataFrame, checks: list[str]) -> DataFrame:
+    """H8: the answers of the registered ``checks``. Unanswered or answered twice: unknown; a stranger voids the check; unasked: skipped.
+
+    Every node gets a row for each registered check, one that answers nothing included. All frames may
+    have a ``scope``, within which nodes are told apart. Answers of other checks are left out.
+    """
+    on = by(everyone, "node")
+    known = answers.where(F.col("check").isin(checks))
+    # one row a check at most
+    strangers = known.join(everyone.select(*on), on, "left_anti").select(*on[:-1], "check").distinct().withColumn("void", F.lit(True))
+    a = known.groupBy("check", *on).agg(F.count(F.lit(1)).alias("n"), F.min("status").alias("status"))
+    grid = everyone.select(*on, F.explode(F.array(*map(F.lit, checks))).alias("check"))
+    j = grid.join(a, ["check", *on], "left").join(strangers, [*on[:-1], "check"], "left").join(asked.select(*on).withColumn("asked", F.lit(True)), on, "left")
     status = F.when(F.col("asked").isNull(), "skipped").when(F.col("void"), "unknown").when(F.col("n").isNull() | (F.col("n") > 1), "unknown").otherwise(F.col("status"))
-    return j.select("node", "check", status.alias("status"))
+    return j.select(*on, "check", status.alias("status"))
 
 
 def badge(findings: DataFrame) -> DataFrame:
     """A node's health: failing on an error; unknown if undecided; warning on a warning; healthy on a pass."""
     bad = F.col("status") == "fail"
-    g = findings.groupBy("node").agg(
+    key = by(findings, "node")
+    g = findings.groupBy(*key).agg(
         F.bool_or(bad & (F.col("severity") == "error")).alias("e"), F.bool_or((F.col("status") == "unknown") & (F.col("severity") == "error")).alias("u"),
         F.bool_or(bad & (F.col("severity") == "warn")).alias("w"), F.bool_or(F.col("status") == "pass").alias("p"),
         F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("check")))), ",").alias("reasons"),
     )
-    return g.select("node", F.when(F.col("e"), "failing").when(F.col("u"), "unknown").when(F.col("w"), "warning").when(F.col("p"), "healthy").otherwise("unknown").alias("health"), "reasons")
+    return g.select(*key, F.when(F.col("e"), "failing").when(F.col("u"), "unknown").when(F.col("w"), "warning").when(F.col("p"), "healthy").otherwise("unknown").alias("health"), "reasons")
 
 
 def health_counts(badges: DataFrame) -> DataFrame:
-    """Nodes by health; every health is listed, with zeros."""
-    spark = badges.sparkSession
-    every = spark.createDataFrame([(h,) for h in HEALTHS], "health string")
-    return F.broadcast(every).join(badges.groupBy("health").agg(F.count(F.lit(1)).alias("n")), "health", "left").select("health", F.coalesce("n", F.lit(0)).alias("n"))
+    """Nodes by health, of each scope where there are scopes; every health is listed, with zeros."""
+    within = by(badges)
+    counts = badges.groupBy(*within).agg(*[F.count_if(F.col("health") == h).alias(h) for h in HEALTHS])
+    return counts.select(*within, F.explode(F.array(*[F.struct(F.lit(h).alias("health"), F.col(h).alias("n")) for h in HEALTHS])).alias("x")).select(*within, "x.health", "x.n")
 
 
 def report_fails(findings: DataFrame, strict: bool) -> DataFrame:
     """Whether a report fails: an error-level failure; strict also counts undecided errors."""
     err = F.col("severity") == "error"
     bad = F.col("status").isin("fail", "unknown") if strict else F.col("status") == "fail"
-    return findings.agg(F.coalesce(F.bool_or(err & bad), F.lit(False)).alias("fails"), F.count_if(err & bad).alias("n"))
+    return findings.groupBy(*by(findings)).agg(F.coalesce(F.bool_or(err & bad), F.lit(False)).alias("fails"), F.count_if(err & bad).alias("n"))
 
 
 def unmatched_probes(probes: DataFrame, selected: DataFrame) -> DataFrame:
     """Probes that select no node."""
-    return probes.join(selected.select("probe").distinct(), "probe", "left_anti")
+    key = by(probes, "probe")
+    return probes.join(selected.select(*key).distinct(), key, "left_anti")
 
 
 def merge_recorded(live: DataFrame, recorded: DataFrame) -> DataFrame:
     """H9: live findings now, others from the latest record."""
-    return live.unionByName(recorded.join(live.select("node", "check"), ["node", "check"], "left_anti"))
+    key = by(live, "node", "check")
+    return live.unionByName(recorded.join(live.select(*key), key, "left_anti"))
 
 
 def latest_records(records: DataFrame, keep: int) -> DataFrame:
@@ -115,9 +130,9 @@ def latest_records(records: DataFrame, keep: int) -> DataFrame:
     return records.withColumn("age", F.row_number().over(w)).where(F.col("age") <= keep)
 
 
-def coverage(nodes: DataFrame, by: str) -> DataFrame:
+def coverage(nodes: DataFrame, facet: str) -> DataFrame:
     """Covered and total for tests and descriptions; null where there is nothing to measure."""
-    return nodes.groupBy(by).agg(F.count_if(F.col("tests") > 0).alias("tested"), F.count_if("described").alias("described"), F.nullif(F.count(F.lit(1)), F.lit(0)).alias("total"))
+    return nodes.groupBy(*by(nodes, facet)).agg(F.count_if(F.col("tests") > 0).alias("tested"), F.count_if("described").alias("described"), F.nullif(F.count(F.lit(1)), F.lit(0)).alias("total"))
 
 
 def coverage_verdict(covered: DataFrame, target: int) -> DataFrame:
@@ -129,7 +144,8 @@ def coverage_verdict(covered: DataFrame, target: int) -> DataFrame:
 def facets(nodes: DataFrame, columns: list[str]) -> DataFrame:
     """Value counts of several facets in one pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
-    return nodes.select(F.explode(pairs).alias("x")).groupBy("x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    within = by(nodes)
+    return nodes.select(*within, F.explode(pairs).alias("x")).groupBy(*within, "x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_facets(runs: DataFrame, chosen: dict[str, str]) -> DataFrame:
@@ -150,15 +166,15 @@ def catalog_filter(nodes: DataFrame, chosen: dict[str, list], text: str) -> Data
     return out.where(F.contains(F.lower("name"), F.lit(text.lower())))
 
 
-def catalog_sort(nodes: DataFrame, column: str, descending: bool) -> DataFrame:
-    """Places in the order of a column; missing values last both ways; ties by node."""
+def catalog_sort(nodes: DataFrame, column: str, descending: bool, within: str = "scope") -> DataFrame:
+    """Places in the order of a column among the nodes of one ``within``; missing values last both ways; ties by node."""
     key = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
-    return nodes.select("node", F.row_number().over(Window.partitionBy("part").orderBy(key, "node")).alias("place"), "part")
+    return nodes.select("node", F.row_number().over(Window.partitionBy(within).orderBy(key, "node")).alias("place"), within)
 
 
 def layer_order(nodes: DataFrame) -> DataFrame:
     """A layer stands where its shallowest node does."""
-    return nodes.groupBy("layer").agg(F.min("depth").alias("position"))
+    return nodes.groupBy(*by(nodes, "layer")).agg(F.min("depth").alias("position"))
 
 
 def privilege_audit(grants: DataFrame, owners: DataFrame, relations: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ CHECK_RANK = {"passed": 0, "warned": 1, "unknown": 2, "skipped": 3, "failed": 4}
 EXACTNESS = ["none", "inferred", "proxy", "semantic", "exact"]
 # Configuration that doesn't change what a node builds.
 IGNORED_CONFIG = ["docs", "freshness", "meta", "state", "tags"]
+# Where a configuration has hooks, and the names by which they read what is known only at run time.
+HOOKS = ["pre-hook", "post-hook", "pre_hook", "post_hook"]
+RUNTIME = ["var", "env_var", "builtins", "context", "target", "flags", "run_query", "statement"]
+AT_RUN_TIME = rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(RUNTIME)})(?![\p{{L}}\p{{N}}_])"
+#: The version of how code is read; digests of two versions never agree.
+SCHEME = "code/2"
+#: Macros of the engine itself; its version is a component of its own.
+ENGINE_MACRO = r"^macro\.dbt(_[a-z0-9]+)?\."
 
 FACT = ["scope", "entity", "fact", "columns", "to", "to_columns", "basis", "evidence"]
 
@@ -164,37 +172,66 @@ def macros_reached(uses: DataFrame, calls: DataFrame) -> DataFrame:
     return fixpoint(uses.select(*ID, "macro"), step, [*ID, "macro"])
 
 
+def macro_lines(uses: DataFrame, calls: DataFrame, macros: DataFrame) -> DataFrame:
+    """Of each node that uses macros: ``content``, a line for each macro it reaches, ``lacks``, those without SQL, and
+    ``reads``, whether one that isn't the engine's reads what is known only at run time.
+
+    Calls are closed once for each distinct macro, not for each node and macro; nodes then join their
+    direct macros' closures.
+    """
+    used = uses.select("scope", F.col("macro").alias("root")).distinct().withColumn("macro", F.col("root"))
+    step = lambda f: f.join(calls.select("scope", "macro", F.col("calls").alias("next")), ["scope", "macro"]).select("scope", "root", F.col("next").alias("macro"))
+    closed = fixpoint(used, step, ["scope", "root", "macro"]).join(macros.select("scope", "macro", "sql").dropDuplicates(["scope", "macro"]), ["scope", "macro"], "left")
+    reads = F.col("sql").rlike(AT_RUN_TIME) & ~F.col("macro").rlike(ENGINE_MACRO)
+    closed = closed.select("scope", "root", "macro", F.sha2("sql", 256).alias("digest"), F.coalesce(reads, F.lit(False)).alias("reads"))
+    reached = uses.select(*ID, F.col("macro").alias("root")).distinct().join(closed, ["scope", "root"]).select(*ID, "macro", "digest", "reads").distinct()
+    return reached.groupBy(*ID).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("macro", F.lit(" "), "digest"))), "\n").alias("content"),
+        F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("digest").isNull(), F.col("macro")))), ", "), F.lit("")).alias("lacks"),
+        F.bool_or("reads").alias("reads"),
+    )
+
+
 def code_components(nodes: DataFrame, uses: DataFrame, calls: DataFrame, macros: DataFrame, meaning: Column) -> tuple[DataFrame, DataFrame]:
     """The parts of a node's code that decide what it builds, and the nodes that can't be fingerprinted.
 
     ``nodes(scope, node, resource_type, language, compiled, checksum, pure, config MAP, contract,
     relation, engine)``; ``meaning`` is the normalised SQL of column ``compiled``. A SQL model or snapshot
     has ``sql``, and its ``file`` unless its template is ``pure``; other nodes have their ``file``, and a
-    Python model its ``compiled_code`` as well. Configuration that doesn't change a build is left out.
+    Python model its ``compiled_code`` as well. Configuration that doesn't change a build is left out. ``scheme``
+    is the version of this reading of code, so that digests of two versions never agree. A node whose
+    artifacts lack a macro that it reaches, or its hooks, is refused: what isn't known isn't hashed.
     Returns ``(scope, node, component, content)`` and ``(scope, node, reason)``.
     """
     code = F.col("resource_type").isin("model", "snapshot")
     sql = code & ~F.coalesce(F.col("language") == "python", F.lit(False))
     given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     needs_file = ~sql | ~F.coalesce(F.col("pure"), F.lit(False))
+    hooked = F.exists(F.array(*map(F.lit, HOOKS)), lambda h: ~F.coalesce(F.trim(F.element_at("config", h)), F.lit("")).isin("", "[]", "null"))
+    hooks = F.exists(F.array(*map(F.lit, HOOKS)), lambda h: F.coalesce(F.element_at("config", h), F.lit("")).rlike(AT_RUN_TIME))
     reason = (
-        F.when(F.col("config").isNull(), "no config").when(code & ~given("compiled"), "no compiled code").when(needs_file & ~given("checksum"), "no checksum")
+        F.when(F.col("config").isNull(), "no config").when(hooks, "hooks read what is known at run time").when(code & ~given("compiled"), "no compiled code").when(needs_file & ~given("checksum"), "no checksum")
     )
-    n = nodes.withColumn("reason", reason)
+    n = nodes.withColumn("reason", reason).withColumn("hooked", hooked)
     refused = n.where("reason is not null").select(*ID, "reason")
     kept = F.map_filter("config", lambda k, v: ~k.isin(IGNORED_CONFIG))
-    config = F.array_join(F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(kept, k), F.lit("null")))), "\n")
+    # a value that is JSON is written with its keys in order at every level, as variants keep them
+    plain = lambda v: F.coalesce(F.to_json(F.try_parse_json(v)), v, F.lit("null"))
+    config = F.array_join(F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(k, F.lit("="), plain(F.element_at(kept, k)))), "\n")
     part = lambda name, content, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("component"), F.coalesce(content, F.lit("")).alias("content")))
     parts = F.array(
-        part("config", config), part("contract", F.col("contract")), part("relation", F.col("relation")), part("engine", F.col("engine")),
+        part("scheme", F.lit(SCHEME)), part("config", config), part("contract", F.col("contract")), part("relation", F.col("relation")), part("engine", F.col("engine")),
         part("sql", meaning, sql), part("file", F.col("checksum"), needs_file), part("compiled_code", F.col("compiled"), code & ~sql),
     )
     fine = n.where("reason is null")
     own = fine.select(*ID, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select(*ID, "p.component", "p.content")
-    lines = macros_reached(uses, calls).join(macros, ["scope", "macro"], "left").withColumn("line", F.concat("macro", F.lit(" "), F.coalesce(F.sha2("sql", 256), F.lit("missing"))))
-    lines = lines.groupBy(*ID).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
-    called = fine.select(*ID).join(lines, ID, "left").select(*ID, F.lit("macros").alias("component"), F.coalesce("content", F.lit("")).alias("content"))
-    return own.unionByName(called), refused
+    lines = macro_lines(uses, calls, macros)
+    called = fine.select(*ID, "hooked").join(lines, ID, "left")
+    why = F.when(F.col("hooked") & F.col("reads"), "hooks' macros read what is known at run time").otherwise(F.concat(F.lit("macros that the artifacts don't include: "), "lacks"))
+    called = called.withColumn("why", why)
+    lacking = called.where("why is not null").select(*ID, F.col("why").alias("reason"))
+    called = called.where("why is null").select(*ID, F.lit("macros").alias("component"), F.coalesce("content", F.lit("")).alias("content"))
+    return own.join(lacking, ID, "left_anti").unionByName(called), refused.unionByName(lacking)
 
 
 def code_fingerprint(nodes: DataFrame, uses: DataFrame, calls: DataFrame, macros: DataFrame, meaning: Column) -> DataFrame:

@@ -39,8 +39,9 @@ class Registry:
         """The registered checks' findings for ``asked``, reconciled by H8; each check is one pass."""
         out = []
         for name, (severity, fn) in self.checks.items():
-            answers = fn(asked).select(F.lit(name).alias("check"), "node", "status")
-            out.append(reconcile(asked, answers, everyone).withColumn("severity", F.lit(severity)))
+            answers = fn(asked)
+            answers = answers.select(*[c for c in ("scope",) if c in everyone.columns], F.lit(name).alias("check"), "node", "status")
+            out.append(reconcile(asked, answers, everyone, [name]).withColumn("severity", F.lit(severity)))
         return reduce(DataFrame.unionByName, out)
 
     def register_catalogue(self, name: str, version: str, patterns: DataFrame) -> None:

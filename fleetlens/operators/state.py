@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.scopes import by_scope
 
 
 def scoped(df: DataFrame, *keys: str) -> list[str]:
@@ -41,12 +40,12 @@ def diff_states(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("scope", "node", verdict.alias("verdict")).where("verdict is not null")
 
 
-@by_scope("node", "source")
 def diff_project(before: DataFrame, after: DataFrame, versions: DataFrame, reads: DataFrame) -> DataFrame:
     """Nodes whose code changed, and sources still read whose version moved."""
-    code = fingerprint_diff(before, after).select(F.col("node").alias("id")).distinct().withColumn("what", F.lit("code"))
-    moved = versions.where(~F.col("recorded_version").eqNullSafe(F.col("now_version"))).join(reads.select("source").distinct(), "source", "left_semi")
-    return code.unionByName(moved.select(F.col("source").alias("id")).withColumn("what", F.lit("source")))
+    within = scoped(before)
+    code = fingerprint_diff(before, after).select(*within, F.col("node").alias("id")).distinct().withColumn("what", F.lit("code"))
+    moved = versions.where(~F.col("recorded_version").eqNullSafe(F.col("now_version"))).join(reads.select(*within, "source").distinct(), [*within, "source"], "left_semi")
+    return code.unionByName(moved.select(*within, F.col("source").alias("id")).withColumn("what", F.lit("source")))
 
 
 def node_history(ledger: DataFrame) -> DataFrame:
@@ -65,38 +64,38 @@ def node_history(ledger: DataFrame) -> DataFrame:
     return seen.unionByName(gone).join(snaps, ["scope", "n"]).select("scope", "node", "snapshot", "event")
 
 
-@by_scope("node", "source")
 def choose_source_versions(readings: DataFrame) -> DataFrame:
     """Of a source's readings ``(source, rank, version)`` the one of the lowest rank, and what was skipped.
 
     Strategies: a relation's version (0), its freshness (1); none gives ``none``.
     """
     have = F.col("version").isNotNull()
-    g = readings.groupBy("source").agg(
+    key = scoped(readings, "source")
+    g = readings.groupBy(*key).agg(
         F.min_by("version", F.when(have, F.col("rank"))).alias("version"), F.min(F.when(have, F.col("rank"))).alias("rank"),
         F.array_sort(F.collect_set(F.when(~have, F.col("strategy")))).alias("without"), F.min_by("strategy", F.when(have, F.col("rank"))).alias("strategy"),
     )
-    return g.select("source", "version", F.coalesce("strategy", F.lit("none")).alias("strategy"), F.array_join("without", ",").alias("without"))
+    return g.select(*key, "version", F.coalesce("strategy", F.lit("none")).alias("strategy"), F.array_join("without", ",").alias("without"))
 
 
-@by_scope("node", "source")
 def merge_readings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two readings ``(source, version, taken_at)``: the later one; of one time the same answer, or unknown."""
-    j = a.select("source", F.col("version").alias("va"), F.col("taken_at").alias("ta")).join(b.select("source", F.col("version").alias("vb"), F.col("taken_at").alias("tb")), "source", "full")
+    key = scoped(a, "source")
+    j = a.select(*key, F.col("version").alias("va"), F.col("taken_at").alias("ta")).join(b.select(*key, F.col("version").alias("vb"), F.col("taken_at").alias("tb")), key, "full")
     version = (
         F.when(F.col("tb").isNull() | (F.col("ta") > F.col("tb")), F.col("va")).when(F.col("ta").isNull() | (F.col("tb") > F.col("ta")), F.col("vb"))
         .when(F.col("va").eqNullSafe(F.col("vb")), F.col("va"))
     )
-    return j.select("source", version.alias("version"), F.greatest("ta", "tb").alias("taken_at"))
+    return j.select(*key, version.alias("version"), F.greatest("ta", "tb").alias("taken_at"))
 
 
 def source_checks(sources: DataFrame) -> DataFrame:
-    """TEST or SKIP per source: ``(source, tested, checks_changed, recorded_version, now_version)``."""
+    """TEST or SKIP per source: ``([scope,] source, tested, checks_changed, recorded_version, now_version)``."""
     reason = (
         F.when(~F.col("tested"), "not_tested").when(F.col("checks_changed"), "checks_changed").when(F.col("now_version").isNull() | F.col("recorded_version").isNull(), "version_unknown")
         .when(F.col("now_version") < F.col("recorded_version"), "version_stale").when(F.col("now_version") > F.col("recorded_version"), "version_moved").otherwise("unchanged")
     )
-    return sources.select("source", F.when(reason == "unchanged", "SKIP").otherwise("TEST").alias("action"), reason.alias("reason"))
+    return sources.select(*scoped(sources, "source"), F.when(reason == "unchanged", "SKIP").otherwise("TEST").alias("action"), reason.alias("reason"))
 
 
 def record(results: DataFrame, previous: DataFrame) -> DataFrame:
@@ -158,10 +157,9 @@ def in_target(state: DataFrame, target: Column) -> DataFrame:
 
 def recorded_versions(inputs: DataFrame) -> DataFrame:
     """Per source and version seen by readers: how many, the newest build and its run."""
-    return inputs.groupBy("source", "version").agg(F.count(F.lit(1)).alias("readers"), F.max("built_at").alias("newest"), F.max_by("run_id", F.struct("built_at", "run_id")).alias("run_id"))
+    return inputs.groupBy(*scoped(inputs, "source", "version")).agg(F.count(F.lit(1)).alias("readers"), F.max("built_at").alias("newest"), F.max_by("run_id", F.struct("built_at", "run_id")).alias("run_id"))
 
 
-@by_scope("node", "source")
 def choose_pointers(nodes: DataFrame) -> DataFrame:
     """Where a deferred node points, by the first matching rule.
 
@@ -176,27 +174,27 @@ def choose_pointers(nodes: DataFrame) -> DataFrame:
     for condition, where, why in rules:
         pointer = F.when(condition, where) if pointer is None else pointer.when(condition, where)
         reason = F.when(condition, why) if reason is None else reason.when(condition, why)
-    return nodes.select("node", pointer.alias("pointer"), reason.alias("reason"))
+    return nodes.select(*scoped(nodes, "node"), pointer.alias("pointer"), reason.alias("reason"))
 
 
-@by_scope("node", "source")
 def defer_candidates(nodes: DataFrame) -> DataFrame:
     """The nodes that the first six rules leave open, so only these are looked up."""
-    return choose_pointers(nodes.withColumn("relation_here", F.lit("present"))).where("reason = 'unchanged'").select("node")
+    return choose_pointers(nodes.withColumn("relation_here", F.lit("present"))).where("reason = 'unchanged'").drop("pointer", "reason")
 
 
-@by_scope("node", "source")
 def deferred_relations(upstream: DataFrame, here: DataFrame, pointers: DataFrame) -> DataFrame:
     """The upstream relations, replaced for nodes that point to this target."""
-    j = upstream.join(pointers.select("node", "pointer"), "node", "left").join(here.select("node", F.col("relation").alias("own")), "node", "left")
-    return j.select("node", F.when((F.col("pointer") == "this_target") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("relation")).alias("relation"))
+    key = scoped(upstream, "node")
+    j = upstream.join(pointers.select(*key, "pointer"), key, "left").join(here.select(*key, F.col("relation").alias("own")), key, "left")
+    return j.select(*key, F.when((F.col("pointer") == "this_target") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("relation")).alias("relation"))
 
 
-@by_scope("node", "source")
 def relation_check(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Reuse candidates whose relation is missing, or listed without being verified, must build."""
-    j = expected.join(present.select(F.lower("relation").alias("key"), "verified"), F.lower("relation") == F.col("key"), "left")
-    return j.select("node", F.when(F.col("key").isNull(), "missing").when(~F.col("verified"), "unverified").otherwise("present").alias("fact"))
+    key = scoped(expected, "key")
+    there = present.select(*key[:-1], F.lower("relation").alias("key"), "verified", F.lit(True).alias("there"))
+    j = expected.withColumn("key", F.lower("relation")).join(there, key, "left")
+    return j.select(*key[:-1], "node", F.when(F.col("there").isNull(), "missing").when(~F.col("verified"), "unverified").otherwise("present").alias("fact"))
 
 
 def choose_strategy(offered: DataFrame, strategies: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 #: Parts a scope from a name inside a qualified name; neither may hold it.
 UNIT = "\x1f"
@@ -15,15 +16,17 @@ UNIT = "\x1f"
 def _qualified(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     if "scope" not in df.columns:
         raise ValueError("some inputs have a scope and some don't")
-    return df.select(*[F.concat_ws(UNIT, F.col("scope"), F.col(c).cast("string")).alias(c) if c in names else c for c in df.columns if c != "scope"])
+    # a name that is null stays null, and so meets no other
+    return df.select(*[F.concat("scope", F.lit(UNIT), F.col(c).cast("string")).alias(c) if c in names else c for c in df.columns if c != "scope"])
 
 
-def _restored(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def _restored(df: DataFrame, names: tuple[str, ...], kinds: dict[str, DataType]) -> DataFrame:
     held = [c for c in df.columns if c in names]
     if not held:
         return df
-    bare = lambda c: F.regexp_replace(c, rf"(^|>)[^>{UNIT}]*{UNIT}", "$1")  # noqa: E731  # a path holds several names
-    return df.select(F.substring_index(held[0], UNIT, 1).alias("scope"), *[bare(c).alias(c) if c in names else c for c in df.columns])
+    bare = lambda c: F.regexp_replace(c, rf"(^|>)[^>{UNIT}]*{UNIT}", "$1").cast(kinds.get(c, StringType()))  # noqa: E731  # a path holds several names
+    scope = F.coalesce(*[F.when(F.col(c).isNotNull(), F.substring_index(c, UNIT, 1)) for c in held])
+    return df.select(scope.alias("scope"), *[bare(c).alias(c) if c in names else c for c in df.columns])
 
 
 def by_scope(*names: str) -> Callable:
@@ -31,7 +34,8 @@ def by_scope(*names: str) -> Callable:
 
     Where its inputs have a column ``scope``, the columns ``names`` are joined to it, so that every
     join, aggregate and fixpoint of the operator is by scope and name, and the results get the scope
-    back. Inputs without one are taken as a single scope, as they are.
+    back; names keep the types that the inputs give columns of their name. Inputs without a scope are taken as
+    a single one, as they are.
     """
 
     def wrap(fn: Callable) -> Callable:
@@ -41,7 +45,8 @@ def by_scope(*names: str) -> Callable:
             if not any("scope" in f.columns for f in frames):
                 return fn(*args, **kwargs)
             out = fn(*[_qualified(a, names) if isinstance(a, DataFrame) else a for a in args], **kwargs)
-            return tuple(_restored(o, names) for o in out) if isinstance(out, tuple) else _restored(out, names)
+            kinds = {f.name: f.dataType for frame in frames for f in frame.schema}
+            return tuple(_restored(o, names, kinds) for o in out) if isinstance(out, tuple) else _restored(out, names, kinds)
 
         return run
 

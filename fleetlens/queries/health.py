@@ -80,7 +80,20 @@ ANS = "SELECT 'c1' AS check, node, 'pass' AS status FROM node_facts WHERE node %
 @query("h8_reconcile_registered", oracle("SELECT node, \"check\", CASE WHEN node % 5 = 0 THEN 'skipped' WHEN \"check\" = 'c2' THEN 'unknown' WHEN node % 2 <> 0 OR node % 6 = 0 THEN 'unknown' ELSE 'pass' END AS status FROM node_facts, (SELECT unnest(['c1', 'c2']) AS \"check\")", "node_facts"))
 def h8(spark, sf):
     n = nodes(spark, sf)
-    return H.reconcile(n.where("node % 5 <> 0"), sql(spark, sf, ANS), n)
+    return H.reconcile(n.where("node % 5 <> 0"), sql(spark, sf, ANS), n, ["c1", "c2"])
+
+
+SCOPED = "SELECT 'p' || CAST(node % 3 AS STRING) AS scope, CAST(floor(node / 3) AS BIGINT) AS node, node AS id, tests FROM node_facts"
+
+
+@query("h8_silent_checks_by_scope", oracle(f"""SELECT scope, node, "check", CASE WHEN id % 5 = 0 THEN 'skipped' WHEN "check" = 'silent' THEN 'unknown' WHEN scope = 'p1' THEN 'unknown' WHEN tests > 1 THEN 'pass' ELSE 'fail' END AS status
+ FROM ({SCOPED}), (SELECT unnest(['tests', 'silent']) AS "check")""", "node_facts"))
+def h8_silent(spark, sf):
+    """Three projects that share node numbers; one check answers nothing, the other names a stranger in project p1."""
+    n = sql(spark, sf, SCOPED)
+    answers = n.where("id % 5 <> 0").select("scope", "node", F.lit("tests").alias("check"), F.when(F.col("tests") > 1, "pass").otherwise("fail").alias("status"))
+    stranger = answers.where("scope = 'p1'").limit(1).select("scope", F.lit(-1).cast("long").alias("node"), "check", "status")
+    return H.reconcile(n.where("id % 5 <> 0"), answers.unionByName(stranger), n, ["tests", "silent"])
 
 
 @query("h9_merge_recorded", oracle(f"SELECT * FROM ({HT}) WHERE node % 2 = 0 UNION ALL SELECT node, \"check\", severity, 'unknown' FROM ({HT}) WHERE node % 2 = 1", "node_facts"))
@@ -161,7 +174,7 @@ def p5(spark, sf):
 @query("t2_catalog_sort", "SELECT node, CAST(row_number() OVER (PARTITION BY part ORDER BY v DESC NULLS LAST, node) AS INTEGER) AS place, part FROM (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS v, p_type AS part FROM part)")
 def t2(spark, sf):
     p = bind(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey % 7 <> 0 THEN p_size END").alias("v"), F.col("p_type").alias("part"))
-    return H.catalog_sort(p, "v", True)
+    return H.catalog_sort(p, "v", True, "part")
 
 
 @query("a25_layer_order", oracle("SELECT layer, min(tests) AS position FROM node_facts GROUP BY layer", "node_facts"))

@@ -176,23 +176,25 @@ def a27(spark, sf):
 
 
 CODE = f"""SELECT {SCOPE} AS scope, p_partkey AS node, CASE p_size % 4 WHEN 0 THEN 'model' WHEN 1 THEN 'seed' WHEN 2 THEN 'snapshot' ELSE 'model' END AS resource_type, CASE WHEN p_size % 4 = 3 THEN 'python' ELSE 'sql' END AS language,
- CASE WHEN p_partkey % 9 <> 0 THEN 'select ' || p_type END AS compiled, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS checksum, p_partkey % 2 = 0 AS pure, CASE WHEN p_partkey % 23 <> 0 THEN p_type END AS conf, substr(p_brand, 1, 7) AS contract, 'db.t' || CAST(p_partkey AS STRING) AS relation, 'engine 1' AS engine FROM part"""
+ CASE WHEN p_partkey % 9 <> 0 THEN 'select ' || p_type END AS compiled, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS checksum, p_partkey % 2 = 0 AS pure, CASE WHEN p_partkey % 23 <> 0 THEN p_type END AS conf, substr(p_brand, 1, 7) AS contract, 'db.t' || CAST(p_partkey AS STRING) AS relation, 'engine 1' AS engine,
+ CASE WHEN p_partkey % 31 = 0 THEN 'select env_var(1)' WHEN p_partkey % 37 = 0 THEN 'grant select' END AS hook FROM part"""
 CSQL = "(resource_type IN ('model', 'snapshot') AND language <> 'python')"
 CFILE = f"(NOT {CSQL} OR NOT pure)"
-CWHY = f"CASE WHEN conf IS NULL THEN 'no config' WHEN resource_type IN ('model', 'snapshot') AND compiled IS NULL THEN 'no compiled code' WHEN {CFILE} AND checksum IS NULL THEN 'no checksum' END"
+CWHY = f"CASE WHEN conf IS NULL THEN 'no config' WHEN contains(hook, 'env_var') THEN 'hooks read what is known at run time' WHEN resource_type IN ('model', 'snapshot') AND compiled IS NULL THEN 'no compiled code' WHEN {CFILE} AND checksum IS NULL THEN 'no checksum' END"
 # a node uses the macro of its brand; brand macros call the macro of their maker, and that the base macro
 USES = f"SELECT {SCOPE} AS scope, p_partkey AS node, p_brand AS macro FROM part"
 CALLS = f"SELECT DISTINCT {SCOPE} AS scope, p_brand AS macro, substr(p_brand, 1, 7) AS calls FROM part UNION SELECT DISTINCT {SCOPE}, substr(p_brand, 1, 7), 'base' FROM part"
-MACROS = f"SELECT DISTINCT {SCOPE} AS scope, p_brand AS macro, 'm ' || p_brand AS sql FROM part UNION SELECT DISTINCT {SCOPE}, 'base', 'b' FROM part"
-REACH = f"r AS (SELECT scope, node, macro FROM ({USES}) UNION SELECT r.scope, r.node, c.calls FROM r JOIN ({CALLS}) c USING (scope, macro)), lines AS (SELECT r.scope, r.node, string_agg(macro || ' ' || coalesce(sha256(m.sql), 'missing'), chr(10) ORDER BY macro || ' ' || coalesce(sha256(m.sql), 'missing')) AS content FROM (SELECT DISTINCT * FROM r) r LEFT JOIN ({MACROS}) m USING (scope, macro) GROUP BY ALL)"
-PARTS = " UNION ALL ".join(f"SELECT scope, node, '{n}' AS component, coalesce({c}, '') AS content FROM code WHERE why IS NULL AND {w}" for n, c, w in [("config", "'materialized=' || conf", "true"), ("contract", "contract", "true"), ("relation", "relation", "true"), ("engine", "engine", "true"), ("sql", "compiled", CSQL), ("file", "checksum", CFILE), ("compiled_code", "compiled", f"resource_type IN ('model', 'snapshot') AND NOT {CSQL}")])
-A20 = f"WITH RECURSIVE code AS (SELECT *, {CWHY} AS why FROM ({CODE})), {REACH}, parts AS ({PARTS} UNION ALL SELECT scope, node, 'macros', coalesce(content, '') FROM code LEFT JOIN lines USING (scope, node) WHERE why IS NULL) SELECT scope, node, sha256(string_agg(component || chr(0) || sha256(content) || chr(10), '' ORDER BY component)) AS digest, CAST(NULL AS VARCHAR) AS reason FROM parts GROUP BY scope, node UNION ALL SELECT scope, node, NULL, why FROM code WHERE why IS NOT NULL"
+MACROS = f"SELECT DISTINCT {SCOPE} AS scope, p_brand AS macro, 'm ' || p_brand AS sql FROM part WHERE p_brand <> 'Brand#13' UNION SELECT DISTINCT {SCOPE}, 'base', 'b' FROM part"
+REACH = f"r AS (SELECT scope, node, macro FROM ({USES}) UNION SELECT r.scope, r.node, c.calls FROM r JOIN ({CALLS}) c USING (scope, macro)), lines AS (SELECT r.scope, r.node, string_agg(macro || ' ' || sha256(m.sql), chr(10) ORDER BY macro || ' ' || sha256(m.sql)) AS content, string_agg(macro, ', ' ORDER BY macro) FILTER (m.sql IS NULL) AS lacks FROM (SELECT DISTINCT * FROM r) r LEFT JOIN ({MACROS}) m USING (scope, macro) GROUP BY ALL)"
+PARTS = " UNION ALL ".join(f"SELECT scope, node, '{n}' AS component, coalesce({c}, '') AS content FROM code WHERE why IS NULL AND {w}" for n, c, w in [("scheme", "'code/2'", "true"), ("config", "'materialized=' || conf || CASE WHEN hook IS NOT NULL THEN chr(10) || 'post-hook=' || hook ELSE '' END", "true"), ("contract", "contract", "true"), ("relation", "relation", "true"), ("engine", "engine", "true"), ("sql", "compiled", CSQL), ("file", "checksum", CFILE), ("compiled_code", "compiled", f"resource_type IN ('model', 'snapshot') AND NOT {CSQL}")])
+A20 = f"WITH RECURSIVE {REACH}, code0 AS (SELECT *, {CWHY} AS why0 FROM ({CODE})), code AS (SELECT code0.*, coalesce(why0, 'macros that the artifacts don''t include: ' || lacks) AS why FROM code0 LEFT JOIN lines USING (scope, node)), parts AS ({PARTS} UNION ALL SELECT scope, node, 'macros', coalesce(content, '') FROM code LEFT JOIN lines USING (scope, node) WHERE why IS NULL) SELECT scope, node, sha256(string_agg(component || chr(0) || sha256(content) || chr(10), '' ORDER BY component)) AS digest, CAST(NULL AS VARCHAR) AS reason FROM parts GROUP BY scope, node UNION ALL SELECT scope, node, NULL, why FROM code WHERE why IS NOT NULL"
 
 
 @query("a20_code_fingerprint", A20)
 def a20(spark, sf):
     n = view(spark, sf, CODE)
     n = n.withColumn("config", F.when(F.col("conf").isNotNull(), F.create_map(F.lit("materialized"), F.col("conf"), F.lit("tags"), F.col("checksum"), F.lit("meta"), F.lit("x"))))
+    n = n.withColumn("config", F.when(F.col("hook").isNotNull(), F.map_concat("config", F.create_map(F.lit("post-hook"), F.col("hook")))).otherwise(F.col("config")))
     return P.code_fingerprint(n, view(spark, sf, USES), view(spark, sf, CALLS), view(spark, sf, MACROS), F.col("compiled"))
 
 

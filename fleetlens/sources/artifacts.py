@@ -11,7 +11,14 @@ CATALOG = "nodes map<string,struct<metadata:struct<type:string,schema:string,nam
 RESULT = "struct<unique_id:string,status:string,thread_id:string,execution_time:double,message:string,failures:bigint,timing:array<struct<name:string,started_at:string,completed_at:string>>,adapter_response:map<string,string>>"
 RUN_RESULTS = f"metadata struct<invocation_id:string,generated_at:string>, results array<{RESULT}>"
 FRESHNESS = "results array<struct<unique_id:string,status:string,max_loaded_at:string,snapshotted_at:string,error:string>>"
-EVENT = "run_id string, seq bigint, at timestamp, kind string, node string, check string, covers array<string>, status string, rows_affected bigint, thread string, version int, _bad string"
+STATS = (
+    "status string, started_at timestamp, finished_at timestamp, duration_ms bigint, compile_ms bigint, execute_ms bigint, rows_affected bigint, thread string, "
+    "adapter map<string,string>, error string, blocked_by array<string>, tests struct<passed:bigint,failed:bigint,warned:bigint,skipped:bigint>"
+)
+EVENT = (
+    f"run_id string, seq bigint, at timestamp, kind string, node string, check string, covers array<string>, {STATS}, "
+    "nodes array<string>, mode string, live boolean, outcome string, version int, _bad string"
+)
 ENGINE = "info struct<name:string,level:string,ts:timestamp,thread:string>, data struct<node_info:struct<unique_id:string,node_status:string>>"
 #: Versions of the manifest and journal schemas that are read.
 MANIFESTS = tuple(f"v{n}.json" for n in range(9, 13))

@@ -1,27 +1,19 @@
-"""Following run journals: X1 to X7 as Structured Streaming queries."""
+"""Following run journals as Structured Streaming queries: X1, X6, X7. The fold (X2, X4, X5) is in ``live``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.operators import runs
 from fleetlens.plans.shared import checkpoint_dir
 from fleetlens.sources.artifacts import parse_journal
 
-FOLDED = "scope string, run_id string, node string, status string, rows_affected bigint, inferred boolean"
-STATE = "status string, seq bigint, rows_affected bigint, rows_seq bigint"
-SILENCE_MS = runs.LIVE_SECONDS * 1000
-
 
 def stream_journals(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Journal lines as they are flushed, one file a flush; the checkpoint keeps the place."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).text(folder)
-    return lines.withColumn("scope", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return lines.withColumn("scope", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^scope=", ""))
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -35,48 +27,12 @@ def unreadable_lines(lines: DataFrame) -> DataFrame:
     return parse_journal(lines)[1]
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A node's state; later events win by seq, whatever their order of arrival.
-
-    A later finish keeps earlier rows that it doesn't know; late events still correct. A node
-    that runs and is silent for ten minutes becomes unknown, inferred, never a success.
-    """
-    status, seq, rows, rows_seq = state.get if state.exists else (None, -1, None, -1)
-    inferred = False
-    if state.hasTimedOut:
-        if status in ("running", "queued"):
-            status, inferred = "unknown", True
-    for b in batches:
-        for e in b.itertuples(index=False):
-            if e.kind == "node_finished":
-                if e.seq > seq:
-                    status, seq = e.status or "unknown", int(e.seq)
-                if e.rows_affected == e.rows_affected and e.rows_affected is not None and e.seq > rows_seq:
-                    rows, rows_seq = int(e.rows_affected), int(e.seq)
-            elif e.kind == "node_started" and e.seq > seq:
-                status, seq = "running", int(e.seq)
-            elif e.kind == "node_queued" and e.seq > seq and status in (None, "running", "queued"):
-                status, seq = "queued", int(e.seq)
-    state.update((status, seq, rows, rows_seq))
-    if not inferred and status in ("running", "queued"):
-        state.setTimeoutDuration(SILENCE_MS)
-    yield pd.DataFrame({"scope": [key[0]], "run_id": [key[1]], "node": [key[2]], "status": [status], "rows_affected": pd.array([rows], dtype="Int64"), "inferred": [inferred]})
-
-
-def live_fold(e: DataFrame) -> DataFrame:
-    """The fold of a run as a stream: one small state a (scope, run, node), in update mode."""
-    return e.where(F.col("node").isNotNull()).groupBy("scope", "run_id", "node").applyInPandasWithState(_fold, FOLDED, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def run_activity(e: DataFrame, duration: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Windows over event time; in append mode a window comes when the watermark passes it."""
     return runs.activity(e, duration, slide)
 
 
 def follow(df: DataFrame, name: str, mode: str):
-    """Run one batch over what is there now, into a memory table; the checkpoint is in the shared folder.
-
-    One batch: a state with a processing-time timer asks for further batches forever.
-    """
+    """All that is there now, into a memory table; the checkpoint is in the shared folder."""
     where = f"{checkpoint_dir(df.sparkSession)}/streams/{name}"
-    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(once=True).start()
+    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()

@@ -16,7 +16,7 @@ from fleetlens.plans.components import connected_components
 from fleetlens.plans.fixpoint import layers
 from fleetlens.queries import everything
 from fleetlens.sources import artifacts
-from fleetlens.streaming import journals
+from fleetlens.streaming import journals, live
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -230,11 +230,10 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     at = "2024-01-01T00:00:00Z"
     ev = [{"run_id": "r", "seq": 2, "at": at, "kind": "node_finished", "node": "n", "status": "success", "rows_affected": 5}, {"run_id": "r", "seq": 1, "at": at, "kind": "node_started", "node": "n"}, {"run_id": "r", "seq": 3, "at": at, "kind": "node_finished", "node": "n", "status": "error"}]
     (folder / "1.jsonl").write_text("\n".join(map(json.dumps, [*ev, ev[0]])) + "\nnot json\n")
-    lines = journals.stream_journals(spark, str(tmp_path))
-    q = journals.follow(journals.live_fold(journals.events(lines)), "fold", "update")
-    q.awaitTermination()
-    got = [tuple(r) for r in spark.sql("select node, status, rows_affected from fold").collect()]
-    assert got[-1] == ("n", "error", 5)
+    lines = journals.stream_journals(spark, str(folder))
+    into = live.FoldTable(spark, str(tmp_path / "fold"))
+    live.live_fold(artifacts.parse_journal(lines)[0], into, str(tmp_path / "place")).awaitTermination()
+    assert rows(into.nodes(), "node", "status", "rows_affected") == [("n", "error", 5)]
     q = journals.follow(journals.unreadable_lines(lines), "bad", "complete")
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from bad").collect()] == [("p1", 1)]
