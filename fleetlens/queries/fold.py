@@ -30,7 +30,8 @@ def journal(spark: SparkSession, sf: str) -> DataFrame:
     """The bound journal, its lists and maps as such."""
     j = bind(spark, sf, "run_journal")
     return j.select(
-        "scope", "run_id", "seq", "at", "kind", "node", "status", "thread", "started_at", "finished_at", "duration_ms", "compile_ms", "execute_ms", "rows_affected", "error",
+        "scope", "run_id", "seq", F.col("at").cast("timestamp").alias("at"), "kind", "node", "status", "thread",
+        F.col("started_at").cast("timestamp").alias("started_at"), F.col("finished_at").cast("timestamp").alias("finished_at"), "duration_ms", "compile_ms", "execute_ms", "rows_affected", "error",
         F.when(F.col("query_id").isNotNull(), F.create_map(F.lit("query_id"), "query_id")).alias("adapter"), F.split("blockers", ",").alias("blocked_by"),
         F.when(F.col("passed").isNotNull(), F.struct("passed", "failed", "warned", "skipped")).alias("tests"), F.col("check_id").alias("check"), F.split("covered", ",").alias("covers"),
         F.split("listed", ",").alias("nodes"), "mode", "live", "outcome",
