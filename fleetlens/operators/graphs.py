@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.plans.fixpoint import fixpoint, layers
 from fleetlens.plans.shared import cut
+from fleetlens.plans.strong import strong_components
 
 ID = ["scope", "node"]
 
@@ -28,54 +29,27 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(*ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def cycle_residue(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """G3, first part: the nodes that no layer places, trimmed to those on or between cycles."""
-    left = cut(nodes.select(*ID).distinct().join(layers(nodes, edges), ID, "left_anti"))
-    while True:
-        has_child = edges.select("scope", F.col("parent").alias("node"), F.col("child").alias("x")).join(left.withColumnRenamed("node", "x"), ["scope", "x"]).select(*ID).distinct()
-        kept = cut(left.join(has_child, ID, "left_semi"))
-        if kept.count() == left.count():
-            return kept
-        left = kept
-
-
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A shortest cycle through the smallest id of each scope that is on one, as a path.
 
-    Returns ``scope, cycle`` (array, the smallest id first and last); ties go to the smaller path.
+    Strongly connected components say which nodes are on cycles, so one breadth-first search a scope,
+    within the component of its smallest such node, finds the cycle. Returns ``scope, cycle`` (array, the
+    smallest id first and last); ties go to the smaller path.
     """
-    left = cycle_residue(nodes, edges)
-    e = cut(edges.select(*["scope", "parent", "child"]).distinct().join(left.withColumnRenamed("node", "parent"), ["scope", "parent"], "left_semi").join(left.withColumnRenamed("node", "child"), ["scope", "child"], "left_semi"))
-    found = None
-    # who reaches itself: frontier rows carry where they began; one candidate start a scope at a time
-    starts = left.groupBy("scope").agg(F.min("node").alias("root"))
-    done = None
-    while not starts.isEmpty():
-        paths = cut(starts.select("scope", "root", F.col("root").alias("node"), F.array("root").alias("path")))
-        seen = paths.select("scope", "node")
-        hit = None
-        while True:  # ends: every step reaches nodes not seen before
-            nxt = paths.join(e, (paths["scope"] == e["scope"]) & (paths["node"] == e["parent"])).select(paths["scope"], "root", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
-            nxt = nxt.groupBy("scope", "root", "node").agg(F.min("path").alias("path"))
-            back = cut(nxt.where("node = root").select("scope", F.col("path").alias("cycle")))
-            if not back.isEmpty():
-                hit = back if hit is None else hit.unionByName(back)
-            paths = cut(nxt.where("node <> root").join(seen, ID, "left_anti"))
-            if hit is not None:
-                paths = cut(paths.join(hit.select("scope"), "scope", "left_anti"))
-            if paths.isEmpty():
-                break
-            seen = seen.unionByName(paths.select(*ID))
-        tried = starts.select("scope", F.col("root").alias("node"))
-        done = tried if done is None else done.unionByName(tried)
-        if hit is not None:
-            found = hit if found is None else found.unionByName(hit)
-        rest = left.join(done, ID, "left_anti")
-        if found is not None:
-            rest = rest.join(found.select("scope"), "scope", "left_anti")
-        starts = cut(rest.groupBy("scope").agg(F.min("node").alias("root")))
-    if found is None:
-        return left.select("scope", F.array("node").alias("cycle")).limit(0)
+    parts = cut(strong_components(nodes, edges))
+    starts = parts.groupBy("scope").agg(F.min("node").alias("root"))
+    own = parts.join(starts.select("scope", F.col("root").alias("component")), ["scope", "component"], "left_semi")  # the smallest node names its component
+    e = edges.select("scope", "parent", "child").distinct().join(own.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_semi")
+    e = cut(e.join(own.select("scope", F.col("node").alias("child")), ["scope", "child"], "left_semi"))
+    found = cut(starts.select("scope", F.array("root").alias("cycle")).limit(0))
+    paths = cut(starts.select("scope", "root", F.col("root").alias("node"), F.array("root").alias("path")))
+    seen = paths.select(*ID)
+    while not paths.isEmpty():  # ends: every step reaches nodes not seen before, and the root lies on a cycle
+        nxt = paths.join(e.withColumnRenamed("parent", "node"), ID).select("scope", "root", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
+        nxt = cut(nxt.groupBy("scope", "root", "node").agg(F.min("path").alias("path")))
+        found = found.unionByName(nxt.where("node = root").select("scope", F.col("path").alias("cycle")))
+        paths = cut(nxt.join(found.select("scope"), "scope", "left_anti").join(seen, ID, "left_anti"))
+        seen = seen.unionByName(paths.select(*ID))
     return found
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.plans.fixpoint import fixpoint
+
 # Every health, in order.
 HEALTHS = ["failing", "warning", "unknown", "healthy"]
 
@@ -188,6 +190,53 @@ def privilege_audit(grants: DataFrame, owners: DataFrame, relations: DataFrame)
     return j.select("relation", "login", F.when(F.coalesce("external", F.lit(True)), "unknown").when(F.col("beyond") == "", "read_only").otherwise("elevated").alias("verdict"), "beyond")
 
 
+# The privileges that only read, by the level they are granted at; and the relations whose data only grants reach.
+READING = {
+    "relation": ["SELECT", "BROWSE"],
+    "schema": ["SELECT", "BROWSE", "USE SCHEMA"],
+    "catalog": ["SELECT", "BROWSE", "USE CATALOG", "USE SCHEMA"],
+    "metastore": ["USE MARKETPLACE ASSETS"],
+}
+GOVERNED = ["MANAGED", "VIEW", "MATERIALIZED_VIEW"]
+
+
+def effective_privileges(grants: DataFrame, owners: DataFrame, members: DataFrame, logins: DataFrame) -> DataFrame:
+    """What each login holds beyond reading, itself or through groups: ``level, securable, login, what``.
+
+    ``grants(level, securable, principal, privilege, grantable)`` in either spelling of a privilege,
+    ``owners(level, securable, principal)``, ``members(member, group)`` nested to any depth, ``logins(login)``.
+    A reading privilege that may be granted on is beyond reading.
+    """
+    step = lambda f: f.join(members.select(F.col("member").alias("principal"), F.col("group").alias("next")), "principal").select("login", F.col("next").alias("principal"))
+    acts_as = fixpoint(logins.select("login", F.col("login").alias("principal")).distinct(), step, ["login", "principal"])
+    spelt = grants.withColumn("privilege", F.translate(F.upper("privilege"), "_", " "))
+    reads = F.lit(False)
+    for level, names in READING.items():
+        reads = reads | ((F.col("level") == level) & F.col("privilege").isin(names))
+    beyond = spelt.where(~reads | F.coalesce("grantable", F.lit(False))).select("level", "securable", "principal", F.col("privilege").alias("what"))
+    held = beyond.unionByName(owners.select("level", "securable", "principal", F.lit("OWNERSHIP").alias("what")))
+    return held.join(acts_as, "principal").select("level", "securable", "login", "what").distinct()
+
+
+def privilege_report(asked: DataFrame, relations: DataFrame, held: DataFrame) -> DataFrame:
+    """J22 over the hierarchy: ``relation, login, verdict, beyond`` for each ``asked(relation, login)``.
+
+    ``relations(relation, schema, catalog, metastore, kind)``; ``held`` as of ``effective_privileges``, where
+    a grant on a schema, catalog or metastore reaches every relation in it. A relation that isn't listed, or of a
+    kind whose files are reached past the grants, is unknown; ``beyond`` says what elevates, by level.
+    """
+    places = asked.join(relations, "relation", "left")
+    found = None
+    for level in READING:
+        own = held.where(F.col("level") == level).groupBy("securable", "login").agg(F.array_sort(F.collect_set("what")).alias("what"))
+        one = places.join(own.withColumnRenamed("securable", level), [level, "login"]).select("relation", "login", F.concat(F.array_join("what", ", "), F.lit(f" on the {level}")).alias("line"), F.lit(list(READING).index(level)).alias("n"))
+        found = one if found is None else found.unionByName(one)
+    lines = found.groupBy("relation", "login").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("n", "line"))), lambda x: x["line"]), "; ").alias("beyond"))
+    out = places.join(lines, ["relation", "login"], "left")
+    known = F.coalesce(F.upper("kind").isin(GOVERNED), F.lit(False))
+    return out.select("relation", "login", F.when(~known, "unknown").when(F.col("beyond").isNull(), "read_only").otherwise("elevated").alias("verdict"), F.when(known, F.coalesce("beyond", F.lit(""))).alias("beyond"))
+
+
 def expected_relation(found: DataFrame) -> DataFrame:
     """A relation that isn't the one its build made, ignoring case, is unknown."""
     return found.select("node", F.when(F.lower("expected").eqNullSafe(F.lower("found")), "match").otherwise("unknown").alias("verdict"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.fixpoint import fixpoint
-from fleetlens.plans.shared import cut
+from fleetlens.plans.walk import walk
 
 RUN = ["scope", "run_id"]
 NODE = ["scope", "run_id", "node"]
@@ -164,16 +163,15 @@ def critical_path(folded: DataFrame, edges: DataFrame) -> DataFrame:
     """From the node of a run that finished last, repeatedly to its last-finishing parent.
 
     ``folded(scope, run_id, node, started_at, finished_at)``; ``edges([scope,] parent, child)``. Ties go
-    to the earlier start, then the smaller id. One level of all runs at a time.
+    to the earlier start, then the smaller id. All runs' paths double in length in a round.
     """
     done = folded.where("finished_at is not null").select(*NODE, "started_at", "finished_at")
     order = lambda of: F.struct(-_micros("finished_at"), _micros(F.coalesce("started_at", "finished_at")), of)
-    last = done.groupBy(*RUN).agg(F.min_by("node", order("node")).alias("node")).withColumn("step", F.lit(0))
+    last = done.groupBy(*RUN).agg(F.min_by("node", order("node")).alias("node"))
     on = [*(["scope"] if "scope" in edges.columns else []), "parent"]
     parents = done.withColumnRenamed("node", "parent").join(edges, on).select(*RUN, F.col("child").alias("node"), "parent", "started_at", "finished_at")
     best = parents.groupBy(*NODE).agg(F.min_by("parent", order("parent")).alias("parent"))
-    best = cut(best)
-    return fixpoint(last, lambda f: f.join(best, NODE).select(*RUN, F.col("parent").alias("node"), (F.col("step") + 1).alias("step")), NODE)
+    return walk(last, best, RUN, "node", "parent").withColumn("step", F.col("step").cast("int"))
 
 
 def failure_history(ledger: DataFrame, n: int = 5) -> DataFrame:

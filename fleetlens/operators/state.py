@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.plans.asof import last_before
+
 
 
 def scoped(df: DataFrame, *keys: str) -> list[str]:
@@ -123,12 +125,11 @@ def record_tests(state: DataFrame, tests: DataFrame, key: str = "node") -> DataF
 def states_around(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """As-of: the last snapshot before each run began, and the snapshot that it committed.
 
-    One union sorted by time in a window of the scope's days: no range join.
+    ``runs(scope, run_id, started_at)``, ``snapshots(scope, snapshot_id, created_at, by_run)``. A two-level
+    as-of (``plans.asof``), so the largest task is bounded however many runs a scope has; no range join.
     """
-    s = snapshots.select("scope", F.col("created_at").alias("t"), "snapshot_id", F.lit(None).cast("string").alias("run_id"), F.lit(1).alias("kind"))
-    r = runs.select("scope", F.col("started_at").alias("t"), F.lit(None).cast("long").alias("snapshot_id"), "run_id", F.lit(0).alias("kind"))
-    w = Window.partitionBy("scope").orderBy("t", "kind", "snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = s.unionByName(r).withColumn("before", F.last("snapshot_id", ignorenulls=True).over(w)).where("kind = 0").select("scope", "run_id", "before")
+    times = last_before(runs.select("scope", F.col("started_at").alias("t")), snapshots.select("scope", F.col("created_at").alias("t"), "snapshot_id"), ["scope"], "t", "snapshot_id")
+    before = runs.select("scope", "run_id", F.col("started_at").alias("t")).join(times.withColumnRenamed("snapshot_id", "before"), ["scope", "t"], "left").drop("t")
     made = snapshots.select("scope", F.col("by_run").alias("run_id"), F.col("snapshot_id").alias("committed"))
     return before.join(made, ["scope", "run_id"], "left")
 

@@ -35,7 +35,7 @@ KIND = "CASE kind WHEN 'Binder Error' THEN 'model' WHEN 'Catalog Error' THEN 'mi
 @query("j15_classify_errors", oracle(f"SELECT doc_id, {PICK(2, 'NULL')} AS pattern, {PICK(5, chr(39) + 'unrecognised' + chr(39))} AS symptom, {PICK(6, KIND)} AS category FROM error_messages", "error_messages"))
 def j15(spark, sf):
     p = spark.createDataFrame(PATTERNS, "catalogue_rank int, ordinal int, pattern string, kind string, phrases array<string>, symptom string, category string")
-    return X.classify_errors(bind(spark, sf, "error_messages"), p)
+    return X.classify_errors(bind(spark, sf, "error_messages"), p).select("doc_id", "pattern", "symptom", "category")
 
 
 NAMES = "SELECT 'all' AS scope, p_name || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS name FROM part WHERE p_partkey % 40 = 3"
@@ -68,6 +68,21 @@ def p10(spark, sf):
     return X.search(bind(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "Red Gear", 25)
 
 
+ASKED = [(1, "Red gear"), (2, "gear .size red"), (3, "model.1 s"), (4, "  "), (5, "model.77"), (6, "x.price"), (7, "zzzz"), (8, "E"), (9, "blue.size")]
+ITEMS = """SELECT 'n' || CAST(p_partkey AS STRING) AS item, p_name AS label, p_name || ' model.' || CAST(p_partkey AS STRING) AS haystack, 'model' AS kind FROM part
+ UNION ALL SELECT 'n' || CAST(p_partkey AS STRING) || '.' || c, p_name || '.' || c, p_name || '.' || c, 'column' FROM part CROSS JOIN (SELECT 'size' AS c UNION ALL SELECT 'price' AS c) cs"""
+P10 = f"""WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in ASKED)}) v(query, text)), i AS ({ITEMS}),
+ m AS (SELECT query, item, label, kind, row_number() OVER (PARTITION BY query ORDER BY starts_with(lower(haystack), lower(trim(text))) DESC, length(label), label, item) AS rank
+  FROM q, i WHERE trim(text) <> '' AND list_bool_and([contains(lower(haystack), t) FOR t IN string_split(lower(trim(text)), ' ')]))
+SELECT query, CAST(rank AS INTEGER) AS rank, item, label, kind FROM m WHERE rank <= 20"""
+
+
+@query("p10_search_terms", P10)
+def p10_terms(spark, sf):
+    bind(spark, sf, "node_facts")
+    return X.SearchIndex(spark.sql(ITEMS)).search(spark.createDataFrame(ASKED, "query int, text string"), 20)
+
+
 MET = "SELECT 'm' || CAST(p_partkey AS STRING) AS metric, CASE WHEN p_partkey % 2 = 0 THEN 'm' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) ELSE 't' || CAST(p_partkey % 20 AS STRING) END AS reads FROM part WHERE p_partkey > 0"
 
 
@@ -84,4 +99,4 @@ def g25(spark, sf):
     led = bind(spark, sf, "ledger_nodes").withColumn("node", F.expr("'n' || cast(cast(substr(node, 2) as bigint) % 50 as string)"))
     history = led.groupBy("scope", "node").agg(F.count_if(F.col("action") == "failed").alias("failed"))
     blocked = led.where("action = 'skipped'").groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_blocked"))
-    return X.explanations(failed, j15(spark, sf), history, blocked)
+    return X.explanations(failed.withColumnRenamed("doc_id", "error_id"), j15(spark, sf).withColumnRenamed("doc_id", "error_id"), history, blocked)

@@ -220,3 +220,33 @@ def j25(spark, sf):
     return H.column_views(spark.sql(CV), spark.sql(WV), spark.sql(TV))
 
 
+
+
+RELS = """SELECT p_partkey AS relation, p_brand AS "schema", substr(p_brand, 1, 7) AS "catalog", 'm' AS metastore, CASE p_size % 5 WHEN 0 THEN 'EXTERNAL' WHEN 1 THEN 'view' ELSE 'MANAGED' END AS kind FROM part WHERE p_partkey % 17 <> 0"""
+ASKED = "SELECT p_partkey AS relation, 'u' || CAST(u AS STRING) AS login FROM part CROSS JOIN (SELECT 0 AS u UNION ALL SELECT 1 AS u UNION ALL SELECT 2 AS u UNION ALL SELECT 3 AS u) us"
+GRANTS = """SELECT 'relation' AS level, CAST(p_partkey AS STRING) AS securable, 'g' || CAST(p_partkey % 4 AS STRING) AS principal, CASE p_size % 3 WHEN 0 THEN 'MODIFY' WHEN 1 THEN 'SELECT' ELSE 'browse' END AS privilege, p_partkey % 29 = 0 AS grantable FROM part
+ UNION SELECT 'schema', p_brand, 'u1', 'USE_SCHEMA', false FROM part UNION SELECT 'schema', p_brand, 'g4', 'CREATE_TABLE', false FROM part WHERE p_brand LIKE '%1'
+ UNION SELECT 'catalog', substr(p_brand, 1, 7), 'u2', 'USE CATALOG', p_brand LIKE 'Brand#3%' FROM part UNION SELECT 'metastore', 'm', 'u3', 'USE MARKETPLACE ASSETS', false FROM part"""
+OWN = "SELECT 'catalog' AS level, substr(p_brand, 1, 7) AS securable, 'g5' AS principal FROM part WHERE p_brand LIKE 'Brand#2%' UNION SELECT 'relation', CAST(p_partkey AS STRING), 'u0' FROM part WHERE p_partkey % 31 = 0"
+# g3 is in g4, g4 in g5 and g5 in g3 again
+MEMBERS = "SELECT 'u' || CAST(n_nationkey AS STRING) AS member, 'g' || CAST(n_nationkey % 3 AS STRING) AS \"group\" FROM nation UNION SELECT 'u3', 'g3' FROM nation UNION SELECT 'g3', 'g4' FROM nation UNION SELECT 'g4', 'g5' FROM nation UNION SELECT 'g5', 'g3' FROM nation"
+J22 = f"""WITH RECURSIVE a AS ({ASKED}), mem AS ({MEMBERS}), act AS (SELECT DISTINCT login, login AS principal FROM a UNION SELECT act.login, mem."group" FROM act JOIN mem ON mem.member = act.principal),
+ g AS (SELECT level, securable, principal, replace(upper(privilege), '_', ' ') AS privilege, grantable FROM ({GRANTS})),
+ held AS (SELECT level, securable, principal, privilege AS what FROM g WHERE grantable OR NOT (CASE level WHEN 'relation' THEN privilege IN ('SELECT', 'BROWSE') WHEN 'schema' THEN privilege IN ('SELECT', 'BROWSE', 'USE SCHEMA')
+  WHEN 'catalog' THEN privilege IN ('SELECT', 'BROWSE', 'USE CATALOG', 'USE SCHEMA') ELSE privilege = 'USE MARKETPLACE ASSETS' END) UNION SELECT level, securable, principal, 'OWNERSHIP' FROM ({OWN})),
+ pl AS (SELECT a.relation, a.login, CAST(a.relation AS STRING) AS s0, r."schema" AS s1, r."catalog" AS s2, r.metastore AS s3, r.kind FROM a LEFT JOIN ({RELS}) r USING (relation)),
+ l AS (SELECT relation, login, n, string_agg(DISTINCT what, ', ' ORDER BY what) || ' on the ' || lev AS line FROM (
+  SELECT pl.relation, pl.login, n, lev, what FROM pl JOIN act USING (login) JOIN (SELECT *, CASE level WHEN 'relation' THEN 0 WHEN 'schema' THEN 1 WHEN 'catalog' THEN 2 ELSE 3 END AS n, level AS lev FROM held) h
+   ON h.principal = act.principal AND h.securable = CASE n WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) GROUP BY relation, login, n, lev)
+SELECT relation, login, CASE WHEN kind IS NULL OR upper(kind) NOT IN ('MANAGED', 'VIEW', 'MATERIALIZED_VIEW') THEN 'unknown' WHEN b IS NULL THEN 'read_only' ELSE 'elevated' END AS verdict,
+ CASE WHEN upper(kind) IN ('MANAGED', 'VIEW', 'MATERIALIZED_VIEW') THEN coalesce(b, '') END AS beyond FROM pl LEFT JOIN (SELECT relation, login, string_agg(line, '; ' ORDER BY n) AS b FROM l GROUP BY ALL) USING (relation, login)"""
+
+
+@query("j22_privilege_hierarchy", J22)
+def j22_hierarchy(spark, sf):
+    """Grants and owners of relations, schemas, catalogs and the metastore, held through nested groups."""
+    t = lambda q: sql(spark, sf, q.replace('"', "`"))
+    asked = t(ASKED)
+    held = H.effective_privileges(t(GRANTS), t(OWN), t(MEMBERS), asked.select("login").distinct())
+    as_text = lambda df: df.withColumn("relation", F.col("relation").cast("string"))
+    return H.privilege_report(as_text(asked), as_text(t(RELS)), held).withColumn("relation", F.col("relation").cast("long"))
