@@ -14,6 +14,10 @@ Everything happens where the texts are read; nothing is shuffled.
 4. The task's documents are put together from their words' ids, and decoded by concatenating the
    ids' byte pieces.
 
+Before that, the words that occur at least twice in a hash sample of ``SAMPLE`` distinct texts, ``MOST_SHARED``
+of them at most, are folded once for the whole job and sent to every task, so a task folds only what they
+leave, where it occurs. The sample decides what is folded where, never a result.
+
 A task remembers ``MOST_WORDS`` words and then starts anew, so memory doesn't follow the corpus.
 """
 
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.text import text_of
 from fleetlens.llm.tokens import PIECES, byte_level_pieces, gather, row_slices
-from fleetlens.plans.shared import bounded_batches, release_memory
+from fleetlens.plans.shared import bounded_batches, release_memory, table
 
-#: Distinct words that a task remembers.
-MOST_WORDS = 500_000
+#: Distinct words that a task remembers, beside the shared ones.
+MOST_WORDS = 300_000
+#: Texts that shared words are looked for in, about; shared words at most, and the longest (bytes), which bounds what is sent.
+SAMPLE, MOST_SHARED, LONGEST_SHARED = 40_000, 400_000, 48
 #: The fold's work grows with the square of a word's length; longer words (bytes) take ``merge_long``.
 LONGEST_FOLD = 512
 #: Sizes of the perfect hash: displacements and slots.
@@ -174,8 +180,31 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in start if alive[i]]
 
 
-def namer(path: str):
-    """Batches of (doc_id, pieces, text) to a row each: words new to the task, and documents as numbers."""
+def shared_words(text: DataFrame, literal: tuple[Column, ...]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Frequent words of ``text(t)``, their flat ids, and how many ids each has."""
+    n = text.count()
+    draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    words = text.where(draw).select("t").distinct().select(F.explode(byte_level_pieces(F.col("t"), PIECES)).alias("word"))
+    words = words.where((F.octet_length("word") > 1) & (F.octet_length("word") <= LONGEST_SHARED))
+    counts = table(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word_counts")
+    # the least count that at most MOST_SHARED words reach; a row for each count that occurs
+    least, held = 1, 0
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
+        held += r["words"]
+        if held > MOST_SHARED:
+            break
+        least = r["n"]
+    rows = counts.where(F.col("n") >= (least if least > 1 else 1 << 62)).select("word", encode_word(F.col("word"), literal).alias("ids"))
+    got = table(rows, "shared_words").toArrow().combine_chunks()  # MOST_SHARED rows at most
+    ids = got.column("ids").combine_chunks()
+    return got.column("word").to_pylist(), np.asarray(ids.flatten()).astype(np.int32), np.asarray(ids.value_lengths()).astype(np.int64)
+
+
+def namer(path: str, shared):
+    """Batches of (doc_id, pieces, text) to a row each: words new to the task, and documents as numbers.
+
+    ``shared`` is a broadcast of the shared words; their numbers come first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -183,6 +212,7 @@ def namer(path: str):
 
         ranks = load_ranks(path)
         pattern = regex.compile(public_tokenizers.PATTERN)
+        common = {w: i for i, w in enumerate(shared.value)}
         known: dict[str, int] = {}
 
         def row(ids: pa.Array, counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
@@ -190,10 +220,11 @@ def namer(path: str):
             if anew:
                 known.clear()
             coded = words.dictionary_encode()
-            first = len(known)
-            names = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
+            words_here, at_first = coded.dictionary.to_pylist(), len(common)
+            first = at_first + len(known)
+            names = [k if (k := common.get(w)) is not None else known.setdefault(w, at_first + len(known)) for w in words_here]
             new = []
-            for w, k in zip(coded.dictionary.to_pylist(), names, strict=True):
+            for w, k in zip(words_here, names, strict=True):
                 if k >= first:
                     raw = w.encode()
                     rank = ranks.get(raw)
@@ -238,17 +269,18 @@ def _joined(values: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
     return memoryview(taken.buffers()[2]) if taken.buffers()[2] else memoryview(b""), offsets
 
 
-def digests(path: str):
-    """Rows of ``namer`` with their words' ids to a row for each document."""
+def digests(path: str, shared):
+    """Rows of ``namer`` with their words' ids to a row for each document; ``shared`` is a broadcast of the shared words' ids and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, digits = _pieces(path)
-        flat, lengths = [np.zeros(0, np.int32)], np.zeros(0, np.int64)
+        common, common_lengths = shared.value
+        flat, lengths = [common], common_lengths
 
         for b in batches:
             for k in range(b.num_rows):
                 if b.column("anew")[k].as_py():
-                    flat, lengths = [np.zeros(0, np.int32)], np.zeros(0, np.int64)
+                    flat, lengths = [common], common_lengths
                 new = b.column("ids")[k].values
                 flat = [np.concatenate([*flat, np.asarray(new.flatten())])]
                 lengths = np.concatenate([lengths, np.asarray(new.value_lengths()).astype(np.int64)])
@@ -287,7 +319,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("t"))
     late = (F.octet_length("t") > F.char_length("t")) & F.col("t").rlike(r"\p{Cn}")
     cut = text.select("doc_id", F.when(~late, byte_level_pieces(F.col("t"), PIECES)).alias("pieces"), F.when(late, F.col("t")).alias("text"))
-    named = cut.mapInArrow(namer(path), "anew boolean, new array<struct<word:string,ids:array<int>>>, doc_ids array<long>, counts array<int>, codes array<int>")
+    context = docs.sparkSession.sparkContext
     literal = rank_literal(path)
+    words, ids, lengths = shared_words(text, literal)
+    named = cut.mapInArrow(namer(path, context.broadcast(words)), "anew boolean, new array<struct<word:string,ids:array<int>>>, doc_ids array<long>, counts array<int>, codes array<int>")
     coded = named.select("anew", F.transform("new", lambda x: F.coalesce(x["ids"], encode_word(x["word"], literal))).alias("ids"), "doc_ids", "counts", "codes")
-    return coded.mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.mapInArrow(digests(path, context.broadcast((ids, lengths))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
