@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words.
 
-Everything happens where the texts are read; nothing is shuffled.
+Everything but the choice of shared words happens where the texts are read; no text is shuffled.
 
 1. A text is cut into pieces by the public pattern in the JVM. A text with code points that this
    JVM doesn't know (its Unicode is older than the library's) is cut in step 2.
