@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.state import fingerprint
 from fleetlens.plans.fixpoint import fixpoint, layers
+from fleetlens.plans.reach import reach_counts
 
 ID = ["scope", "node"]
 
@@ -270,12 +271,11 @@ def build_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def freshness_view(sources: DataFrame, edges: DataFrame, planned: DataFrame) -> DataFrame:
     """Each source or seed: version, whether its grade allows reuse, its readers by decision, all that is downstream.
 
-    ``sources(scope, source, version, exactness)``, ``planned(scope, node, action)``. Readers are direct.
+    ``sources(scope, source, version, exactness)``, ``planned(scope, node, action)``. Readers are direct; what is
+    downstream is counted by bitmaps (``plans.reach``), not as pairs.
     """
     e = edges.select("scope", F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
-    step = lambda f: f.join(e, ID).select("scope", "source", F.col("next").alias("node"))
-    reached = fixpoint(sources.select("scope", "source", F.col("source").alias("node")), step, ["scope", "source", "node"])
-    below = reached.where("node <> source").groupBy("scope", "source").agg(F.count(F.lit(1)).alias("downstream"))
+    below = reach_counts(edges).select("scope", F.col("node").alias("source"), F.col("n").alias("downstream"))
     direct = sources.select("scope", "source").join(e.withColumnRenamed("node", "source"), ["scope", "source"]).join(planned.select("scope", F.col("node").alias("next"), "action"), ["scope", "next"], "left")
     readers = direct.groupBy("scope", "source").agg(F.count(F.lit(1)).alias("readers"), F.count_if(F.col("action") == "BUILD").alias("readers_built"), F.count_if(F.col("action").isNull()).alias("readers_undecided"))
     grade = F.coalesce(F.array_position(F.array(*map(F.lit, EXACTNESS)), F.col("exactness")) > EXACTNESS.index("semantic"), F.lit(False))

@@ -12,6 +12,7 @@ from fleetlens.operators import failures as X
 from fleetlens.operators import graphs as G
 from fleetlens.plans import walk as W
 from fleetlens.plans.asof import last_before
+from fleetlens.plans.reach import reach_counts
 from fleetlens.plans.strong import strong_components
 
 
@@ -57,6 +58,17 @@ def test_nodes_between_cycles_cost_no_search_each(spark):
     assert {(r["node"], r["component"]) for r in got.collect()} == {(0, 0), (1, 0), (80, 80), (81, 80)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_reach_counts_of_random_graphs(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    edges = {s: {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} for s, n, m in (("a", 40, 60), ("b", 25, 20))}
+    rows = [(s, x, y) for s in edges for x, y in edges[s]]
+    got = reach_counts(spark.createDataFrame(rows + rows[:5], "scope string, parent long, child long").repartition(3))
+    want = {(s, x): len(reachable(edges[s], x) - {x}) for s in edges for x, _ in edges[s]}
+    assert {(r["scope"], r["node"]): r["n"] for r in got.collect()} == want
+    assert reach_counts(spark.createDataFrame([], "scope string, parent long, child long")).count() == 0
+
+
 def test_walks_double(spark, monkeypatch):
     rounds = []
     kept = W.Scratch.table
