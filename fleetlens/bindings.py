@@ -54,7 +54,7 @@ SELECT 'r' || CAST(o_custkey % 5 AS STRING) AS scope, 'run-' || CAST(o_custkey A
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS build_ms, 'run-' || CAST(o_orderkey % 50 AS STRING) AS timed_by, o_orderdate AS finished_at FROM orders
 """,
     "predicted_edges": """
-SELECT DISTINCT l_suppkey AS node, l_partkey AS source, l_linenumber AS output, CASE WHEN l_linenumber % 3 = 0 THEN 'INDIRECT' ELSE 'DIRECT' END AS edge_type FROM lineitem WHERE l_linenumber <= 5
+SELECT DISTINCT l_suppkey AS node, l_partkey AS source, CASE WHEN l_linenumber <= 5 THEN l_linenumber ELSE l_linenumber + 10 END AS output, CASE WHEN l_linenumber % 3 = 0 THEN 'INDIRECT' ELSE 'DIRECT' END AS edge_type FROM lineitem
 """,
     "observed_edges": """
 SELECT DISTINCT l_suppkey AS node, l_partkey AS source, l_linenumber AS output FROM lineitem WHERE l_returnflag IN ('A', 'N')

@@ -108,37 +108,23 @@ def g17(spark, sf):
     return S.record(view(spark, sf, RES, "ledger_nodes"), view(spark, sf, PREV, "ledger_nodes"))
 
 
-ST = "SELECT DISTINCT scope, node, 'old' AS tested FROM run_events"
-TE = "SELECT scope, node, status, run_id FROM run_events WHERE kind = 'check_finished' AND seq % 50 = 0"
-
-
-@query("g18_record_tests", oracle(f"SELECT s.scope, s.node, CASE WHEN fine IS NULL THEN tested WHEN fine THEN b END AS tested FROM ({ST}) s LEFT JOIN (SELECT scope, node, bool_and(status = 'passed') AS fine, max(run_id) AS b FROM ({TE}) GROUP BY ALL) t USING (scope, node)", "run_events"))
-def g18(spark, sf):
-    return S.record_tests(view(spark, sf, ST, "run_events"), view(spark, sf, TE, "run_events"))
-
-
-@query("g19_record_source_checks", oracle(f"SELECT s.scope, s.node AS source, CASE WHEN fine IS NULL THEN tested WHEN fine THEN b END AS tested FROM ({ST}) s LEFT JOIN (SELECT scope, node, bool_and(status = 'passed') AS fine, max(run_id) AS b FROM ({TE}) GROUP BY ALL) t USING (scope, node)", "run_events"))
-def g19(spark, sf):
-    return S.record_tests(view(spark, sf, ST, "run_events").withColumnRenamed("node", "source"), view(spark, sf, TE, "run_events").withColumnRenamed("node", "source"), "source")
-
-
 # Every check that finished, in a scope for each run: some of its nodes have none, some only passed ones, some a failed one.
 ST_ALL = "SELECT DISTINCT scope || '/' || run_id AS scope, node, 'old' AS tested FROM run_events"
 TE_ALL = "SELECT scope || '/' || run_id AS scope, node, status, run_id FROM run_events WHERE kind = 'check_finished'"
 RECORDED = "SELECT s.scope, s.node AS {key}, CASE WHEN fine IS NULL THEN tested WHEN fine THEN b END AS tested FROM ({st}) s LEFT JOIN (SELECT scope, node, bool_and(status = 'passed') AS fine, max(run_id) AS b FROM ({te}) GROUP BY ALL) t USING (scope, node)"
 
 
-@query("g18_record_tests_all", oracle(RECORDED.format(key="node", st=ST_ALL, te=TE_ALL), "run_events"))
-def g18_all(spark, sf):
+@query("g18_record_tests", oracle(RECORDED.format(key="node", st=ST_ALL, te=TE_ALL), "run_events"))
+def g18(spark, sf):
     return S.record_tests(view(spark, sf, ST_ALL, "run_events"), view(spark, sf, TE_ALL, "run_events"))
 
 
-@query("g19_record_source_checks_all", oracle(RECORDED.format(key="source", st=ST_ALL, te=TE_ALL), "run_events"))
-def g19_all(spark, sf):
+@query("g19_record_source_checks", oracle(RECORDED.format(key="source", st=ST_ALL, te=TE_ALL), "run_events"))
+def g19(spark, sf):
     return S.record_tests(view(spark, sf, ST_ALL, "run_events").withColumnRenamed("node", "source"), view(spark, sf, TE_ALL, "run_events").withColumnRenamed("node", "source"), "source")
 
 
-SNAP = "SELECT scope, finished_at AS created_at, CAST(substr(node, 2) AS BIGINT) AS snapshot_id, run_id AS by_run, CASE WHEN CAST(substr(node, 2) AS BIGINT) % 40 = 0 THEN -1 WHEN CAST(substr(node, 2) AS BIGINT) % 10 = 0 THEN CAST(substr(node, 2) AS BIGINT) END AS parent FROM ledger_nodes WHERE CAST(substr(node, 2) AS BIGINT) % 10 = 0"
+SNAP = "SELECT scope, finished_at AS created_at, CAST(substr(node, 2) AS BIGINT) AS snapshot_id, run_id AS by_run, CASE WHEN CAST(substr(node, 2) AS BIGINT) % 40 = 0 THEN -1 WHEN CAST(substr(node, 2) AS BIGINT) % 10 = 0 THEN CAST(substr(node, 2) AS BIGINT) END AS parent FROM ledger_nodes"
 RUNS = "SELECT scope, run_id, min(finished_at) AS started_at FROM ledger_nodes GROUP BY scope, run_id"
 
 

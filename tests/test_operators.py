@@ -164,7 +164,7 @@ def test_every_part_name_is_asked(spark, tmp_path):
     for n in {x + ("s" if i % 2 == 0 else "") for i, x in enumerate(names)}:
         near = sorted((lev(n.lower(), c.lower()), c) for c in set(names) if c != n and lev(n.lower(), c.lower()) <= 2)
         want += [(n, c, d, k + 1) for k, (d, c) in enumerate(near[:3])]
-    got = everything()["j16_did_you_mean_all"][0](spark, parts(spark, tmp_path, names))
+    got = everything()["j16_did_you_mean"][0](spark, parts(spark, tmp_path, names))
     assert rows(got, "name", "candidate", "distance", "rank") == sorted(want)
 
 
@@ -178,7 +178,7 @@ def test_every_finished_check_counts(spark):
         checks[key] += [(e["status"], e["run_id"])] if e["kind"] == "check_finished" else []
     want = sorted((*k, ("old" if not c else c[0][1] if all(s == "passed" for s, _ in c) else None) or "") for k, c in checks.items())
     assert len({w[2][:3] for w in want}) == 3
-    for name, key in (("g18_record_tests_all", "node"), ("g19_record_source_checks_all", "source")):
+    for name, key in (("g18_record_tests", "node"), ("g19_record_source_checks", "source")):
         got = everything()[name][0](spark, sf)
         assert rows(got.withColumn("tested", F.coalesce("tested", F.lit(""))), "scope", key, "tested") == want
 
