@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def everything() -> dict[str, tuple[Query, str | None]]:
-    from fleetlens.queries import erd, failures, fold, graphs, health, history, lineage, project, runs, scalars, state
+    from fleetlens.queries import erd, failures, fold, graphs, health, history, lineage, project, runs, scalars, sources, state
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (runs, fold, history, scalars, graphs, state, lineage, erd, health, failures, project):
+    for module in (runs, fold, history, scalars, graphs, state, lineage, erd, health, failures, project, sources):
         out |= module.QUERIES
     return out

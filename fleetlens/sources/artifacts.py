@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE = "struct<unique_id:string,name:string,resource_type:string,database:string,schema:string,alias:string,tags:array<string>,depends_on:struct<nodes:array<string>,macros:array<string>>,columns:map<string,struct<name:string,data_type:string>>,checksum:struct<checksum:string>>"
@@ -25,8 +25,13 @@ MANIFESTS = tuple(f"v{n}.json" for n in range(9, 13))
 JOURNAL = 1
 
 
+def folder_of_file() -> Column:
+    """The scope of a file: the folder that holds it, as such or as ``scope=name``."""
+    return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^scope=", "")
+
+
 def _json(spark: SparkSession, paths, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("scope", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(paths).withColumn("scope", folder_of_file())
 
 
 def read_manifest(spark: SparkSession, paths) -> dict[str, DataFrame]:
@@ -84,7 +89,7 @@ def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_journals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """S6 over files; the scope is the file's folder."""
-    return parse_journal(spark.read.text(folder, recursiveFileLookup=True).withColumn("scope", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+    return parse_journal(spark.read.text(folder, recursiveFileLookup=True).withColumn("scope", folder_of_file()))
 
 
 def engine_log_events(lines: DataFrame) -> DataFrame:
