@@ -31,6 +31,36 @@ def key_dedup(keys: DataFrame) -> DataFrame:
     return keys.groupBy("entity", F.array_join(F.array_sort("columns"), ",").alias("columns")).agg(F.max("basis").alias("basis"), F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
 
 
+def apply_facts(facts: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R2: what facts say about each entity, and the diagnostics of those that can't be recorded.
+
+    ``facts([scope,] no, entity, fact, columns, basis, evidence)`` with ``fact`` one of ``unique``, ``not_null``, ``primary_key``
+    and ``no`` their order; ``columns([scope,] entity, column)``. Columns take the entity's spelling; a fact with a column that
+    a known entity lacks is a diagnostic, and so is a primary key beside a stronger, or an equally strong earlier one.
+
+    Returns ``entity, unique_keys, not_null, primary_key`` (columns joined by commas, keys by semicolons, each key
+    with its strongest basis) and ``entity, evidence, problem, columns``.
+    """
+    within = [*(["scope"] if "scope" in facts.columns else []), "entity"]
+    flat = facts.select(*within, "no", "fact", "basis", "evidence", F.posexplode("columns").alias("at", "column")).withColumn("key", F.lower("column"))
+    spelt = columns.select(*within, F.lower("column").alias("key"), F.col("column").alias("proper")).dropDuplicates([*within, "key"])
+    known = columns.select(*within).distinct().withColumn("known", F.lit(True))
+    j = flat.join(spelt, [*within, "key"], "left").join(known, within, "left")
+    j = j.withColumn("lost", F.col("proper").isNull() & F.col("known").isNotNull()).withColumn("name", F.coalesce("proper", "column"))
+    each = j.groupBy(*within, "no", "fact", "basis", "evidence").agg(F.bool_or("lost").alias("lost"), F.array_sort(F.collect_set("name")).alias("columns"), F.array_sort(F.collect_set(F.when(F.col("lost"), F.col("column")))).alias("lacking"))
+    text = lambda c: F.array_join(c, ",")
+    unknown = each.where("lost").select(*within, "evidence", F.lit("unknown_column").alias("problem"), text("lacking").alias("columns"))
+    fine = each.where("not lost").withColumn("columns", text("columns"))
+    keys = fine.where("fact <> 'not_null'").groupBy(*within, "fact", "columns").agg(F.max("basis").alias("basis"), F.min("no").alias("no"), F.min_by("evidence", "no").alias("evidence"))
+    unique = keys.where("fact = 'unique'").groupBy(*within).agg(F.array_join(F.array_sort(F.collect_list(F.concat("columns", F.lit(":"), "basis"))), ";").alias("unique_keys"))
+    primary = keys.where("fact = 'primary_key'")
+    best = primary.groupBy(*within).agg(F.min_by("columns", F.struct(-F.col("basis"), "no")).alias("primary_key"))
+    beside = primary.join(best, within).where("columns <> primary_key").select(*within, "evidence", F.lit("conflicting_primary_key").alias("problem"), "columns")
+    filled = fine.where("fact = 'not_null'").groupBy(*within).agg(F.array_join(F.array_sort(F.collect_set("columns")), ",").alias("not_null"))
+    found = fine.select(*within).distinct().join(unique, within, "left").join(filled, within, "left").join(best, within, "left")
+    return found.select(*within, "unique_keys", "not_null", "primary_key"), unknown.unionByName(beside)
+
+
 def promote_primary_keys(keys: DataFrame, not_null: DataFrame) -> DataFrame:
     """A unique key whose columns are all not null; single columns first, then the fewest; ties by name."""
     flat = keys.select("entity", "columns", F.explode(F.split("columns", ",")).alias("column"))

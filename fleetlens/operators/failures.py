@@ -154,10 +154,12 @@ def search(items: DataFrame, text: str, most: int) -> DataFrame:
 
 
 def metric_closure(reads: DataFrame) -> DataFrame:
-    """Everything that each metric reads, through metrics: ``reads(metric, reads)``."""
+    """Everything that each metric reads, through metrics: ``reads([scope,] metric, reads)``; scopes stay apart."""
     from fleetlens.plans.fixpoint import fixpoint
     from fleetlens.plans.shared import cut
 
-    e = cut(reads.select(F.col("metric").alias("at"), F.col("reads").alias("next")).distinct())
-    seed = reads.select("metric", F.col("reads").alias("at"))
-    return fixpoint(seed, lambda f: f.join(e, "at").select("metric", F.col("next").alias("at")), ["metric", "at"]).select("metric", F.col("at").alias("reads"))
+    within = ["scope"] if "scope" in reads.columns else []
+    e = cut(reads.select(*within, F.col("metric").alias("at"), F.col("reads").alias("next")).distinct())
+    seed = reads.select(*within, "metric", F.col("reads").alias("at"))
+    step = lambda f: f.join(e, [*within, "at"]).select(*within, "metric", F.col("next").alias("at"))
+    return fixpoint(seed, step, [*within, "metric", "at"]).select(*within, "metric", F.col("at").alias("reads"))

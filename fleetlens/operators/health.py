@@ -107,11 +107,20 @@ def health_counts(badges: DataFrame) -> DataFrame:
     return counts.select(*within, F.explode(F.array(*[F.struct(F.lit(h).alias("health"), F.col(h).alias("n")) for h in HEALTHS])).alias("x")).select(*within, "x.health", "x.n")
 
 
-def report_fails(findings: DataFrame, strict: bool) -> DataFrame:
-    """Whether a report fails: an error-level failure; strict also counts undecided errors."""
-    err = F.col("severity") == "error"
-    bad = F.col("status").isin("fail", "unknown") if strict else F.col("status") == "fail"
-    return findings.groupBy(*by(findings)).agg(F.coalesce(F.bool_or(err & bad), F.lit(False)).alias("fails"), F.count_if(err & bad).alias("n"))
+def report_fails(findings: DataFrame, strict: bool, coverage: DataFrame | None = None, unmatched: DataFrame | None = None) -> DataFrame:
+    """Whether a report fails: an error-level failure; strict also counts what couldn't be decided.
+
+    ``coverage(severity, status)`` holds the verdicts of coverage targets, ``unmatched(severity)`` the enabled probes that
+    selected nothing: they checked nothing, hence are unknown. ``n`` counts what failed the report.
+    """
+    within = by(findings)
+    every = findings.select(*within, "severity", "status")
+    if coverage is not None:
+        every = every.unionByName(coverage.select(*within, "severity", "status"))
+    if unmatched is not None:
+        every = every.unionByName(unmatched.select(*within, "severity", F.lit("unknown").alias("status")))
+    bad = (F.col("severity") == "error") & (F.col("status").isin("fail", "unknown") if strict else F.col("status") == "fail")
+    return every.groupBy(*within).agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("fails"), F.count_if(bad).alias("n"))
 
 
 def unmatched_probes(probes: DataFrame, selected: DataFrame) -> DataFrame:
@@ -143,11 +152,19 @@ def coverage_verdict(covered: DataFrame, target: int) -> DataFrame:
     return covered.withColumns({"share": F.floor(c * 1000 / t), "verdict": F.when(t.isNull(), "unknown").when(c * 1000 >= t * target, "pass").otherwise("fail")})
 
 
-def facets(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Value counts of several facets in one pass."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+def facets(nodes: DataFrame, columns: list[str], domains: dict[str, list] | None = None, chosen: dict[str, list] | None = None) -> DataFrame:
+    """Value counts of several facets in one pass, of each scope where there are scopes.
+
+    Values of a fixed domain (``domains``) and values that are selected (``chosen``) are listed with 0 where no node has them.
+    """
     within = by(nodes)
-    return nodes.select(*within, F.explode(pairs).alias("x")).groupBy(*within, "x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    pair = lambda c, value: F.struct(F.lit(c).alias("facet"), value.cast("string").alias("value"))
+    out = nodes.select(*within, F.explode(F.array(*[pair(c, F.col(c)) for c in columns])).alias("x"), F.lit(1).alias("one"))
+    listed = [(c, v) for some in (domains or {}, chosen or {}) for c, values in some.items() if c in columns for v in values]
+    if listed:
+        scopes = nodes.select(*within).distinct() if within else nodes.sparkSession.range(1).select()
+        out = out.unionByName(scopes.select(*within, F.explode(F.array(*[pair(c, F.lit(v)) for c, v in listed])).alias("x"), F.lit(0).alias("one")))
+    return out.groupBy(*within, "x.facet", "x.value").agg(F.sum("one").alias("n"))
 
 
 def run_facets(runs: DataFrame, chosen: dict[str, str]) -> DataFrame:
@@ -161,11 +178,12 @@ def run_facets(runs: DataFrame, chosen: dict[str, str]) -> DataFrame:
 
 
 def catalog_filter(nodes: DataFrame, chosen: dict[str, list], text: str) -> DataFrame:
-    """P5: any chosen value of a facet, all facets; the name contains the text, ignoring case."""
+    """P5: any chosen value of a facet, all facets; the name or the node's id contains the text, ignoring case."""
     out = nodes
     for c, values in chosen.items():
         out = out.where(F.col(c).isin(values))
-    return out.where(F.contains(F.lower("name"), F.lit(text.lower())))
+    holds = lambda c: F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower())), F.lit(False))
+    return out.where(holds("name") | holds("node") if "node" in out.columns else holds("name"))
 
 
 def catalog_sort(nodes: DataFrame, column: str, descending: bool, within: str = "scope") -> DataFrame:

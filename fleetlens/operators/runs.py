@@ -148,15 +148,17 @@ def run_filter(runs: DataFrame, now: Column, days: int) -> DataFrame:
 def thread_lanes(bars: DataFrame) -> DataFrame:
     """Per run and thread, busy seconds (overlaps once) and idle seconds within the run's span.
 
-    ``bars(run_id, thread, node, start_s, end_s, ...)``; a bar without both times is no bar.
+    ``bars([scope,] run_id, thread, start_s, end_s, ...)``; a bar without both times is no bar. Runs of two scopes
+    that share an id stay apart.
     """
-    b = bars.where("start_s is not null and end_s is not null")
-    w = Window.partitionBy("run_id", "thread").orderBy("start_s", "end_s", "node", "part_no", "tiebreak").rowsBetween(Window.unboundedPreceding, -1)
+    run = ["scope", "run_id"] if "scope" in bars.columns else ["run_id"]
+    b = bars.where("start_s is not null and end_s is not null").select(*run, "thread", "start_s", "end_s")
+    w = Window.partitionBy(*run, "thread").orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("covered", F.max("end_s").over(w))
     busy = F.greatest(F.col("end_s") - F.greatest("start_s", F.coalesce("covered", F.col("start_s"))), F.lit(0))
-    lanes = b.groupBy("run_id", "thread").agg(F.count(F.lit(1)).alias("bars"), F.sum(busy).alias("busy_s"))
-    span = b.groupBy("run_id").agg((F.max("end_s") - F.min("start_s")).alias("span_s"))
-    return lanes.join(span, "run_id").select("run_id", "thread", "bars", "busy_s", (F.col("span_s") - F.col("busy_s")).alias("idle_s"))
+    lanes = b.groupBy(*run, "thread").agg(F.count(F.lit(1)).alias("bars"), F.sum(busy).alias("busy_s"))
+    span = b.groupBy(*run).agg((F.max("end_s") - F.min("start_s")).alias("span_s"))
+    return lanes.join(span, run).select(*run, "thread", "bars", "busy_s", (F.col("span_s") - F.col("busy_s")).alias("idle_s"))
 
 
 def critical_path(folded: DataFrame, edges: DataFrame) -> DataFrame:

@@ -154,3 +154,33 @@ def a16v(spark, sf):
 def a15(spark, sf):
     o, c = bind(spark, sf, "orders"), bind(spark, sf, "customer")
     return E.probe(o, "orders", {"n": F.count(F.lit(1)), "top": F.max("o_orderkey")}).unionByName(E.probe(c, "customer", {"n": F.count(F.lit(1)), "top": F.max("c_custkey")}))
+
+
+FACTS = """SELECT 'p' || CAST(p_partkey % 2 AS STRING) AS scope, p_partkey AS no, 'e' || CAST(p_partkey % 151 AS STRING) AS entity, CASE p_size % 3 WHEN 0 THEN 'unique' WHEN 1 THEN 'not_null' ELSE 'primary_key' END AS fact,
+ CASE WHEN p_size % 3 = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'ID' ELSE 'name' END WHEN p_size % 5 = 0 THEN 'Name,id' WHEN p_size % 7 = 0 THEN 'gone,id' WHEN p_size % 2 = 0 THEN 'ID' ELSE 'Kind' END AS cols, p_size % 4 AS basis, 'ev' || CAST(p_partkey AS STRING) AS evidence FROM part"""
+FCOLS = "SELECT DISTINCT scope, entity, c AS \"column\" FROM f CROSS JOIN (SELECT 'id' AS c UNION ALL SELECT 'name' AS c UNION ALL SELECT 'kind' AS c) cs WHERE entity <> 'e7' AND entity <> 'e8'"
+RESOLVED = f"""WITH f AS ({FACTS}), c AS ({FCOLS}), x AS (SELECT f.*, u.col FROM f, unnest(string_split(cols, ',')) AS u(col)),
+ r AS (SELECT x.scope, x.no, x.entity, fact, basis, evidence, col, c."column" AS proper, (x.scope, x.entity) IN (SELECT (scope, entity) FROM c) AS known FROM x LEFT JOIN c ON c.scope = x.scope AND c.entity = x.entity AND lower(c."column") = lower(col)),
+ g AS (SELECT scope, no, entity, fact, basis, evidence, bool_or(known AND proper IS NULL) AS lost, string_agg(DISTINCT coalesce(proper, col), ',' ORDER BY coalesce(proper, col)) AS columns, string_agg(DISTINCT col, ',' ORDER BY col) FILTER (known AND proper IS NULL) AS lacking FROM r GROUP BY ALL),
+ k AS (SELECT scope, entity, fact, columns, max(basis) AS basis, min(no) AS no, arg_min(evidence, no) AS evidence FROM g WHERE NOT lost AND fact <> 'not_null' GROUP BY ALL),
+ b AS (SELECT scope, entity, arg_min(columns, {{'a': -basis, 'b': no}}) AS primary_key FROM k WHERE fact = 'primary_key' GROUP BY ALL)"""
+
+
+def facts(spark, sf):
+    bind(spark, sf, "node_facts")
+    f = spark.sql(FACTS)
+    f.createOrReplaceTempView("f")
+    return E.apply_facts(f.select("scope", "no", "entity", "fact", F.split("cols", ",").alias("columns"), "basis", "evidence"), spark.sql(FCOLS.replace('"', "`")))
+
+
+@query("r2_facts_by_scope", f"""{RESOLVED} SELECT e.scope, e.entity, unique_keys, not_null, primary_key FROM (SELECT DISTINCT scope, entity FROM g WHERE NOT lost) e
+ LEFT JOIN (SELECT scope, entity, string_agg(columns || ':' || basis, ';' ORDER BY columns || ':' || basis) AS unique_keys FROM k WHERE fact = 'unique' GROUP BY ALL) USING (scope, entity)
+ LEFT JOIN (SELECT scope, entity, string_agg(DISTINCT columns, ',' ORDER BY columns) AS not_null FROM g WHERE NOT lost AND fact = 'not_null' GROUP BY ALL) USING (scope, entity) LEFT JOIN b USING (scope, entity)""")
+def r2_scoped(spark, sf):
+    return facts(spark, sf)[0]
+
+
+@query("r2_fact_diagnostics", f"""{RESOLVED} SELECT scope, entity, evidence, 'unknown_column' AS problem, lacking AS columns FROM g WHERE lost
+ UNION ALL SELECT scope, entity, evidence, 'conflicting_primary_key', columns FROM k JOIN b USING (scope, entity) WHERE fact = 'primary_key' AND columns <> primary_key""")
+def r2_diagnostics(spark, sf):
+    return facts(spark, sf)[1]

@@ -90,3 +90,13 @@ def g25(spark, sf):
     history = led.groupBy("scope", "node").agg(F.count_if(F.col("action") == "failed").alias("failed"))
     blocked = led.where("action = 'skipped'").groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_blocked"))
     return X.explanations(failed.withColumnRenamed("doc_id", "error_id"), j15(spark, sf).withColumnRenamed("doc_id", "error_id"), history, blocked)
+
+
+MET2 = f"SELECT 's' || CAST(p_partkey % 3 AS STRING) AS scope, 'm' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) AS metric, CASE WHEN p_partkey % 4 > 0 THEN 'm' || CAST(CAST(floor(p_partkey / 7) AS BIGINT) AS STRING) ELSE 't' || CAST(p_partkey % 20 AS STRING) END AS reads FROM part WHERE p_partkey > 0"
+
+
+@query("g22_metrics_by_scope", f"WITH RECURSIVE r AS ({MET2}), c AS (SELECT scope, metric, reads FROM r UNION SELECT c.scope, c.metric, r.reads FROM c JOIN r ON r.scope = c.scope AND r.metric = c.reads) SELECT * FROM c")
+def g22_scoped(spark, sf):
+    """Three projects that share the names of their metrics."""
+    bind(spark, sf, "node_facts")
+    return X.metric_closure(spark.sql(MET2))

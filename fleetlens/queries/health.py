@@ -250,3 +250,24 @@ def j22_hierarchy(spark, sf):
     held = H.effective_privileges(t(GRANTS), t(OWN), t(MEMBERS), asked.select("login").distinct())
     as_text = lambda df: df.withColumn("relation", F.col("relation").cast("string"))
     return H.privilege_report(as_text(asked), as_text(t(RELS)), held).withColumn("relation", F.col("relation").cast("long"))
+
+
+@query("h10_report_strict", oracle(f"""SELECT coalesce(bool_or(bad), false) AS fails, count(*) FILTER (bad) AS n FROM (SELECT severity = 'error' AND status IN ('fail', 'unknown') AS bad FROM (SELECT severity, status FROM {ALL}
+ UNION ALL SELECT 'error', CASE WHEN tested * 1000 >= total * 755 THEN 'pass' ELSE 'fail' END FROM ({COV})
+ UNION ALL SELECT CASE WHEN probe LIKE '%1' THEN 'error' ELSE 'warn' END, 'unknown' FROM (SELECT DISTINCT 'probe-' || tag AS probe FROM node_facts WHERE tag NOT IN (SELECT tag FROM node_facts WHERE layer > 48 AND tests > 2))))""", "node_facts"))
+def h10_strict(spark, sf):
+    covered = a9(spark, sf).select(F.lit("error").alias("severity"), F.col("verdict").alias("status"))
+    unmatched = h11(spark, sf).select(F.when(F.col("probe").endswith("1"), "error").otherwise("warn").alias("severity"))
+    return H.report_fails(findings(spark, sf), True, covered, unmatched)
+
+
+@query("a11_catalog_facets_listed", oracle(f"""SELECT scope, facet, value, CAST(sum(one) AS BIGINT) AS n FROM (SELECT scope, 'few' AS facet, CASE WHEN tests < 2 THEN 'few' ELSE 'many' END AS value, 1 AS one FROM ({SCOPED}) UNION ALL SELECT scope, 'tests', CAST(tests AS VARCHAR), 1 FROM ({SCOPED})
+ UNION ALL SELECT scope, f, v, 0 FROM (SELECT DISTINCT scope FROM ({SCOPED})), (SELECT unnest(['few', 'few', 'few', 'tests', 'tests']) AS f, unnest(['few', 'many', 'none', '2', '77']) AS v)) GROUP BY ALL""", "node_facts"))
+def a11_listed(spark, sf):
+    n = sql(spark, sf, SCOPED).withColumn("few", F.when(F.col("tests") < 2, "few").otherwise("many"))
+    return H.facets(n, ["few", "tests"], {"few": ["few", "many", "none"]}, {"tests": [2, 77]})
+
+
+@query("p5_catalog_filter_ids", "SELECT p_partkey AS node FROM part WHERE contains(lower(p_name), '17') OR contains(CAST(p_partkey AS VARCHAR), '17')")
+def p5_ids(spark, sf):
+    return H.catalog_filter(bind(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name")), {}, "17").select("node")
