@@ -159,3 +159,64 @@ def orphan_probe(df: DataFrame, column: str, parent: DataFrame, key: str, name:
 def accepted_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Values outside the accepted ones, with their rows."""
     return df.where(~F.col(column).isin(values)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- relationships and gaps within scopes ------------------------------------------------------
+
+
+def relationships_by_form(entities: DataFrame, columns: DataFrame, keys: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R5 in full: ``<x>_id`` points to the one entity whose key is that column, or that goes by ``<x>`` and has the key ``id``.
+
+    ``entities(scope, entity, name)``, ``columns(scope, entity, column)``, ``keys(scope, entity, columns, basis)`` with an array of
+    columns, ``known(scope, entity, column)``: columns that a fact directs already. Keys that are tested or declared go before
+    guessed ones, without a rank among them. An entity doesn't refer to itself, nor by a column of its own key.
+
+    Returns ``scope, entity, column, to, to_column``, and where several entities fit ``scope, entity, column, n_targets``, which
+    is not guessed. Of a name's holders only their number and the first and last are kept, so a name that many entities hold
+    and many refer to costs their sum, not their product. Null names and columns meet nothing.
+    """
+    single = keys.where(F.size("columns") == 1).select("scope", F.col("entity").alias("to"), F.element_at("columns", 1).alias("to_column"), (F.col("basis") >= BASIS["tested"]).alias("trusted"))
+    by_column = single.select("scope", F.lower("to_column").alias("name"), "to", "to_column", "trusted")
+    forms = entities.select("scope", F.col("entity").alias("to"), F.explode(name_forms(F.col("name"))).alias("form"))
+    by_form = single.where(F.lower("to_column") == "id").join(forms, ["scope", "to"]).select("scope", F.concat("form", F.lit("_id")).alias("name"), "to", "to_column", "trusted")
+    holders = by_column.unionByName(by_form).groupBy("scope", "name", "to").agg(F.max("to_column").alias("to_column"), F.bool_or("trusted").alias("trusted"))
+    one = F.struct("to", "to_column")
+    kind = lambda c, k: F.when(F.col("trusted") == k, c)
+    ends = [f(kind(one, k)).alias(f"{n}_{w}") for k, w in ((True, "trusted"), (False, "guessed")) for f, n in ((F.count, "n"), (F.min, "first"), (F.max, "last"))]
+    named = holders.groupBy("scope", "name").agg(*ends)
+    own = keys.select("scope", "entity", F.explode("columns").alias("column"))
+    taken = own.unionByName(known.select("scope", "entity", "column")).select("scope", "entity", F.lower("column").alias("name")).distinct()
+    refs = columns.withColumn("name", F.lower("column")).where(F.endswith("name", F.lit("_id"))).join(taken, ["scope", "entity", "name"], "left_anti")
+    itself = holders.select("scope", "name", F.col("to").alias("entity"), F.col("trusted").alias("self"))
+    j = refs.join(named, ["scope", "name"]).join(itself, ["scope", "name", "entity"], "left")
+    others = {w: F.col(f"n_{w}") - F.coalesce((F.col("self") == k).cast("long"), F.lit(0)) for k, w in ((True, "trusted"), (False, "guessed"))}
+    j = j.withColumns({"n_t": others["trusted"], "n_g": others["guessed"]}).withColumn("n_targets", F.when(F.col("n_t") > 0, F.col("n_t")).otherwise(F.col("n_g")))
+    # one target beside at most the entity itself: it is the first or the last
+    other = lambda w: F.when(F.col(f"first_{w}.to") == F.col("entity"), F.col(f"last_{w}")).otherwise(F.col(f"first_{w}"))
+    j = j.withColumn("target", F.when(F.col("n_t") > 0, other("trusted")).otherwise(other("guessed")))
+    return j.where("n_targets = 1").select("scope", "entity", "column", "target.to", "target.to_column"), j.where("n_targets > 1").select("scope", "entity", "column", "n_targets")
+
+
+def suggested_tests(primary: DataFrame, unique: DataFrame, not_null: DataFrame, guessed: DataFrame, directed: DataFrame, joins: DataFrame) -> DataFrame:
+    """R11 in full: tests that are missing, with the reason.
+
+    ``primary(scope, entity, columns, basis)``, ``unique(scope, entity, columns)`` tested or declared, ``not_null(scope, entity, column)``,
+    ``guessed(scope, entity, column, to, to_column)`` from names, ``directed(scope, entity, column)`` relationships from facts,
+    ``joins(scope, entity, column, reader)``: columns that a reader joins on.
+
+    Returns ``scope, entity, column, test, reason, detail``: columns of guessed keys (``untested_key``), unique columns that may be
+    null (``unique_but_nullable``), guessed relationships (``untested_relationship``, the detail is what they point to), and
+    join columns without any test (``untested_join``, the detail is the number of readers). A guessed key is no test.
+    """
+    at = ["scope", "entity", "column"]
+    row = lambda df, test, reason, detail: df.select(*at, F.lit(test).alias("test"), F.lit(reason).alias("reason"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    flat = lambda df: df.select("scope", "entity", F.explode("columns").alias("column")).distinct()
+    untested = row(flat(primary.where(F.col("basis") == BASIS["inferred"])), "unique+not_null", "untested_key", none)
+    filled = not_null.select(*at).unionByName(flat(primary.where(F.col("basis") > BASIS["inferred"]))).distinct()
+    nullable = row(flat(unique.where(F.size("columns") == 1)).join(filled, at, "left_anti"), "not_null", "unique_but_nullable", none)
+    loose = row(guessed, "relationship", "untested_relationship", F.concat_ws(".", "to", "to_column"))
+    tested = filled.unionByName(directed.select(*at)).unionByName(flat(unique)).select("scope", "entity", F.lower("column").alias("key")).distinct()
+    used = joins.withColumn("key", F.lower("column")).groupBy("scope", "entity", "key").agg(F.min("column").alias("column"), F.countDistinct("reader").cast("string").alias("n"))
+    bare = row(used.join(tested, ["scope", "entity", "key"], "left_anti"), "not_null", "untested_join", F.col("n"))
+    return untested.unionByName(nullable).unionByName(loose).unionByName(bare)
