@@ -267,3 +267,54 @@ def column_views(code: DataFrame, warehouse: DataFrame, tests: DataFrame) -> Dat
     t = tests.groupBy("node", F.lower("column").alias("column")).agg(F.array_join(F.array_sort(F.collect_set("test")), ",").alias("tests"))
     j = c.join(w, ["node", "column"], "full").join(t, ["node", "column"], "left")
     return j.select("node", "column", "type", F.coalesce("tests", F.lit("")).alias("tests"), F.col("c").isNull().alias("possibly_stale"))
+
+
+# ---- coverage and columns at the catalog's width -----------------------------------------------
+
+# What coverage measures, in order.
+MEASURES = ["tests", "descriptions", "constraints", "source_freshness"]
+
+
+def coverage_measures(models: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A8 in full: each scope's four measures, and everything that they find uncovered.
+
+    ``models(scope, node, name, tests, description, constraints)`` with numbers of tests and of column constraints,
+    ``sources(scope, node, name, measured_with, read_by_runs, version)``: a source is covered if any of the three is known.
+    Blank descriptions describe nothing, unknown numbers count as none.
+
+    Returns ``scope, measure, covered, total`` for all measures of every scope of either side, ``covered`` null where there is nothing
+    to measure, and ``scope, measure, node, name``: one row for each that isn't covered, so that no list grows with a project.
+    """
+    held = lambda m, ok: F.struct(F.lit(m).alias("measure"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    of_models = models.select("scope", "node", "name", F.explode(F.array(held("tests", F.col("tests") > 0), held("descriptions", F.trim("description") != ""), held("constraints", F.col("constraints") > 0))).alias("x"))
+    known = F.col("measured_with").isNotNull() | F.col("read_by_runs").isNotNull() | F.col("version").isNotNull()
+    of_sources = sources.select("scope", "node", "name", held("source_freshness", known).alias("x"))
+    each = of_models.unionByName(of_sources).select("scope", "node", "name", "x.measure", "x.ok")
+    scopes = models.select("scope").unionByName(sources.select("scope")).distinct()
+    frame = scopes.select("scope", F.explode(F.array(*[F.lit(m) for m in MEASURES])).alias("measure"))
+    counts = each.groupBy("scope", "measure").agg(F.count_if("ok").alias("covered"), F.count(F.lit(1)).alias("total"))
+    return frame.join(counts, ["scope", "measure"], "left").select("scope", "measure", "covered", F.coalesce("total", F.lit(0)).alias("total")), each.where(~F.col("ok")).select("scope", "measure", "node", "name")
+
+
+def column_catalog(listed: DataFrame, code: DataFrame, tests: DataFrame, constraints: DataFrame, edges: DataFrame) -> DataFrame:
+    """J25 in full: one row a listed column, ignoring case.
+
+    ``listed(scope, node, column, lister, type)`` with ``lister`` ``declared`` or ``warehouse``; ``code(scope, node, column)`` as the code
+    gives them; ``tests(scope, node, column, test)``; ``constraints(scope, node, column, constraint)``; ``edges(scope, node, column,
+    from_node, from_column)``.
+
+    Returns ``scope, node, column, type, type_source, possibly_stale, tests, constraints, upstream``: the declared spelling before the
+    warehouse's, the warehouse's type before the declared one (of several the first), possibly stale if only the warehouse lists
+    the column and the code doesn't give it; names joined by commas, null where there are none; inputs of the node itself bare,
+    others as ``node.column``.
+    """
+    key = ["scope", "node", "key"]
+    low = lambda df: df.withColumn("key", F.lower("column"))
+    names = lambda df, c, out: low(df).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(out))
+    of = lambda w, c: F.when(F.col("lister") == w, F.col(c))
+    c = low(listed).groupBy(*key).agg(F.min(of("declared", "column")).alias("d"), F.min(of("warehouse", "column")).alias("w"), F.min(of("declared", "type")).alias("dt"), F.min(of("warehouse", "type")).alias("wt"))
+    given = low(code).select(*key).distinct().withColumn("given", F.lit(True))
+    source = F.when(F.col("from_node") == F.col("node"), F.col("from_column")).otherwise(F.concat_ws(".", "from_node", "from_column"))
+    j = c.join(given, key, "left").join(names(tests, "test", "tests"), key, "left").join(names(constraints, "constraint", "constraints"), key, "left").join(names(edges.where("from_column is not null"), source, "upstream"), key, "left")
+    origin = F.when(F.col("wt").isNotNull(), "warehouse").when(F.col("dt").isNotNull(), "declared")
+    return j.select("scope", "node", F.coalesce("d", "w").alias("column"), F.coalesce("wt", "dt").alias("type"), origin.alias("type_source"), (F.col("d").isNull() & F.col("given").isNull()).alias("possibly_stale"), "tests", "constraints", "upstream")

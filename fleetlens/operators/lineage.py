@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.plans.fixpoint import fixpoint
@@ -212,3 +212,35 @@ def simulate(changes: DataFrame, impacted: DataFrame, broken: DataFrame) -> Data
     return j.select("node", verdict.alias("verdict"))
 
 
+
+
+def relation_changes(before: DataFrame, after: DataFrame, outputs_before: DataFrame, outputs_after: DataFrame) -> DataFrame:
+    """G8 in full: what changed between two analyses of each relation, as ``scope, node, change, column, why``.
+
+    ``before`` and ``after`` hold ``(scope, node, opaque, row_digest)``, one row a relation, the outputs ``(scope, node, column, digest, ordinal)``.
+
+    Where nothing can be proven unchanged there is one ``rows`` change, and every column may differ: the relation is ``new``, ``opaque``
+    on either side, its ``row_digest`` differs, or a name stands twice on either side (``duplicate_name``; the first of these is why).
+    Otherwise columns are ``added``, ``removed`` or ``modified``; among the columns of both sides one whose place differs is modified too
+    (``moved``), since unions and stars read by position. Null digests equal one another; outputs without a name aren't compared.
+    Relations that are no longer there aren't listed.
+    """
+    at = ["scope", "node"]
+    twice = lambda o: o.where("column is not null").groupBy(*at, "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*at)
+    doubled = twice(outputs_before).unionByName(twice(outputs_after)).distinct().withColumn("doubled", F.lit(True))
+    b = before.select(*at, F.col("opaque").alias("b_opaque"), F.col("row_digest").alias("was"), F.lit(True).alias("there"))
+    m = after.select(*at, "opaque", F.col("row_digest").alias("now")).join(b, at, "left").join(doubled, at, "left")
+    why = F.when(F.col("there").isNull(), "new").when(F.col("opaque") | F.col("b_opaque"), "opaque").when(~F.col("was").eqNullSafe(F.col("now")), "row_digest").when(F.col("doubled"), "duplicate_name")
+    m = m.select(*at, why.alias("why"))
+    whole = m.where("why is not null").select(*at, F.lit("rows").alias("change"), F.lit(None).cast("string").alias("column"), "why")
+    plain = m.where("why is null").select(*at)
+    side = lambda o, s: o.where("column is not null").join(plain, at, "left_semi").select(*at, "column", F.col("digest").alias(f"{s}_digest"), F.col("ordinal").alias(f"{s}_at"), F.lit(True).alias(s))
+    j = side(outputs_before, "old").join(side(outputs_after, "new"), [*at, "column"], "full")
+    # a relation has few columns, so a window over them is small
+    both = F.col("old") & F.col("new")
+    place = lambda s: F.row_number().over(Window.partitionBy(*at, both.isNotNull()).orderBy(f"{s}_at", "column"))
+    j = j.withColumn("was", place("old")).withColumn("now", place("new"))
+    same = F.col("old_digest").eqNullSafe(F.col("new_digest"))
+    j = j.withColumn("change", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~same | (F.col("was") != F.col("now")), "modified"))
+    reason = F.when(both & same, "moved").when(both, "digest")
+    return whole.unionByName(j.where("change is not null").select(*at, "change", "column", reason.alias("why")))
