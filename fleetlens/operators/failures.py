@@ -146,13 +146,6 @@ class SearchIndex:
         return found.select("query", "rank", *[c for c in self.items.columns if c != "haystack"])
 
 
-def search(items: DataFrame, text: str, most: int) -> DataFrame:
-    """The best matches of a name: equal, then begins with, then contains; ties by length and name."""
-    n, q = F.lower("name"), F.lit(text.lower())
-    score = F.when(n == q, 3).when(F.startswith(n, q), 2).when(F.contains(n, q), 1)
-    return items.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), F.length("name"), "name", "id").limit(most)
-
-
 def metric_closure(reads: DataFrame) -> DataFrame:
     """Everything that each metric reads, through metrics: ``reads([scope,] metric, reads)``; scopes stay apart."""
     from fleetlens.plans.fixpoint import fixpoint

@@ -74,3 +74,28 @@ def check_records(snapshots: DataFrame, heads: DataFrame) -> DataFrame:
     parts = [row(read.where("unreadable"), "snapshot_id", "unreadable"), row(read.where("differs is not null"), "snapshot_id", "inconsistent", F.col("differs"))]
     out = row(orphans, "snapshot_id", "broken_chain").unionByName(row(nowhere, "head", "head_missing")).unionByName(row(headless, "latest", "no_head"))
     return parts[0].unionByName(parts[1]).unionByName(out)
+
+
+def past_plan(run_nodes: DataFrame, before: DataFrame, after: DataFrame, parents: DataFrame) -> DataFrame:
+    """G24 in full: a past run's plan, from the states around it.
+
+    ``run_nodes(scope, run_id, node)``; ``before(scope, run_id, node, digest, components MAP)`` from the state before
+    each run, ``after(..., recorded_by)`` from the one that it left, where ``recorded_by`` is the run that built the
+    node; ``parents(scope, node, parent)`` as the project has them now. A node that both states have, that this very
+    run recorded, and whose digest differs, was built as its code changed: ``changed`` lists the components that
+    differ, came or went, ``was`` and ``now`` the digests. Of the others nothing tells the reason. Returns
+    ``scope, run_id, node, depends_on, action, reason, changed, was, now``, a row a node and run.
+    """
+    keys = ["scope", "run_id", "node"]
+    b = before.select(*keys, F.col("digest").alias("was"), F.col("components").alias("had"))
+    a = after.where(F.col("recorded_by") == F.col("run_id")).select(*keys, F.col("digest").alias("now"), F.col("components").alias("has"))
+    up = parents.groupBy(*AT).agg(F.array_sort(F.collect_set("parent")).alias("depends_on"))
+    other = F.array_sort(F.concat(
+        F.filter(F.map_keys("has"), lambda k: ~F.try_element_at("has", k).eqNullSafe(F.try_element_at("had", k))), F.filter(F.map_keys("had"), lambda k: ~F.map_contains_key("has", k)),
+    ))
+    differs = F.coalesce(F.col("was") != F.col("now"), F.lit(False))
+    j = run_nodes.select(*keys).distinct().join(b, keys, "left").join(a, keys, "left").join(up, AT, "left")
+    return j.select(
+        *keys, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"), F.lit("BUILD").alias("action"),
+        *[F.when(differs, c).alias(name) for name, c in (("reason", F.lit("code_changed")), ("changed", other), ("was", F.col("was")), ("now", F.col("now")))],
+    )

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def everything() -> dict[str, tuple[Query, str | None]]:
-    from fleetlens.queries import catalog, erd, failures, fold, graphs, health, history, keys, lineage, project, records, runs, scalars, sources, state
+    from fleetlens.queries import catalog, erd, failures, fold, graphs, health, history, keys, lineage, project, records, runs, scalars, semantic, simulation, sources, state
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (runs, fold, history, scalars, graphs, state, lineage, erd, health, failures, project, sources, keys, records, catalog):
+    for module in (runs, fold, history, scalars, graphs, state, lineage, erd, health, failures, project, sources, keys, records, catalog, simulation, semantic):
         out |= module.QUERIES
     return out

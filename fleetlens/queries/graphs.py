@@ -183,13 +183,24 @@ def a14(spark, sf):
     return G.plan_counts(g12(spark, sf))
 
 
-@query("g13_reuse_candidates")
+# The same nodes, with relations that aren't looked at and nothing refreshed in full.
+FREE = f"SELECT * REPLACE (false AS full_refresh, 'present' AS relation) FROM ({NODES})"
+
+
+@query("g13_reuse_candidates", oracle(PLAN.replace(NODES, FREE) + "SELECT scope, node FROM planned WHERE action = 'REUSE'", "dag_nodes", "dag_edges"))
 def g13(spark, sf):
     n, e = planner(spark, sf)
     return G.reuse_candidates(n, e, F.expr(NOW))
 
 
-@query("g14_explain")
+ROOTS = PLAN + """, b AS (SELECT scope, node, reason FROM planned WHERE action = 'BUILD'),
+ ca AS (SELECT DISTINCT e.scope, e.child AS node, e.parent AS cause FROM e JOIN b c ON c.scope = e.scope AND c.node = e.child JOIN b p ON p.scope = e.scope AND p.node = e.parent WHERE (c.reason = 'upstream_full_refresh' AND p.reason = 'full_refresh_requested') OR c.reason = 'new_upstream_data'
+  OR (c.reason = 'upstream_code_changed' AND p.reason IN ('never_built', 'code_evidence_incomplete', 'code_changed', 'upstream_code_changed', 'unknown_dependency'))),
+ wk AS (SELECT scope, node, node AS at_ FROM b UNION SELECT wk.scope, wk.node, ca.cause FROM wk JOIN ca ON ca.scope = wk.scope AND ca.node = wk.at_)
+ SELECT wk.scope, wk.node, at_ AS root, b.reason AS root_reason FROM wk JOIN b ON b.scope = wk.scope AND b.node = at_ WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.scope = wk.scope AND ca.node = wk.at_)"""
+
+
+@query("g14_explain", oracle(ROOTS, "dag_nodes", "dag_edges"))
 def g14(spark, sf):
     _, e = planner(spark, sf)
     return G.explain(g12(spark, sf), e)

@@ -171,7 +171,12 @@ def g10(spark, sf):
     return L.breaks(*break_parts(spark, sf))
 
 
-@query("g11_simulate")
+VERDICTS = IMP + BRK[len(IMP.split(", st AS")[0]) :].replace("\n SELECT node, 'broken'", ", vd AS (SELECT node, 'broken'") + """),
+ im AS (SELECT rel AS node, bool_or(k = 'rows') AS rows_change, bool_or(k = 'modified') AS values_change FROM (SELECT * FROM ch EXCEPT SELECT relation, "column", CASE CAST(relation AS BIGINT) % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END FROM seeds) GROUP BY rel)
+ SELECT node, CASE WHEN verdict IS NOT NULL THEN verdict WHEN rows_change THEN 'rows_change' WHEN values_change THEN 'values_change' ELSE 'gains_columns' END AS verdict FROM im FULL JOIN vd USING (node)"""
+
+
+@query("g11_simulate", VERDICTS)
 def g11(spark, sf):
     p = impact_parts(spark, sf)
     return L.simulate(p[0], L.impact(*p), L.breaks(*break_parts(spark, sf)))
