@@ -6,12 +6,16 @@ candidate if nearly all its training documents are toxic, and enough of them, co
 distinct sketch so that copies of one document count once. A greedy cover picks voters until
 none explains ``MIN_GAIN`` more toxic documents.
 
-*Label model.* A two-class mixture in which each voter fires with a class's own rate. EM
-estimates the rates and the class share from votes, starting at the training labels; the label
-itself is one more voter, whose accuracy is estimated too. Voters that fire together more often within a class than their rates explain are correlated; each
-voter's evidence is divided by the number of voters it is correlated with, itself included.
+Three more voters look at all of these at once: *silence*, where none fires, and *sparse*, where few words of
+the text do, vote for clean; *dense*, where many do, votes for toxic.
 
-*Classifier.* Logistic regression of the posterior labels on the voters' counts (logarithms),
+*Label model.* A two-class mixture in which each voter fires with a class's own rate; that one doesn't fire is
+evidence too, by the same rates. EM estimates the rates from votes alone: the labels give it a start, the share
+of toxic rows, and in the end a calibration (a logistic curve from its log odds), but no vote. Voters that fire
+together more often within a class than their rates explain are correlated; each voter's evidence is divided by
+the number of voters it is correlated with, itself included.
+
+*Classifier.* Logistic regression of the calibrated posteriors on the voters' counts (logarithms),
 the number of voters that fire, and the share of words that fire. It scores every whole text in
 one pass: an Aho-Corasick automaton finds the voters, so the cost doesn't grow with their number.
 The same function counts in the training sample and in scoring, so short and long texts are
@@ -41,6 +45,10 @@ STEMS = (4, 5, 6)
 MOST_CANDIDATES = 5000
 MOST_VOTERS = 400
 FOLDS = 5
+#: Shares of a text's words that fire: below the first the sparse voter fires, from the second on the dense one.
+SPARSE, DENSE = 0.001, 0.004
+#: Correlation within a class from which on two voters share their evidence.
+CORRELATED = 0.5
 SPACES = " \n\t"
 
 
@@ -131,34 +139,42 @@ def observed(sample: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarr
     return counts, np.array([r["words"] for r in rows], dtype=np.float64), np.array([r["y"] for r in rows], dtype=np.float64)
 
 
+def votes_of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The votes of each row: of every word and stem, then of silence, sparse and dense."""
+    share = counts.sum(axis=1) / np.maximum(words, 1)
+    return np.column_stack([counts > 0, (counts > 0).sum(axis=1) == 0, share < SPARSE, share >= DENSE]).astype(np.float64)
+
+
+def correlated(votes: np.ndarray, weights: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """With how many voters each fires together within a class beyond what rates explain, itself included."""
+    most = np.zeros((votes.shape[1],) * 2)
+    for w, r in zip(weights, rates, strict=True):
+        centred = (votes - r) * np.sqrt(w)[:, None]
+        cov = centred.T @ centred / max(w.sum(), 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        most = np.maximum(most, cov / sd[:, None] / sd[None, :])
+    np.fill_diagonal(most, 0)
+    return 1 + (most > CORRELATED).sum(axis=1)
+
+
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, the rates by class of the voters and (last) of the label, and correlations.
+    """Calibrated posterior of each row, the voters' rates by class (clean, toxic), and their correlations.
 
-    The training label is the last voter: its rates, hence its accuracy, are estimated like the
-    others'. The correlations are the number of voters each is correlated with, itself included.
+    The labels ``y`` aren't votes: they start EM, give the share of toxic rows, and calibrate.
     """
-    votes = np.column_stack([votes, y])
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     post = np.where(y > 0.5, 0.95, 0.05)
-    count = np.ones(votes.shape[1])
-    rates = np.zeros((2, votes.shape[1]))
-    for turn in range(rounds):
-        share = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+    count = odds = rates = None
+    for _ in range(rounds):
         w = np.stack([1 - post, post])
         rates = np.clip((w @ votes + 0.05) / (w.sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
-        if turn in (0, 5):
-            excess = np.zeros((votes.shape[1],) * 2)
-            for k in (0, 1):
-                centred = (votes - rates[k]) * np.sqrt(w[k])[:, None]
-                cov = centred.T @ centred / max(w[k].sum(), 1)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                excess = np.maximum(excess, cov / sd[:, None] / sd[None, :])
-            count = 1 + (excess - np.eye(len(excess)) > 0.5).sum(axis=1)
-            count[-1] = 1
-        fire = np.log(rates[1] / rates[0]) / count
-        still = np.log((1 - rates[1]) / (1 - rates[0])) / count
-        logit = np.log(share / (1 - share)) + votes @ fire + (1 - votes) @ still
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, count
+        if count is None:
+            count = correlated(votes, w, rates)
+        fire, still = np.log(rates[1] / rates[0]) / count, np.log((1 - rates[1]) / (1 - rates[0])) / count
+        odds = np.clip(np.log(share / (1 - share)) + votes @ fire + (1 - votes) @ still, -30, 30)
+        post = 1 / (1 + np.exp(-odds))
+    slope, shift = fit_linear(odds[:, None], y)
+    return 1 / (1 + np.exp(-np.clip(odds * slope[0] + shift, -30, 30))), rates, count
 
 
 def inputs_of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -194,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not voters:
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return Model([], np.zeros(2), float(np.log(share / (1 - share))))
-    post, rates, groups = label_model((counts > 0).astype(np.float64), y)
+    post, rates, groups = label_model(votes_of(counts, words), y)
     weights, bias = fit_linear(inputs_of(counts, words), post)
     return Model(voters, weights, bias, rates, groups)
 
