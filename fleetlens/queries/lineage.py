@@ -186,7 +186,7 @@ ONE = "SELECT '40' AS relation, 'c1' AS column"
 
 
 @query("g27_downstream_uses", BASE + """, n AS (SELECT DISTINCT from_relation || '.' || from_column AS at_, CASE WHEN to_column IS NULL THEN node || '.*' ELSE node || '.' || to_column END AS nx, to_column IS NULL AS ends FROM e),
- p AS (SELECT '40.c1' AS at_, ['40.c1'] AS path, false AS ends UNION ALL SELECT n.nx, list_append(path, n.nx), n.ends FROM p JOIN n USING (at_) WHERE NOT p.ends AND NOT list_contains(path, n.nx) AND len(path) <= 12) SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS steps FROM p WHERE len(path) > 1""")
+ p AS (SELECT '40.c1' AS at_, ['40.c1'] AS path, false AS ends UNION ALL SELECT n.nx, list_append(path, n.nx), n.ends FROM p JOIN n USING (at_) WHERE NOT p.ends AND NOT list_contains(path, n.nx)) SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS steps FROM p WHERE len(path) > 1""")
 def g27(spark, sf):
     _, e, _ = graph(spark, sf)
     return L.downstream_uses(spark.sql(ONE), e)

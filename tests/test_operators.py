@@ -237,3 +237,19 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     q = journals.follow(journals.unreadable_lines(lines), "bad", "complete")
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from bad").collect()] == [("p1", 1)]
+
+
+def test_downstream_uses_equal_their_sql_on_long_paths(spark, tmp_path):
+    import duckdb
+
+    key, column, keys = 40, 1, []
+    while len(keys) < 15:  # one reader after the other, over the rule by which a part reads its half
+        key, column = next((k, i) for k in (2 * key, 2 * key + 1) for i in (0, 1) if (k + i) % 3 == column)
+        keys.append(key)
+    duckdb.sql(f"COPY (SELECT unnest({keys}::BIGINT[]) AS p_partkey) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "labels"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    query, sql = everything()["g27_downstream_uses"]
+    got = rows(query(spark, str(tmp_path)), "path", "steps")
+    assert got == sorted(duckdb.sql(sql.replace("FROM part ", f"FROM '{tmp_path}/part.parquet' ")).fetchall())
+    assert max(steps for _, steps in got) > 13
