@@ -187,7 +187,11 @@ CAUSED = ["upstream_code_changed", "upstream_full_refresh", "new_upstream_data"]
 
 
 def explain(planned: DataFrame, edges: DataFrame) -> DataFrame:
-    """For every BUILD, the root causes that it traces back to through parents that can cause it."""
+    """For every BUILD, the root causes that it traces back to through parents that can cause it.
+
+    Root causes go from cause to caused, so that a row is a node with one of its roots, never a node with all
+    that lies between.
+    """
     b = cut(planned.where("action = 'BUILD'").select(*ID, "reason"))
     cause = edges.select("scope", F.col("parent").alias("cause"), F.col("child").alias("node")).distinct()
     cause = cause.join(b.select(*ID, "reason"), ID).where(F.col("reason").isin(*CAUSED))
@@ -195,10 +199,9 @@ def explain(planned: DataFrame, edges: DataFrame) -> DataFrame:
     cause = cause.join(b.select("scope", F.col("node").alias("cause"), F.col("reason").alias("why")), ["scope", "cause"])
     fits = (F.col("reason") == "upstream_code_changed") & causes_code | (F.col("reason") == "upstream_full_refresh") & (F.col("why") == "full_refresh_requested") | (F.col("reason") == "new_upstream_data")
     cause = cut(cause.where(fits).select("scope", "node", "cause"))
-    seed = b.select("scope", "node", F.col("node").alias("at"))
-    walk = fixpoint(seed, lambda f: f.join(cause.select("scope", F.col("node").alias("at"), "cause"), ["scope", "at"]).select("scope", "node", F.col("cause").alias("at")), ["scope", "node", "at"])
-    roots = walk.join(cause.select("scope", F.col("node").alias("at")).distinct(), ["scope", "at"], "left_anti")
-    return roots.join(b.select("scope", F.col("node").alias("at"), F.col("reason").alias("root_reason")), ["scope", "at"]).select("scope", "node", F.col("at").alias("root"), "root_reason")
+    roots = b.join(cause.select(*ID).distinct(), ID, "left_anti").select(*ID, F.col("node").alias("root"), F.col("reason").alias("root_reason"))
+    down = lambda f: f.withColumnRenamed("node", "cause").join(cause, ["scope", "cause"]).select(*ID, "root", "root_reason")
+    return fixpoint(roots, down, [*ID, "root"])
 
 
 def split_retry(planned: DataFrame, edges: DataFrame, retry: DataFrame, buildable: DataFrame) -> DataFrame:

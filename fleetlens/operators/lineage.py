@@ -97,12 +97,20 @@ def reaches(seeds: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame
 
 @scoped
 def value_sources(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """The columns that values come from at last: inputs over direct edges that have none themselves."""
+    """The columns that values come from at last: inputs over direct edges that have none themselves.
+
+    First the columns above the seeds, each once; then their last inputs, from the top down. So a row is a
+    column with one of its last inputs, never a seed with all that lies between.
+    """
     e = cut(edges.where("to_column is not null").select(F.col("from_relation").alias("r"), F.col("from_column").alias("c"), F.col("node").alias("relation"), F.col("to_column").alias("column")).distinct())
-    keys = ["seed", "relation", "column"]
-    seed = seeds.select(F.concat_ws(".", "relation", "column").alias("seed"), "relation", "column")
-    up = fixpoint(seed, lambda f: f.join(e, ["relation", "column"]).select("seed", F.col("r").alias("relation"), F.col("c").alias("column")), keys)
-    return up.join(e.select("relation", "column").distinct(), ["relation", "column"], "left_anti").where(F.col("seed") != F.concat_ws(".", "relation", "column")).select(*keys)
+    at, up = ["relation", "column"], F.struct(F.col("r").alias("relation"), F.col("c").alias("column"))
+    above = cut(fixpoint(seeds.select(*at), lambda f: f.join(e, at).select(up.alias("x")).select("x.*"), at))
+    e = cut(e.join(above, at, "left_semi"))
+    last = above.join(e.select(*at), at, "left_anti").select(*at, F.col("relation").alias("from_relation"), F.col("column").alias("from_column"))
+    below = lambda f: f.withColumnsRenamed({"relation": "r", "column": "c"}).join(e, ["r", "c"]).select(*at, "from_relation", "from_column")
+    found = fixpoint(last, below, [*at, "from_relation", "from_column"]).join(seeds.select(*at).distinct(), at)
+    found = found.where((F.col("relation") != F.col("from_relation")) | (F.col("column") != F.col("from_column")))
+    return found.select(F.concat_ws(".", "relation", "column").alias("seed"), F.col("from_relation").alias("relation"), F.col("from_column").alias("column")).distinct()
 
 
 @scoped

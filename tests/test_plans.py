@@ -127,3 +127,54 @@ def test_search_terms_against_a_scan(spark):
         hits = [(not (h or "").lower().startswith(t), len(lab or ""), lab or "", i) for i, lab, h in items if t and all(x in (h or "").lower() for x in t.split())]
         want += [(q, r, h[3]) for r, h in enumerate(sorted(hits)[:5], 1)]
     assert sorted((r["query"], r["rank"], r["item"]) for r in got.collect()) == sorted(want)
+
+
+def test_value_sources_keep_no_pairs_of_seeds_and_what_lies_between(spark, monkeypatch):
+    from fleetlens.operators import lineage
+    from fleetlens.plans import fixpoint as plans
+
+    largest = []
+    monkeypatch.setattr(plans, "cut", lambda df, cut=plans.cut: (largest.append(df.count()), cut(df))[1])
+    # twenty seeds over one chain of thirteen columns: 260 pairs of a seed and what lies between
+    edges = [(f"n{i}", "c", f"n{i + 1}", "c") for i in range(12)] + [("n12", "c", f"s{i}", "c") for i in range(20)]
+    e = spark.createDataFrame(edges, "from_relation string, from_column string, node string, to_column string")
+    seeds = spark.createDataFrame([(f"s{i}", "c") for i in range(20)], "relation string, column string")
+    got = {tuple(r) for r in lineage.value_sources(seeds, e).select("seed", "relation", "column").collect()}
+    assert got == {(f"s{i}.c", "n0", "c") for i in range(20)}
+    assert sum(largest) < 200
+
+
+def test_explain_keeps_no_pairs_of_nodes_and_what_lies_between(spark, monkeypatch):
+    from fleetlens.operators import graphs
+    from fleetlens.plans import fixpoint as plans
+
+    rows = []
+    monkeypatch.setattr(plans, "cut", lambda df, cut=plans.cut: (rows.append(df.count()), cut(df))[1])
+    plan = [("s", 0, "BUILD", "code_changed")] + [("s", i, "BUILD", "upstream_code_changed") for i in range(1, 13)]
+    planned = spark.createDataFrame(plan, "scope string, node long, action string, reason string")
+    edges = spark.createDataFrame([("s", i, i + 1) for i in range(12)], "scope string, parent long, child long")
+    got = {tuple(r) for r in graphs.explain(planned, edges).select("node", "root", "root_reason").collect()}
+    assert got == {(i, 0, "code_changed") for i in range(13)}
+    assert sum(rows) < 50  # 91 pairs of a node and what it traces back through
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_fixpoints_and_layers_are_the_same_however_frontiers_are_joined(spark, monkeypatch, most):
+    from fleetlens.plans import fixpoint as plans
+
+    monkeypatch.setattr(plans, "NEAR", most)
+    edges = [(a, b) for a in range(40) for b in (2 * a, 2 * a + 1, 3 * a + 2) if b < 40 and a != b] + [(39, 3), (50, 51)]
+    e = spark.createDataFrame([("s", *x) for x in edges], "scope string, parent long, child long")
+    n = spark.createDataFrame([("s", i) for i in range(40)], "scope string, node long")
+    seed = spark.createDataFrame([("s", 5)], "scope string, node long")
+    step = lambda f: f.join(e.withColumnRenamed("parent", "node"), ["scope", "node"]).select("scope", F.col("child").alias("node"))
+    seen = {5}
+    while more := {b for a, b in edges if a in seen} - seen:
+        seen |= more
+    assert {r["node"] for r in plans.fixpoint(seed, step, ["scope", "node"]).collect()} == seen
+    inner = [(a, b) for a, b in edges if b < 40 and a < 40]
+    depth, left, at = {}, set(range(40)), 0
+    while ready := {x for x in left if not any(b == x and a in left for a, b in inner)}:
+        depth |= dict.fromkeys(ready, at)
+        left, at = left - ready, at + 1
+    assert {r["node"]: r["depth"] for r in plans.layers(n, e).collect()} == depth
