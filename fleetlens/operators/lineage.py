@@ -123,6 +123,26 @@ def lineage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("node", "column", change.alias("change")).where("change is not null")
 
 
+def reader_marks(readers: DataFrame, wildcards: DataFrame, uses: DataFrame) -> DataFrame:
+    """``readers(relation, node, blind)`` with ``star`` (reads it by ``*``) and ``shaped`` (shapes rows by it), once for all rounds."""
+    at = ["relation", "node"]
+    star = wildcards.select(*at).distinct().withColumn("star", F.lit(True))
+    shaped = uses.where("to_column is null").select(*at).distinct().withColumn("shaped", F.lit(True))
+    marked = readers.join(star, at, "left").join(shaped, at, "left")
+    return cut(marked.select(*at, "blind", F.col("star").isNotNull().alias("star"), F.col("shaped").isNotNull().alias("shaped")))
+
+
+def column_origins(uses: DataFrame) -> DataFrame:
+    """Of each node and column name the first and last relation that the node takes it from."""
+    return cut(uses.groupBy("node", "column").agg(F.min("relation").alias("first"), F.max("relation").alias("last")))
+
+
+def taken_elsewhere(added: DataFrame, changes: DataFrame, origins: DataFrame) -> DataFrame:
+    """The rows of ``added(relation, column, node)``, from ``changes``, whose node takes that column name from another relation too."""
+    named = origins.join(changes.where("kind = 'added'").select("column").distinct(), "column", "left_semi")
+    return added.join(named, ["node", "column"]).where("first <> relation or last <> relation")
+
+
 @scoped
 def impact(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: DataFrame, opaque: DataFrame) -> DataFrame:
     """What changes reach, with the reason: column, rows, wildcard, name_capture or opaque.
@@ -132,7 +152,9 @@ def impact(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: D
     Each distinct change is followed once; every round joins the frontier with the five rules.
     Returns ``(relation, column, kind, reason)``: the changes at each node, reason of the first round.
     """
-    uses, readers, wildcards, opaque = cut(uses.distinct()), cut(readers.distinct()), cut(wildcards.distinct()), cut(opaque.distinct())
+    dark = opaque.select("node").distinct()
+    readers = reader_marks(readers.join(dark.withColumn("blind", F.lit(True)), "node", "left").select("relation", "node", F.col("blind").isNotNull().alias("blind")).distinct(), wildcards, uses)
+    hits, other = cut(uses.select("relation", "column", "node", "to_column").distinct().join(dark, "node", "left_anti")), column_origins(uses)
     none = F.lit("")
     seed = changes.select("relation", F.coalesce("column", none).alias("column"), "kind", F.lit("seed").alias("reason"))
     row = lambda d, reason: d.select(F.col("node").alias("relation"), none.alias("column"), F.lit("rows").alias("kind"), F.lit(reason).alias("reason"))
@@ -140,14 +162,12 @@ def impact(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: D
     def step(f: DataFrame) -> DataFrame:
         f = f.select("relation", "column", "kind")
         read = f.join(readers, "relation")
-        blind = row(read.join(opaque, "node", "left_semi"), "opaque")
-        clear = read.join(opaque, "node", "left_anti")
+        blind, clear = row(read.where("blind"), "opaque"), read.where("not blind")
         rows = row(clear.where("kind = 'rows'"), "rows")
         added = clear.where("kind = 'added'")
-        star = added.join(wildcards, ["relation", "node"], "left_semi").select(F.col("node").alias("relation"), "column", "kind", F.lit("wildcard").alias("reason"))
-        other = uses.select("node", "column", F.col("relation").alias("via"))
-        capture = row(added.join(other, ["node", "column"]).where("via <> relation"), "name_capture")
-        hit = f.where("kind in ('removed', 'modified')").join(uses, ["relation", "column"]).join(opaque, "node", "left_anti")
+        star = added.where("star").select(F.col("node").alias("relation"), "column", "kind", F.lit("wildcard").alias("reason"))
+        capture = row(taken_elsewhere(added, f, other), "name_capture")
+        hit = f.where("kind in ('removed', 'modified')").join(hits, ["relation", "column"])
         value = hit.where("to_column is not null").select(F.col("node").alias("relation"), F.col("to_column").alias("column"), F.lit("modified").alias("kind"), F.lit("column").alias("reason"))
         shaped = row(hit.where("to_column is null"), "column")
         found = blind.unionByName(rows).unionByName(star).unionByName(capture).unionByName(value).unionByName(shaped)

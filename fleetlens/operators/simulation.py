@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.lineage import breaks
+from fleetlens.operators.lineage import breaks, column_origins, reader_marks, taken_elsewhere
 from fleetlens.plans.fixpoint import fixpoint
 from fleetlens.plans.scopes import by_scope
 from fleetlens.plans.shared import cut
@@ -35,8 +35,8 @@ def engine_changes(proposed: DataFrame, nodes: DataFrame, outputs: DataFrame) ->
     return changes.distinct(), gone.select(F.col("node").alias("relation"), "column").distinct()
 
 
-def _effects(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards: DataFrame) -> DataFrame:
-    """What changes do to their readers, one step on: ``relation, column, kind, reason, upstream``."""
+def _effects(changes: DataFrame, hits: DataFrame, readers: DataFrame, origins: DataFrame) -> DataFrame:
+    """What changes do to their readers, one step on: ``relation, column, kind, reason, upstream``; ``hits`` are the uses by readers that aren't blind."""
 
     def at(d: DataFrame, kind, reason: str, column: Column | None = None) -> DataFrame:
         what = F.struct(F.lit("").alias("column") if column is None else column.alias("column"), kind.alias("kind"), F.lit(reason).alias("reason"))
@@ -46,14 +46,12 @@ def _effects(changes: DataFrame, uses: DataFrame, readers: DataFrame, wildcards:
     read = changes.join(readers, "relation")
     clear = read.where("not blind")
     added = clear.where("kind = 'added'")
-    star = added.join(wildcards, ["relation", "node"], "left_semi")
-    shapes = uses.where("to_column is null").select("relation", "node").distinct()
-    other = uses.select("node", "column", F.col("relation").alias("via")).distinct()
-    hit = changes.where("kind in ('removed', 'modified')").join(uses, ["relation", "column"]).join(readers.where("not blind"), ["relation", "node"], "left_semi")
+    star = added.where("star")
+    hit = changes.where("kind in ('removed', 'modified')").join(hits, ["relation", "column"])
     found = [
         at(read.where("blind"), rows, "opaque"), at(clear.where("kind = 'rows'"), rows, "rows"),
-        at(star, F.lit("added"), "wildcard", F.col("column")), at(star.join(shapes, ["relation", "node"], "left_semi"), rows, "wildcard"),
-        at(added.join(other, ["node", "column"]).where("via <> relation"), rows, "name_capture"),
+        at(star, F.lit("added"), "wildcard", F.col("column")), at(star.where("shaped"), rows, "wildcard"),
+        at(taken_elsewhere(added, changes, origins), rows, "name_capture"),
         at(hit, F.when(F.col("to_column").isNull(), "rows").otherwise("modified"), "column", F.coalesce("to_column", F.lit(""))),
     ]
     out = found[0]
@@ -86,11 +84,13 @@ def simulate_changes(
     sql = reads.select("relation", "node").distinct()
     only = declared.select("relation", "node").distinct().join(sql, ["relation", "node"], "left_anti")
     readers = sql.withColumn("blind", F.lit(False)).unionByName(only.withColumn("blind", F.lit(True))).join(opaque.withColumn("dark", F.lit(True)), "node", "left")
-    readers = cut(readers.select("relation", "node", (F.col("blind") | F.col("dark").isNotNull()).alias("blind")))
+    readers = readers.select("relation", "node", (F.col("blind") | F.col("dark").isNotNull()).alias("blind"))
     uses, wildcards = cut(uses.select("relation", "column", "node", "to_column").distinct()), cut(wildcards.select("relation", "node").distinct())
 
-    everything = cut(fixpoint(changes.select(*CHANGE), lambda f: _effects(f, uses, readers, wildcards).select(*CHANGE), CHANGE))
-    reasons = cut(_effects(everything, uses, readers, wildcards))
+    readers, origins = reader_marks(readers, wildcards, uses), column_origins(uses)
+    hits = cut(uses.join(readers.where("not blind"), ["relation", "node"], "left_semi"))
+    everything = cut(fixpoint(changes.select(*CHANGE), lambda f: _effects(f, hits, readers, origins).select(*CHANGE), CHANGE))
+    reasons = cut(_effects(everything, hits, readers, origins))
     dark = reasons.select(F.col("relation").alias("node")).distinct().join(opaque, "node", "left_semi").select(F.col("node").alias("upstream"), F.lit(True).alias("dark"))
     by_dark = (F.col("reason") == "rows") & F.col("dark").isNotNull()
     reached = reasons.join(dark, "upstream", "left").groupBy(F.col("relation").alias("node")).agg(
@@ -116,7 +116,7 @@ def simulate_changes(
         F.coalesce("rows_changed", F.lit(False)).alias("rows_changed"), columns.alias("columns"), F.coalesce("how", F.array().cast("array<string>")).alias("how"),
     ))
     changed = everything.groupBy("relation").agg(F.array_sort(F.collect_set(F.when(F.col("column") != "", F.col("column")))).alias("columns"))
-    alone = changed.join(readers, "relation").join(must.select("node"), "node", "left_anti").select("node", F.col("relation").alias("upstream"), "columns")
+    alone = changed.join(readers.select("relation", "node"), "relation").join(must.select("node"), "node", "left_anti").select("node", F.col("relation").alias("upstream"), "columns")
     return must, alone
 
 
