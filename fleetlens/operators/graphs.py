@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.plans.fixpoint import fixpoint, layers
-from fleetlens.plans.shared import cut
+from fleetlens.plans.shared import Scratch, cut
 from fleetlens.plans.strong import strong_components
 
 ID = ["scope", "node"]
@@ -119,31 +119,34 @@ def plan(nodes: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
     unverified, unchecked), ``checks_required``; ``source_inputs`` and ``source_new``,
     ``source_bad`` count its source inputs, those with new data and those without usable
     evidence. ``edges(scope, parent, child, recorded)``: whether the parent's run that the child
-    read is on record. Rules that need parents are applied a level at a time: a level joins the
-    decisions of the level's parents once and aggregates them by child.
+    read is on record. Rules that need parents are applied a level at a time. A level's decisions go along
+    the edges to the children once and are kept as counts by child, in folders by the child's level; nodes and
+    edges are in folders by level too, so a level reads what is its own.
     """
+    scratch = Scratch(nodes.sparkSession)
     depth = cut(layers(nodes, edges))
-    n = cut(nodes.join(depth, ID))
-    e = cut(edges.select("scope", "parent", "child", "recorded").dropDuplicates(["scope", "parent", "child"]))
+    spread = lambda d, by, *keys: d.repartition(by, F.pmod(F.xxhash64(*keys), F.lit(16)))  # noqa: E731  # few files a level
+    e = edges.select("scope", "parent", "child", "recorded").dropDuplicates(["scope", "parent", "child"])
     e = e.join(nodes.select("scope", F.col("node").alias("parent"), F.lit(True).alias("known")), ["scope", "parent"], "left")
-    e = cut(e.join(depth.withColumnRenamed("node", "child"), ["scope", "child"]))  # an edge is settled in its child's level
+    e = e.join(depth.select("scope", F.col("node").alias("child"), F.col("depth").alias("child_depth")), ["scope", "child"])
+    e = cut(e.join(depth.select("scope", F.col("node").alias("parent"), "depth"), ["scope", "parent"], "left"))
+    alone = e.groupBy("scope", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("parents"), F.coalesce(F.bool_or(F.col("known").isNull()), F.lit(False)).alias("unknown_parent"))
+    n = scratch.table(spread(nodes.join(depth, ID).join(alone, ID, "left"), "depth", *ID), "nodes", "depth")
+    e = scratch.table(spread(e.where("depth is not null").select("scope", "parent", "child", "recorded", "child_depth", "depth"), "depth", "scope", "parent"), "edges", "depth")
     deepest = depth.agg(F.max("depth")).first()[0]
-    decided = None
+    decided, sent = None, []
     for level in range((deepest if deepest is not None else -1) + 1):
         here = n.where(F.col("depth") == level)
-        own = e.where(F.col("depth") == level).drop("depth")
-        if decided is None:
-            seen = own.select("scope", F.col("child").alias("node"), "known", "recorded", F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("reason"))
+        counts = ["code_parents", "refreshed_parents", "new_parents", "bad_parents"]
+        if sent:
+            met = sent[0].where(F.col("child_depth") == level)
+            for s in sent[1:]:
+                met = met.unionByName(s.where(F.col("child_depth") == level))
+            here = here.join(met.groupBy(*ID).agg(*[F.sum(c).alias(c) for c in counts]), ID, "left")
         else:
-            seen = own.join(decided.select("scope", F.col("node").alias("parent"), "action", "reason"), ["scope", "parent"], "left").select("scope", F.col("child").alias("node"), "known", "recorded", "action", "reason")
-        builds = F.col("action") == "BUILD"
-        per = seen.groupBy(*ID).agg(
-            F.count(F.lit(1)).alias("parents"), F.coalesce(F.bool_or(F.col("known").isNull()), F.lit(False)).alias("unknown_parent"),
-            F.coalesce(F.bool_or(builds & F.col("reason").isin(*CODE_REASONS)), F.lit(False)).alias("code_parent"),
-            F.coalesce(F.bool_or(F.col("reason") == "full_refresh_requested"), F.lit(False)).alias("refreshed_parent"),
-            F.count_if(builds).alias("new_parents"), F.coalesce(F.bool_or((F.col("action") == "REUSE") & ~F.col("recorded")), F.lit(False)).alias("bad_parent"),
-        )
-        j = here.join(per, ID, "left").fillna(0, ["parents", "new_parents"]).fillna(False, ["unknown_parent", "code_parent", "refreshed_parent", "bad_parent"])
+            here = here.withColumns({c: F.lit(None).cast("long") for c in counts})
+        j = here.fillna(0, ["parents", *counts]).fillna(False, ["unknown_parent"])
+        j = j.withColumns({c.removesuffix("s"): F.col(c) > 0 for c in counts if c != "new_parents"})
         inputs = F.col("parents") + F.col("source_inputs")
         new = F.col("new_parents") + F.col("source_new")
         reason = (
@@ -166,6 +169,14 @@ def plan(nodes: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
         out = j.withColumn("reason", reason).withColumn("reason", after)  # the action follows the final reason
         out = cut(out.select(*ID, F.when(reuse, "REUSE").otherwise("BUILD").alias("action"), "reason", "depth"))
         decided = out if decided is None else decided.unionByName(out)
+        builds = F.col("action") == "BUILD"
+        told = e.where(F.col("depth") == level).drop("depth").join(out.select("scope", F.col("node").alias("parent"), "action", "reason"), ["scope", "parent"])
+        told = told.groupBy("scope", F.col("child").alias("node"), "child_depth").agg(
+            F.count_if(builds & F.col("reason").isin(*CODE_REASONS)).alias("code_parents"), F.count_if(F.col("reason") == "full_refresh_requested").alias("refreshed_parents"),
+            F.count_if(builds).alias("new_parents"), F.count_if((F.col("action") == "REUSE") & ~F.col("recorded")).alias("bad_parents"),
+        )
+        if level < deepest:
+            sent.append(scratch.table(told, f"told-{level}", "child_depth"))
     if decided is None:
         return nodes.select(*ID, F.lit("").alias("action"), F.lit("").alias("reason"), F.lit(0).alias("depth")).limit(0)
     return decided

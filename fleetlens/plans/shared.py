@@ -55,11 +55,11 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens/{uuid.uuid4().hex}"
         self.version: dict[str, int] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back; then delete what ``name`` held before."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df``, in folders ``by`` a column if one is given, and read it back; then delete what ``name`` held before."""
         last = self.version.get(name, -1)
         path = f"{self.root}/{name}-{last + 1}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         self.drop(name)
         self.version[name] = last + 1
         return self.spark.read.schema(df.schema).parquet(path)
