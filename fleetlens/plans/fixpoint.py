@@ -15,8 +15,8 @@ NEAR = 50_000
 
 
 def near(frontier: DataFrame, rows: int) -> DataFrame:
-    """``frontier``, which has so many rows, as a side to be broadcast if they are few."""
-    return F.broadcast(frontier) if rows <= NEAR else frontier
+    """``frontier``, which has so many rows, as a side to be broadcast if they are few, and else never: Spark goes by compressed bytes."""
+    return F.broadcast(frontier) if rows <= NEAR else frontier.hint("merge")
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_iter: int = 1000) -> DataFrame:
@@ -30,14 +30,14 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
     seen, rows = frontier, frontier.count()
     for _ in range(max_iter):
         came = step(near(frontier, rows)).dropDuplicates(keys).select(*seen.columns)
-        known = seen.select(*keys)
+        known = seen.select(*keys).hint("merge")
         if rows <= NEAR:
             came = cut(came)
             rows = came.count()
             if not rows:
                 return seen
             if rows <= NEAR:
-                known = F.broadcast(known.join(near(came.select(*keys), rows), keys, "left_semi"))
+                known = F.broadcast(seen.select(*keys).join(near(came.select(*keys), rows), keys, "left_semi"))
         new = cut(came.join(known, keys, "left_anti").select(*seen.columns))
         rows = new.count()
         if not rows:
