@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import error_category
-from fleetlens.plans.shared import table
+from fleetlens.plans.fixpoint import fixpoint, near
+from fleetlens.plans.shared import cut, table
 
 #: Characters of a key by which phrases and messages meet.
 GRAM = 3
@@ -139,7 +140,9 @@ class SearchIndex:
         of_term = lambda t: F.when(F.length(t) >= GRAM, grams(t)).otherwise(F.array(t))
         keys = q.select("query", F.explode(F.flatten(F.transform("terms", of_term))).alias("gram")).distinct().join(self.sizes, "gram", "left")
         rare = keys.groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-        met = rare.join(self.postings, "gram").join(q, "query").join(self.items, "item")
+        asked = cut(rare.join(q, "query"))
+        # few queries go to the postings, so that no task gathers all postings of one substring
+        met = near(asked, asked.count()).join(self.postings, "gram").join(self.items, "item")
         met = met.where(F.forall("terms", lambda t: F.contains(F.col("haystack"), t))).withColumn("prefix", F.startswith("haystack", "text"))
         w = Window.partitionBy("query").orderBy(F.desc("prefix"), F.length("label"), "label", "item")
         found = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
@@ -148,9 +151,6 @@ class SearchIndex:
 
 def metric_closure(reads: DataFrame) -> DataFrame:
     """Everything that each metric reads, through metrics: ``reads([scope,] metric, reads)``; scopes stay apart."""
-    from fleetlens.plans.fixpoint import fixpoint
-    from fleetlens.plans.shared import cut
-
     within = ["scope"] if "scope" in reads.columns else []
     e = cut(reads.select(*within, F.col("metric").alias("at"), F.col("reads").alias("next")).distinct())
     seed = reads.select(*within, "metric", F.col("reads").alias("at"))
