@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.plans.shared import Scratch
 
 ID = ["scope", "node"]
 CHECKED = 8
+#: A row of a bitmap: so many words of 64 bits. Short rows cost a task little memory where few bits are set.
+WORDS = [f"w{i}" for i in range(8)]
+BITS = 64 * len(WORDS)
+
+
+def united(rows: DataFrame, no: Column) -> DataFrame:
+    """The bitmaps of each ``no`` and bucket as one; longs under ``bit_or`` are hashed and combine before the shuffle."""
+    return rows.groupBy(no.alias("no"), "bucket").agg(*[F.bit_or(w).alias(w) for w in WORDS])
+
+
+def size() -> Column:
+    """How many bits of a row are set."""
+    return reduce(Column.__add__, [F.bit_count(w).cast("long") for w in WORDS])
 
 
 def numbered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,8 +43,8 @@ def numbered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def reach_counts(edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
     """``scope, node, n``: how many other nodes each parent of ``edges(scope, parent, child)`` reaches.
 
-    A node's descendants are bits, 32,768 to a row, so a row stands for that many (node, descendant) pairs.
-    At each level the bitmaps of the last go from child to parent and are joined by ``bitmap_or_agg``,
+    A node's descendants are bits, ``BITS`` to a row, so a row stands for that many (node, descendant) pairs.
+    At each level the bitmaps of the last go from child to parent and are joined by ``bit_or``,
     which combines before the shuffle. Every ``CHECKED`` levels only what adds to the known goes on.
     Numbers are dense and follow scope and name, so a scope's nodes share few bitmaps. On
     a cycle a node reaches itself, which isn't counted.
@@ -38,30 +53,29 @@ def reach_counts(edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
     e = edges.select("scope", "parent", "child").distinct()
     nodes = e.select("scope", F.col("parent").alias("node")).union(e.select("scope", "child")).distinct()
     no = scratch.table(numbered(nodes, scratch), "no")
-    e = e.join(no.select("scope", F.col("node").alias("child"), F.col("no").alias("child_no")), ["scope", "child"])
-    e = scratch.table(e.join(no.select("scope", F.col("node").alias("parent"), F.col("no").alias("parent_no")), ["scope", "parent"]).select("parent_no", "child_no"), "edges")
-    bucket = F.bitmap_bucket_number("child_no").alias("bucket")
-    direct = e.groupBy(F.col("parent_no").alias("no"), bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("child_no")).alias("bits"))
-    new = scratch.table(direct, "level-0")
+    e = e.join(no.select("scope", F.col("node").alias("child"), F.col("no").alias("child_no")).hint("merge"), ["scope", "child"])
+    e = scratch.table(e.join(no.select("scope", F.col("node").alias("parent"), F.col("no").alias("parent_no")).hint("merge"), ["scope", "parent"]).select("parent_no", "child_no"), "edges")
+    at = F.col("child_no") % BITS
+    word = lambda i: F.when(F.floor(at / 64) == i, F.expr("shiftleft(1L, cast(child_no % 64 as int))")).otherwise(F.lit(0).cast("long"))
+    direct = e.select("parent_no", F.floor(F.col("child_no") / BITS).alias("bucket"), *[word(i).alias(w) for i, w in enumerate(WORDS)])
+    new = scratch.table(united(direct, F.col("parent_no")), "level-0")
     known = new
     for level in range(1, max_levels):
-        came = new.join(e.select(F.col("child_no").alias("no"), "parent_no"), "no").groupBy(F.col("parent_no").alias("no"), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        came = united(new.join(e.select(F.col("child_no").alias("no"), "parent_no").hint("merge"), "no"), F.col("parent_no"))
         if level % CHECKED:
             new = scratch.table(came, f"level-{level}")
         else:  # keep what adds to what was known, so that walks around a cycle end
-            had = known.join(came.select("no", "bucket"), ["no", "bucket"], "left_semi").groupBy("no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-            both = came.unionByName(had.withColumn("was", F.bitmap_count("bits")), allowMissingColumns=True).groupBy("no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("was").alias("was"))
-            new = scratch.table(both.where(F.bitmap_count("bits") > F.coalesce("was", F.lit(0))).select("no", "bucket", "bits"), f"level-{level}")
+            came = scratch.table(came, "came")
+            had = united(known.join(came.select("no", "bucket").hint("merge"), ["no", "bucket"], "left_semi"), F.col("no"))
+            both = came.unionByName(had.withColumn("was", size()), allowMissingColumns=True).groupBy("no", "bucket").agg(*[F.bit_or(w).alias(w) for w in WORDS], F.max("was").alias("was"))
+            new = scratch.table(both.where(size() > F.coalesce("was", F.lit(0))).select("no", "bucket", *WORDS), f"level-{level}")
         if new.isEmpty():
             break
         known = known.unionByName(new)
     else:
         raise ValueError(f"reach isn't settled after {max_levels} levels")
-    total = known.groupBy("no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    n = total.groupBy("no").agg(F.sum(F.bitmap_count("bits")).alias("n"))
     # on a cycle a node's own bit is set
-    byte = F.substring("bits", (F.floor(F.bitmap_bit_position("no") / 8) + 1).cast("int"), F.lit(1))
-    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(F.bitmap_bit_position("no"), F.lit(8)).cast("int")) == 1
-    itself = total.where((F.col("bucket") == F.bitmap_bucket_number("no")) & bit).select("no", F.lit(1).alias("own"))
-    n = n.join(itself, "no", "left").select("no", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
-    return no.join(n, "no").select(*ID, "n")
+    own = F.element_at(F.array(*WORDS), (F.floor(F.col("no") % BITS / 64) + 1).cast("int"))
+    itself = F.when(F.col("bucket") == F.floor(F.col("no") / BITS), F.getbit(own, (F.col("no") % 64).cast("int"))).otherwise(0)
+    n = united(known, F.col("no")).groupBy("no").agg(F.sum(size() - itself).alias("n"))
+    return no.join(n.hint("merge"), "no").select(*ID, "n")
