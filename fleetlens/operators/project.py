@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.state import fingerprint
-from fleetlens.plans.fixpoint import fixpoint, layers
+from fleetlens.plans.fixpoint import fixpoint, layers, near
 from fleetlens.plans.reach import reach_counts
+from fleetlens.plans.shared import cut
 
 ID = ["scope", "node"]
 
@@ -185,7 +186,9 @@ def macro_lines(uses: DataFrame, calls: DataFrame, macros: DataFrame) -> DataFra
     closed = fixpoint(used, step, ["scope", "root", "macro"]).join(macros.select("scope", "macro", "sql").dropDuplicates(["scope", "macro"]), ["scope", "macro"], "left")
     reads = F.col("sql").rlike(AT_RUN_TIME) & ~F.col("macro").rlike(ENGINE_MACRO)
     closed = closed.select("scope", "root", "macro", F.sha2("sql", 256).alias("digest"), F.coalesce(reads, F.lit(False)).alias("reads"))
-    reached = uses.select(*ID, F.col("macro").alias("root")).distinct().join(closed, ["scope", "root"]).select(*ID, "macro", "digest", "reads").distinct()
+    closed = cut(closed)
+    # the closures of the macros go to the nodes, if they are few, and not the nodes to the closures
+    reached = uses.select(*ID, F.col("macro").alias("root")).distinct().join(near(closed, closed.count()), ["scope", "root"]).select(*ID, "macro", "digest", "reads").distinct()
     return reached.groupBy(*ID).agg(
         F.array_join(F.array_sort(F.collect_list(F.concat("macro", F.lit(" "), "digest"))), "\n").alias("content"),
         F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("digest").isNull(), F.col("macro")))), ", "), F.lit("")).alias("lacks"),
@@ -226,7 +229,7 @@ def code_components(nodes: DataFrame, uses: DataFrame, calls: DataFrame, macros:
     )
     fine = n.where("reason is null")
     own = fine.select(*ID, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select(*ID, "p.component", "p.content")
-    lines = macro_lines(uses, calls, macros)
+    lines = cut(macro_lines(uses, calls, macros))
     called = fine.select(*ID, "hooked").join(lines, ID, "left")
     why = F.when(F.col("hooked") & F.col("reads"), "hooks' macros read what is known at run time").otherwise(F.concat(F.lit("macros that the artifacts don't include: "), "lacks"))
     called = called.withColumn("why", why)
