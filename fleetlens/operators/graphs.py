@@ -228,9 +228,11 @@ def split_retry(planned: DataFrame, edges: DataFrame, retry: DataFrame, buildabl
     j = cut(p.join(asked, ID, "left"))
     builds = j.where("action = 'BUILD'")
     blockers = builds.where("asked is null").select(*ID)
-    below = edges.select("scope", F.col("parent").alias("node"), "child").distinct()
     wanted = cut(builds.where("asked").select(*ID))
-    step = lambda f: f.join(below, ID).select("scope", F.col("child").alias("node")).join(wanted, ID, "left_semi")
+    # only edges into what is asked and builds hold anything back; they are the same in every round
+    below = edges.select("scope", F.col("parent").alias("node"), "child").join(wanted.withColumnRenamed("node", "child"), ["scope", "child"], "left_semi")
+    below = cut(below.select(*ID, "child").distinct())
+    step = lambda f: f.join(below, ID).select("scope", F.col("child").alias("node"))
     held = fixpoint(step(blockers), step, ID).select(*ID)
     lab = lambda d, s: d.select(*ID, F.lit(s).alias("verdict"))
     return (
