@@ -10,7 +10,7 @@ held-out alterations, calibrates the probabilities. A prediction counts as confi
 of one template's word pairs of that family stand in the piece.
 
 Only paragraphs, and of these only pieces, that pass a gate are classified: those with an anchor, or with a
-word of a template that isn't an everyday word of this corpus (``gate_words``, from the same bounded sample).
+word of a template that isn't an everyday word of this corpus (``corpus_gate``, counted over all its distinct lines).
 What doesn't pass has no word of any licence but everyday ones. The gate is tested on paragraphs in the JVM, so
 Python sees few paragraphs of most corpora; it sees all that pass.
 """
@@ -121,15 +121,27 @@ def pairs(text: str) -> set[str]:
 LENGTHS = (8, 16, max(len(WORD.findall(x.lower())) for t in TEMPLATES.values() for x in t))
 
 
-#: A template's word is everyday if more than this share of the sample's lines, and more than a few, have it.
+#: A template's word is everyday if more than this share of the lines, and more than a few, have it.
 EVERYDAY, FEW = 0.005, 3
+#: The templates' words of two characters or more and with a letter.
+OWN = {w for t in TEMPLATES.values() for x in t for w in WORD.findall(x.lower()) if len(w) > 1 and not w.isdigit() and any(map(str.isalpha, w))}
+
+
+def uncommon(held: dict[str, int], lines: int) -> frozenset[str]:
+    return frozenset(w for w in OWN if held.get(w, 0) <= max(FEW, EVERYDAY * lines))
 
 
 def gate_words(lines: list[str]) -> frozenset[str]:
-    """The templates' words, of two characters or more and with a letter, that aren't everyday in the lines."""
-    own = {w for t in TEMPLATES.values() for x in t for w in WORD.findall(x.lower()) if len(w) > 1 and not w.isdigit() and any(map(str.isalpha, w))}
-    held = Counter(w for x in lines for w in own.intersection(WORD.findall(x.lower())))
-    return frozenset(w for w in own if held[w] <= max(FEW, EVERYDAY * len(lines)))
+    """The templates' words that aren't everyday in the lines."""
+    return uncommon(Counter(w for x in lines for w in OWN.intersection(WORD.findall(x.lower()))), len(lines))
+
+
+def corpus_gate(docs: DataFrame) -> frozenset[str]:
+    """The templates' words that aren't everyday in the distinct lines of the whole corpus; one count a word comes to the driver."""
+    held = F.array_intersect(F.regexp_extract_all(F.lower("p"), F.lit(WORD.pattern), F.lit(0)), F.array(*map(F.lit, sorted(OWN))))
+    each = corpus_lines(docs).select("h", held.alias("held")).distinct()
+    n = {r["w"]: r["n"] for r in each.select(F.explode(F.array_append("held", F.lit(""))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return uncommon(n, n.get("", 0))
 
 
 def gate_pattern(gate: frozenset[str]) -> str:
@@ -265,13 +277,18 @@ def classifier(model: Model):
     return run
 
 
+def corpus_lines(docs: DataFrame) -> DataFrame:
+    """The lines ``p`` of 20 to 2,000 characters, with their hash ``h``."""
+    return docs.select(F.explode(F.split(text_of(), "\n")).alias("p")).where("length(p) between 20 and 2000").withColumn("h", F.xxhash64("p"))
+
+
 def sample_lines(docs: DataFrame) -> list[str]:
     """The ``SAMPLE`` distinct lines of the smallest hashes, fewer if there aren't so many.
 
     Only lines below a hash that about four times as many reach are sorted, so what comes to the
     driver doesn't grow with the number of tasks.
     """
-    lines = docs.select(F.explode(F.split(text_of(), "\n")).alias("p")).where("length(p) between 20 and 2000").withColumn("h", F.xxhash64("p"))
+    lines = corpus_lines(docs)
     different = lines.agg(F.approx_count_distinct("h")).first()[0]
     if different > 4 * SAMPLE:
         lines = lines.where(F.col("h") < F.lit(-(2**63) + 2**64 * 4 * SAMPLE // different))
@@ -287,6 +304,7 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
     if model is None:
         model = fit(sample_lines(docs))
+        model.gate = corpus_gate(docs)
     passes = lambda c: F.lower(c).rlike(gate_pattern(model.gate))
     found = docs.select("doc_id", text_of().alias("text")).where(passes("text"))
     found = found.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", BLANK)).alias("pos", "paragraph")).where(passes("paragraph"))
