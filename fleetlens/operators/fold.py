@@ -67,7 +67,7 @@ class States:
 
 
 def partial(events: DataFrame) -> States:
-    """The states that a set of events amounts to. One shuffle each by node, by run, and none for the log."""
+    """The states that a set of events amounts to. One shuffle each by node, by run, and none for the log, which keeps repeats."""
     listed = events.where(_is("run_started")).select("scope", "run_id", "seq", F.explode("nodes").alias("node"), F.lit("listed").alias("kind"))
     own = events.where(F.col("kind").isin(*KINDS) & F.col("node").isNotNull())
     rows = own.unionByName(listed, allowMissingColumns=True)
@@ -87,11 +87,16 @@ def partial(events: DataFrame) -> States:
         F.collect_set(F.when(ended, F.col("seq"))).alias("ends"),
         F.max("at").alias("last_at"),
     )
-    marks = own.where(_is("node_started") | _is("node_finished")).select(*NODE, "seq", "kind", "tests").dropDuplicates([*NODE, "seq", "kind"])
-    checks = events.where(_is("check_finished")).select(*RUN, "check", "seq", "covers", "status").dropDuplicates([*RUN, "check", "seq"])
+    marks = own.where(_is("node_started") | _is("node_finished")).select(*NODE, "seq", "kind", "tests")
+    checks = events.where(_is("check_finished")).select(*RUN, "check", "seq", "covers", "status")
     return States(nodes, runs, marks, checks)
 
 
+def once(states: States) -> States:
+    """States whose log holds each event once."""
+    return States(states.nodes, states.runs, states.marks.dropDuplicates([*NODE, "seq", "kind"]), states.checks.dropDuplicates([*RUN, "check", "seq"]))
+
+
 def merge(a: States, b: States) -> States:
     """Two states as one; events that both hold count once."""
     pairs = [F.max_by(c, F.col(c)["seq"]).alias(c) for c in FIELDS]
@@ -103,13 +108,11 @@ def merge(a: States, b: States) -> States:
         F.max_by("begun", F.col("begun")["seq"]).alias("begun"), F.max_by("ended", F.col("ended")["seq"]).alias("ended"),
         F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"), F.max("last_at").alias("last_at"),
     )
-    marks = a.marks.unionByName(b.marks).dropDuplicates([*NODE, "seq", "kind"])
-    checks = a.checks.unionByName(b.checks).dropDuplicates([*RUN, "check", "seq"])
-    return States(nodes, runs, marks, checks)
+    return once(States(nodes, runs, a.marks.unionByName(b.marks), a.checks.unionByName(b.checks)))
 
 
 def test_changes(states: States) -> DataFrame:
-    """What each event does to a node's test counts: (scope, run_id, node, seq, a_*, b_*, seen).
+    """What each event does to a node's test counts: (scope, run_id, node, seq, a_*, b_*, seen), of states whose log has no repeats.
 
     A count x becomes max(x + a, b). A check takes back what its last outcome added, never below zero,
     and adds the new one, at the nodes known by then. A finish that reports counts adds them; if
@@ -150,7 +153,7 @@ def fold_tests(states: States) -> DataFrame:
 
 
 def finish(states: States, now: Column | None = None) -> DataFrame:
-    """The folded nodes of a state.
+    """The folded nodes of a state whose log has no repeats.
 
     With ``now``, nodes that are open in a run without an end that has been silent for ``LIVE_SECONDS``
     are unknown, and ``inferred`` says so; without it nothing is inferred.
@@ -171,7 +174,7 @@ def finish(states: States, now: Column | None = None) -> DataFrame:
 
 def fold_nodes(events: DataFrame, now: Column | None = None) -> DataFrame:
     """E5: every node that the events of a run name, folded."""
-    return finish(partial(events), now)
+    return finish(once(partial(events)), now)
 
 
 def fold_runs(states: States) -> DataFrame:

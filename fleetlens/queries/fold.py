@@ -113,9 +113,10 @@ def replay(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The journal as lines of JSON, shuffled over files, every tenth line twice and every fiftieth torn once more."""
     j = journal(spark, sf)
     lines = j.select("scope", "seq", F.to_json(F.struct(*[c for c in j.columns if c != "scope"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
-    torn = lines.where("seq % 50 = 0").select("scope", "seq", F.expr("substring(value, 1, length(value) - 5)").alias("value"))
+    torn = F.expr("substring(value, 1, length(value) - 5)")
+    copies = F.array_compact(F.array("value", F.when(F.col("seq") % 10 == 0, F.col("value")), F.when(F.col("seq") % 50 == 0, torn)))
     root = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens/{uuid.uuid4().hex}"
-    every = lines.unionByName(lines.where("seq % 10 = 0")).unionByName(torn)
+    every = lines.select("scope", "seq", F.explode(copies).alias("value"))
     every.repartition(6, F.xxhash64("value", "seq")).select("scope", "value").write.partitionBy("scope").text(f"{root}/journals")
     return journals.stream_journals(spark, f"{root}/journals", files_per_trigger=8), root
 

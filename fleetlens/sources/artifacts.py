@@ -80,9 +80,11 @@ def read_source_freshness(spark: SparkSession, paths) -> tuple[DataFrame, DataFr
 def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events of JSON lines (column ``value``), and per scope how many lines couldn't be read.
 
-    Torn lines and lines of newer versions are counted, not fatal; blank lines are skipped.
+    Torn lines and lines of newer versions are counted, not fatal; blank lines are skipped. An event is
+    exploded from an array of one, since filters that were pushed below the parsing would each repeat it.
     """
-    parsed = lines.where(F.trim("value") != "").select("scope", F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"))
+    event = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.where(F.trim("value") != "").select("scope", F.explode(F.array(event)).alias("e"))
     bad = F.col("e._bad").isNotNull() | F.col("e.kind").isNull() | (F.coalesce("e.version", F.lit(JOURNAL)) > JOURNAL)
     return parsed.where(~bad).select("scope", "e.*").drop("_bad", "version"), parsed.groupBy("scope").agg(F.count_if(bad).alias("unreadable"))
 

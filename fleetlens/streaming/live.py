@@ -40,9 +40,10 @@ class FoldTable:
         base = max((int(n[5:]) for n in done if n.startswith("base-")), default=None)
         return base, sorted(int(n[6:]) for n in done if n.startswith("batch-") and (base is None or int(n[6:]) > base))
 
-    def _write(self, states: fold.States, name: str) -> None:
-        for part in PARTS:
-            getattr(states, part).write.mode("overwrite").parquet(f"{self.path}/{name}/{part}")
+    def _put(self, df: DataFrame, name: str, part: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{part}")
+
+    def _commit(self, name: str) -> None:
         fs, mark = self._fs(f"{name}.done")
         fs.create(mark, True).close()
 
@@ -65,11 +66,18 @@ class FoldTable:
         return fold.merge(read, none)
 
     def append(self, events: DataFrame, batch: int) -> None:
-        """Add a batch of events; a batch that is already part of the base is skipped."""
+        """Add a batch of events, which is read once for all its states; a batch that is already part of the base is skipped."""
         base, batches = self.committed()
         if base is not None and batch <= base:
             return
-        self._write(fold.partial(events), f"batch-{batch}")
+        events = events.persist()
+        try:
+            states = fold.partial(events)
+            for part in PARTS:
+                self._put(getattr(states, part), f"batch-{batch}", part)
+        finally:
+            events.unpersist()
+        self._commit(f"batch-{batch}")
         if len(set(batches) | {batch}) >= self.compact_every:
             self.compact()
 
@@ -82,11 +90,17 @@ class FoldTable:
         base, batches = self.committed()
         if not batches:
             return
-        states = self.states()
-        newest = states.runs.agg(F.max("last_at").alias("newest"))  # one row
-        kept = states.runs.join(F.broadcast(newest)).where(F.expr(f"last_at >= newest - {self.keep}")).select(*fold.RUN)
-        alive = fold.States(*(getattr(states, p).join(kept, fold.RUN, "left_semi") for p in PARTS))
-        self._write(alive, f"base-{batches[-1]}")
+        states, name = self.states(), f"base-{batches[-1]}"
+        last = states.runs.select(*fold.RUN, "last_at")
+        old = last.join(F.broadcast(last.agg(F.max("last_at").alias("newest")))).where(~F.coalesce(F.expr(f"last_at >= newest - {self.keep}"), F.lit(False)))  # the newest is one row
+        gone = old.select(F.col("scope").alias("of"), F.col("run_id").alias("gone"))
+        none_gone = gone.isEmpty()
+        for part in PARTS:
+            merged = getattr(states, part)
+            # few runs go at a time; where none does, nothing is joined
+            alive = merged if none_gone else merged.join(gone, F.col("scope").eqNullSafe(F.col("of")) & F.col("run_id").eqNullSafe(F.col("gone")), "left_anti")
+            self._put(alive, name, part)
+        self._commit(name)
         fs, root = self._fs()
         for n in {s.getPath().getName().removesuffix(".done") for s in fs.listStatus(root)}:
             kind, _, at = n.partition("-")

@@ -6,12 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import failures as X
+from fleetlens.operators import fold
 from fleetlens.operators import graphs as G
 from fleetlens.operators import project as P
 from fleetlens.plans import reach as R
 from fleetlens.plans import strong as S
 from fleetlens.plans.fixpoint import NEAR, near
 from fleetlens.plans.shared import Scratch
+from fleetlens.sources.artifacts import parse_journal
+from fleetlens.streaming import live
 
 
 def plan(df) -> str:
@@ -81,3 +84,38 @@ def test_a_retry_joins_once_a_round(spark, monkeypatch):
     out = G.split_retry(p, e, p.where("node > 0"), p)
     assert {(r["node"], r["verdict"]) for r in out.collect()} == {(0, "changed_since"), (1, "held_back"), (2, "held_back"), (3, "held_back")}
     assert plan(steps[0](spark.createDataFrame([("s", 1)], "scope string, node long"))).count("Join") == 1
+
+
+LINES = [f'{{"run_id":"r{r}","seq":{i},"at":"2024-01-{1 + 20 * r:02}T00:00:0{i}Z","kind":"{k}","node":"n","check":"c","covers":["n"],"status":"passed"}}'
+         for r in (0, 1) for i, k in enumerate(("node_started", "node_finished", "check_finished", "check_finished"))]
+
+
+def journal_lines(spark, lines):
+    return spark.createDataFrame([("s", line) for line in lines], "scope string, value string")
+
+
+def test_a_journal_line_is_parsed_once(spark):
+    events, unreadable = parse_journal(journal_lines(spark, [*LINES, LINES[0][:-5], " "]))
+    assert plan(events.where("kind = 'node_started' and node is not null")).count("from_json") == 1
+    assert plan(unreadable).count("from_json") == 1
+    assert events.count() == len(LINES) and [tuple(r) for r in unreadable.collect()] == [("s", 1)]
+
+
+def test_a_batch_is_read_once_and_a_compaction_joins_only_what_goes(spark, tmp_path, monkeypatch):
+    kept, plans = [], {}
+    partial, put = fold.partial, live.FoldTable._put
+    monkeypatch.setattr(fold, "partial", lambda e: kept.append((plan(e), e)) or partial(e))
+    monkeypatch.setattr(live.FoldTable, "_put", lambda self, df, name, part: plans.update({(name, part): plan(df)}) or put(self, df, name, part))
+    events = parse_journal(journal_lines(spark, LINES + LINES[:3]))[0]
+    long, short = (live.FoldTable(spark, str(tmp_path / k), keep=f"INTERVAL {k} DAYS") for k in ("365", "7"))
+    for into, runs in ((long, ["r0", "r1"]), (short, ["r1"])):
+        into.append(events, 0)
+        assert "InMemoryTableScan" in kept[-1][0] and not kept[-1][1].is_cached
+        # repeats in the log go when states are merged, not in every batch
+        assert "Exchange" not in plans["batch-0", "marks"] and "Exchange" not in plans["batch-0", "checks"]
+        into.compact()
+        joined = [part for part in live.PARTS if "Join" in plans["base-0", part]]
+        assert joined == ([] if into is long else list(live.PARTS))
+        assert spark.read.parquet(f"{into.path}/base-0/marks").count() == 2 * len(runs)
+        assert sorted((r["run_id"], r["status"], r["tests"]["passed"]) for r in into.nodes().collect()) == [(r, "passed", 1) for r in runs]
+        assert sorted(r["run_id"] for r in into.states().runs.collect()) == runs
