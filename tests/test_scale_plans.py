@@ -9,6 +9,7 @@ from fleetlens.operators import failures as X
 from fleetlens.operators import fold
 from fleetlens.operators import graphs as G
 from fleetlens.operators import project as P
+from fleetlens.plans import fixpoint as L
 from fleetlens.plans import reach as R
 from fleetlens.plans import strong as S
 from fleetlens.plans.fixpoint import NEAR, near
@@ -37,6 +38,28 @@ def test_large_frontiers_are_never_broadcast(spark):
     assert "Broadcast" not in plan(e.join(near(few, NEAR + 1), "at"))
 
 
+def test_a_metric_closure_broadcasts_no_large_level(spark, monkeypatch):
+    plans, cut = [], L.cut
+
+    def ran(df):
+        out = cut(df)
+        plans.append(plan(df))  # as it was run in the end
+        return out
+
+    monkeypatch.setattr(L, "cut", ran)
+    monkeypatch.setattr(L, "NEAR", 0, raising=False)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 62))  # all that Spark thinks small, as it does with what compresses well
+    try:
+        reads = spark.createDataFrame([(s, f"m{i}", f"m{i + 1}") for s in "ab" for i in range(3)], "scope string, metric string, reads string")
+        got = {tuple(r) for r in X.metric_closure(reads).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert got == {(s, f"m{i}", f"m{j}") for s in "ab" for i in range(3) for j in range(i + 1, 4)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_strong_components_broadcast_nothing_while_many_edges_are_left(spark, monkeypatch):
     plans, write = [], Scratch.table
     monkeypatch.setattr(Scratch, "table", lambda self, df, name, by=None: plans.append(plan(df)) or write(self, df, name, by))
