@@ -60,6 +60,43 @@ def test_a_metric_closure_broadcasts_no_large_level(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def broadcast_rows(p) -> list[int]:
+    """How many rows each broadcast of a plan that has run holds."""
+    name = p.nodeName()
+    if name == "BroadcastExchange":
+        own = [p.metrics().apply("numOutputRows").value()]
+    else:
+        own = []
+    inner = p.executedPlan() if name == "AdaptiveSparkPlan" else p.plan() if name.endswith("QueryStage") else None
+    below = [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
+    return own + [n for c in below for n in broadcast_rows(c)]
+
+
+def test_a_metric_closure_whose_levels_shrink_broadcasts_few_rows_at_any_level(spark, monkeypatch):
+    plans, rows, cut = [], [], L.cut
+
+    def ran(df):
+        out = cut(df)
+        plans.append(plan(df))
+        rows.extend(broadcast_rows(df._jdf.queryExecution().executedPlan()))
+        return out
+
+    monkeypatch.setattr(L, "cut", ran)
+    monkeypatch.setattr(L, "NEAR", 5, raising=False)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 62))
+    try:
+        # levels of 9, 8, ... 1 rows: those of up to five are broadcast, the edges (9) and what was seen (up to 44) never
+        reads = spark.createDataFrame([("s", f"m{i}", f"m{i + 1}") for i in range(9)], "scope string, metric string, reads string")
+        got = [tuple(r) for r in X.metric_closure(reads).collect()]
+    finally:
+        spark.conf.set(key, was)
+    assert sorted(got) == sorted(("s", f"m{i}", f"m{j}") for i in range(9) for j in range(i + 1, 10))
+    assert rows and max(rows) == 5
+    assert any("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_strong_components_broadcast_nothing_while_many_edges_are_left(spark, monkeypatch):
     plans, write = [], Scratch.table
     monkeypatch.setattr(Scratch, "table", lambda self, df, name, by=None: plans.append(plan(df)) or write(self, df, name, by))
